@@ -8,6 +8,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import math
+import signal
 import sys
 import time
 from pathlib import Path
@@ -89,16 +90,20 @@ def main():
 
     args = sys.argv[1:]
     sf_dir = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.01"
+    signal.signal(signal.SIGALRM, lambda *_: (_ for _ in ()).throw(TimeoutError("90 s passed")))
     spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"})
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = duck(sf_dir)
     names = [n for n in entry.queries() if not args or any(n.startswith(a) for a in args)]
     counts: dict[str, int] = {}
     for n in names:
         try:
+            signal.alarm(90)
             verdict, detail, seconds = compare(spark, con, n, sf_dir)
         except Exception as e:  # noqa: BLE001
-            verdict, detail, seconds = "ERROR", str(e)[:600], 0.0
+            spark.sparkContext.cancelAllJobs()
+            verdict, detail, seconds = "ERROR", str(e).split("\n")[0][:400], 0.0
+        signal.alarm(0)
         counts[verdict] = counts.get(verdict, 0) + 1
         if verdict != "exact" or seconds > 5 or len(names) < 12:
             print(f"{verdict:8} {n:45} {seconds:6.2f}s {detail[:700]}", flush=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -54,6 +55,11 @@ class CleaningConfig:
     duplicate_threshold: float = 0.95
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often ``body`` mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trim_space(text: Column) -> Column:
     """Strip Unicode whitespace on both sides (``trim`` knows the space character only)."""
     return F.regexp_replace(text, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
@@ -97,35 +103,51 @@ def number_ratio(word_array: Column) -> Column:
 
 def quality_reason(text: Column, cfg: CleaningConfig = CleaningConfig()) -> Column:
     """First failing rule, or ``quality``."""
-    ws = words(text)
-    n = F.size(ws)
-    out = F.when(n < cfg.min_words, "too_short").when(n > cfg.max_words, "too_long")
-    out = out.when(F.exists(ws, lambda w: F.length(w) > cfg.max_word_length), "long_words")
-    if cfg.max_number_ratio < 1.0:
-        out = out.when(number_ratio(ws) > cfg.max_number_ratio, "too_many_numbers")
-    return out.otherwise("quality")
+
+    def verdict(ws: Column) -> Column:
+        n = F.size(ws)
+        out = F.when(n < cfg.min_words, "too_short").when(n > cfg.max_words, "too_long")
+        out = out.when(F.exists(ws, lambda w: F.length(w) > cfg.max_word_length), "long_words")
+        if cfg.max_number_ratio < 1.0:
+            out = out.when(number_ratio(ws) > cfg.max_number_ratio, "too_many_numbers")
+        return out.otherwise("quality")
+
+    return let(words(text), verdict)
 
 
 def quality_label(text: Column, cfg: CleaningConfig = CleaningConfig()) -> Column:
     """The reason with its number, e.g. ``too_short_7_words``."""
-    reason, ws = quality_reason(text, cfg), words(text)
-    return (
-        F.when(reason.isin("too_short", "too_long"), F.format_string("%s_%d_words", reason, F.size(ws)))
-        .when(reason == "long_words", "long_words_found")
-        .when(reason == "too_many_numbers", F.format_string("too_many_numbers_%.2f", F.bround(number_ratio(ws), 2)))
-        .otherwise(reason)
+    measures = F.struct(
+        quality_reason(text, cfg).alias("reason"),
+        let(words(text), lambda ws: F.struct(F.size(ws).alias("n"), number_ratio(ws).alias("ratio"))).alias("m"),
     )
 
+    def label(x: Column) -> Column:
+        return (
+            F.when(x["reason"].isin("too_short", "too_long"), F.format_string("%s_%d_words", x["reason"], x["m"]["n"]))
+            .when(x["reason"] == "long_words", "long_words_found")
+            .when(x["reason"] == "too_many_numbers", F.format_string("too_many_numbers_%.2f", F.bround(x["m"]["ratio"], 2)))
+            .otherwise(x["reason"])
+        )
+
+    return let(measures, label)
+
 
 def detect_language(text: Column) -> Column:
     """Language whose common words occur most often; ``unknown`` when none occurs."""
+
+    def hits(tokens: Column, known: list[str]) -> Column:
+        return F.size(F.filter(tokens, lambda t: t.isin(known)))
+
+    def best(tokens: Column) -> Column:
+        scores = [
+            F.struct(hits(tokens, known).alias("hits"), F.lit(-i).alias("order"), F.lit(lang).alias("lang"))
+            for i, (lang, known) in enumerate(LANGUAGE_WORDS.items())
+        ]
+        return F.array_max(F.array(*scores))
+
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), 1)
-    scores = [
-        F.struct(F.size(F.filter(tokens, lambda t, ws=ws: t.isin(ws))).alias("hits"), F.lit(-i).alias("order"), F.lit(lang).alias("lang"))
-        for i, (lang, ws) in enumerate(LANGUAGE_WORDS.items())
-    ]
-    best = F.array_max(F.array(*scores))
-    return F.when(best["hits"] > 0, best["lang"]).otherwise("unknown")
+    return let(let(tokens, best), lambda b: F.when(b["hits"] > 0, b["lang"]).otherwise("unknown"))
 
 
 def language_allowed(lang: Column, cfg: CleaningConfig = CleaningConfig()) -> Column:
@@ -136,18 +158,20 @@ def language_allowed(lang: Column, cfg: CleaningConfig = CleaningConfig()) -> Co
 
 def prepared_document(text: Column, cfg: CleaningConfig = CleaningConfig()) -> Column:
     """Cleaned text of one document, null when quality or language rejects it."""
-    cleaned = clean_text(text, cfg)
-    ok = (quality_reason(cleaned, cfg) == "quality") & language_allowed(detect_language(cleaned), cfg)
-    return F.when(ok, cleaned)
+
+    def kept(cleaned: Column) -> Column:
+        ok = (quality_reason(cleaned, cfg) == "quality") & language_allowed(detect_language(cleaned), cfg)
+        return F.when(ok, cleaned)
+
+    return let(clean_text(text, cfg), kept)
 
 
 def first_filled(*cols: Column, min_words: int = 1) -> Column:
     """First column holding at least ``min_words`` words, trimmed; null when none does."""
     tests = []
     for c in cols:
-        t = trim_space(F.coalesce(c, F.lit("")))
-        enough = (t != "") if min_words == 1 else word_count(t) >= min_words
-        tests.append(F.when(enough, t))
+        trimmed = trim_space(F.coalesce(c, F.lit("")))
+        tests.append(let(trimmed, lambda t: F.when((t != "") if min_words == 1 else word_count(t) >= min_words, t)))
     return F.coalesce(*tests)
 
 
@@ -243,12 +267,15 @@ def word_tokens(text: Column) -> Column:
 
 def one_and_two_grams(tokens: Column) -> Column:
     """Tokens followed by the pairs of neighbouring tokens."""
-    n = F.size(tokens)
-    pairs = F.transform(
-        F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.concat_ws(" ", F.element_at(tokens, i), F.element_at(tokens, i + 1)),
-    )
-    return F.concat(tokens, pairs)
+
+
+    def grams(t: Column) -> Column:
+        n = F.size(t)
+        shifted = F.slice(t, 2, F.greatest(n - 1, F.lit(0)))
+        pairs = F.zip_with(F.slice(t, 1, F.greatest(n - 1, F.lit(0))), shifted, lambda a, b: F.concat_ws(" ", a, b))
+        return F.concat(t, pairs)
+
+    return let(tokens, grams)
 
 
 def terms(text: Column, stop_words: list[str] = ENGLISH_STOP_WORDS) -> Column:

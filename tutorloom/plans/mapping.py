@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tutorloom.session import spread
+
 AS_OF_ANSWERS = "2001-12-01 00:00:00"
 AS_OF_EVENTS = "2024-01-31 00:00:00"
 AS_OF_REVIEWS = "1998-06-01 00:00:00"
@@ -238,7 +240,11 @@ def topic_relationships(spark: SparkSession, d: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "pages"))
 
 
 def document_topics(spark: SparkSession, d: str) -> DataFrame:

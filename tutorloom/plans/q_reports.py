@@ -94,24 +94,24 @@ def _(spark, d):
     fav AS (SELECT user_id, workspace_id AS favorite_workspace FROM pl QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, workspace_id) = 1),
     we AS (SELECT user_id, workspace_id AS weakest_workspace FROM pl QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9), workspace_id) = 1),
     sg AS (SELECT user_id, workspace_id AS strongest_workspace FROM pl QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, workspace_id) = 1)
-    SELECT user_id, {sql_rounded('total_value', 'average_score')}, questions_answered, sessions_this_week, sessions_this_month,
-        round(coalesce(improvement_rate, 0), 6) AS improvement_rate, favorite_workspace, weakest_workspace, strongest_workspace,
+    SELECT user_id, round(total_value, 9) AS total_value, round(average_score, 9) AS average_score, questions_answered, sessions_this_week, sessions_this_month,
+        round(coalesce(improvement_rate, 0), 9) AS improvement_rate, favorite_workspace, weakest_workspace, strongest_workspace,
         coalesce(study_streak, 0) AS study_streak, coalesce(longest_streak, 0) AS longest_streak
     FROM b JOIN fav USING (user_id) JOIN we USING (user_id) JOIN sg USING (user_id) LEFT JOIN st USING (user_id)"""))
 def _(spark, d):
     df = R.user_stats(M.progress(spark, d), ntz(AS_OF_EVENTS)).withColumn("improvement_rate", F.coalesce("improvement_rate", F.lit(0.0)))
-    return df.withColumns({c: F.round(c, 6) for c in ("total_value", "average_score", "improvement_rate")})
+    return df.withColumns({c: F.round(c, 9) for c in ("total_value", "average_score", "improvement_rate")})
 
 
 @query("agg36_period_report", sql_with("progress", f"""SELECT coalesce(strftime(day, '%Y-%m-%d'), '-') AS day, coalesce(workspace_id, -1) AS workspace_id,
     CASE WHEN grouping(day) = 0 THEN 'day' WHEN grouping(workspace_id) = 0 THEN 'workspace' ELSE 'total' END AS level,
-    count(*) FILTER (action_type = 'quiz_started') AS sessions, count(*) FILTER (action_type = 'question_answered') AS questions, round(avg(value), 6) AS average_score
+    count(*) FILTER (action_type = 'quiz_started') AS sessions, count(*) FILTER (action_type = 'question_answered') AS questions, round(avg(value), 9) AS average_score
     FROM (SELECT *, CAST(timestamp AS DATE) AS day FROM progress) GROUP BY GROUPING SETS ((day), (workspace_id), ())"""))
 def _(spark, d):
     df = R.period_report(M.progress(spark, d), ntz(AS_OF_EVENTS))
     return df.select(
         F.coalesce(F.date_format("day", "yyyy-MM-dd"), F.lit("-")).alias("day"), F.coalesce("workspace_id", F.lit(-1)).alias("workspace_id"),
-        "level", "sessions", "questions", *rounded("average_score"),
+        "level", "sessions", "questions", F.round("average_score", 9).alias("average_score"),
     )
 
 

@@ -58,6 +58,15 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of an under-split input over all cores before expensive per-row text work.
+
+    A large table arrives in more partitions than there are cores and passes through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_step(df: DataFrame, name: str) -> DataFrame:
     """Materialise an intermediate table in the shared folder and read it back.
 
