@@ -96,6 +96,11 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
+def array_join_words(text: Column, n: int) -> Column:
+    """First ``n`` words joined by single spaces."""
+    return F.array_join(F.slice(words(text), 1, n), " ")
+
+
 def number_ratio(word_array: Column) -> Column:
     digits = F.size(F.filter(word_array, lambda w: w.rlike(r"^\p{Nd}+$")))
     return F.try_divide(digits, F.size(word_array))

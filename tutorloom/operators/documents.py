@@ -60,11 +60,13 @@ def prepare(docs: DataFrame, cfg: CleaningConfig = CleaningConfig(), key: str =
     else:
         duplicates = passed.select(key).limit(0)
         kept = passed
-    stats = judged.agg(
-        F.count("*").alias("input_documents"),
+    fates = judged.select("stage", F.lit(1).alias("read")).unionByName(duplicates.select(F.lit("duplicate").alias("stage"), F.lit(0).alias("read")))
+    stats = fates.agg(
+        F.coalesce(F.sum("read"), F.lit(0)).alias("input_documents"),
         F.count_if(F.col("stage") == "quality").alias("removed_by_quality"),
         F.count_if(F.col("stage") == "language").alias("removed_by_language"),
-    ).join(duplicates.agg(F.count("*").alias("removed_as_duplicates")), F.lit(True))
+        F.count_if(F.col("stage") == "duplicate").alias("removed_as_duplicates"),
+    )
     removed = F.col("removed_by_quality") + F.col("removed_by_language") + F.col("removed_as_duplicates")
     stats = stats.withColumn("final_documents", F.col("input_documents") - removed)
     return kept.drop("stage", "reason"), stats

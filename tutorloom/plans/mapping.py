@@ -234,7 +234,7 @@ def topic_relationships(spark: SparkSession, d: str) -> DataFrame:
         "source_topic_id",
         "target_topic_id",
         F.when(F.col("e1") > F.col("e2"), "builds_on").otherwise("relates_to").alias("relationship_type"),
-        F.round((F.col("e1") + F.col("e2")) / 2, 4).alias("strength"),
+        F.round((F.col("e1") + F.col("e2")) / 2, 6).alias("strength"),
         F.lit("adjacent priority").alias("reasoning"),
     )
 
@@ -301,7 +301,7 @@ CTES: dict[str, str] = {
     "topic_relationships": """SELECT a.topic_area_id || '->' || b.topic_area_id AS relationship_id, a.topic_area_id AS source_topic_id,
         b.topic_area_id AS target_topic_id,
         CASE WHEN a.explored_percentage > b.explored_percentage THEN 'builds_on' ELSE 'relates_to' END AS relationship_type,
-        round((a.explored_percentage + b.explored_percentage) / 2, 4) AS strength, 'adjacent priority' AS reasoning
+        round((a.explored_percentage + b.explored_percentage) / 2, 6) AS strength, 'adjacent priority' AS reasoning
         FROM topic_areas a JOIN topic_areas b USING (workspace_id, file_type) WHERE a.rank_no + 1 = b.rank_no""",
     "document_topics": r"""SELECT doc_id, CASE WHEN n_chars < 100 THEN -1 ELSE CAST(regexp_extract(source, '(\d+)', 1) AS INT) END AS topic_id,
         text, source FROM documents""",
