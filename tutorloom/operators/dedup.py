@@ -9,7 +9,7 @@ graph is never built by comparing everything with everything:
    aggregation, however many there are.
 2. With terms ordered from rare to common, two vectors above the threshold must share ``k`` terms
    of their leading parts (prefix filter). These k-term keys define buckets.
-3. The norms of a vector within 16 fixed groups of terms bound its dot product with any other from
+3. The norms of a vector within fixed groups of terms bound its dot product with any other from
    above. This outline travels with the bucket entries, so hopeless pairs fail one generated
    comparison inside the join and are never shuffled.
 4. Leader rounds, when buckets are large: a document that is the first of every one of its buckets
@@ -22,16 +22,21 @@ graph is never built by comparing everything with everything:
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tutorloom.functions import text as T
-from tutorloom.session import bounded_rows, write_step
+from tutorloom.session import bounded_rows, spread, write_step
 
 KEY_LENGTHS = (1, 2)
-OUTLINE = 16
-BLOCK = 32_768  # entries of one bucket compared by one task
+OUTLINE = 28  # groups; the generated comparison of more no longer fits what the JVM compiles
+BLOCK = 2_048  # entries of one bucket compared by one task
 MAX_KEYS = 2_000  # keys of one document at one length; beyond it the document uses shorter keys
 MIN_PROGRESS = 0.02  # share of undecided documents a leader round must settle to be worth repeating
 PAIR_BUDGET = 500  # candidate pairs per bucket entry up to which pairs are compared directly
@@ -57,8 +62,9 @@ def tfidf_vectors(docs: DataFrame, key: str, text: str, vocab: list[str], n_docs
     rank = [0] * len(vocab)
     for position, t in enumerate(order):
         rank[t] = position
-    ranks = F.array(*[F.lit(r) for r in rank])
-    idf = F.array(*[F.log(F.lit((1.0 + n_docs) / (1.0 + df.get(t, 0)))) + 1.0 for t in range(len(vocab))])
+    # constant arrays, folded once by the optimizer
+    ranks = F.split(F.lit(",".join(map(str, rank))), ",").cast("array<int>")
+    idf = F.split(F.lit(",".join(repr(math.log((1.0 + n_docs) / (1.0 + df.get(t, 0))) + 1.0) for t in range(len(vocab)))), ",").cast("array<double>")
     weighted = counted.select(
         key,
         F.array_sort(
@@ -101,14 +107,22 @@ def combinations(terms: Column, k: int) -> Column:
     return out
 
 
-def similarity(a_idx: Column, a_w: Column, b_idx: Column, b_w: Column) -> Column:
-    """Dot product of two sparse vectors."""
+@F.pandas_udf(DoubleType())
+def similarity(a_idx: pd.Series, a_w: pd.Series, b_idx: pd.Series, b_w: pd.Series) -> pd.Series:
+    """Dot products of sparse vectors with ascending term numbers, a whole batch at a time."""
+    n = len(a_idx)
+    if n == 0:
+        return pd.Series([], dtype=float)
 
-    def weight(idx: Column, w: Column, t: Column) -> Column:
-        return F.element_at(w, F.array_position(idx, t).cast("int"))
+    def flat(idx: pd.Series, w: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(n), idx.map(len).to_numpy())
+        return row, row * (1 << 20) + np.concatenate(idx.to_list()), np.concatenate(w.to_list())
 
-    common = F.array_intersect(a_idx, b_idx)
-    return F.aggregate(common, F.lit(0.0), lambda acc, t: acc + weight(a_idx, a_w, t) * weight(b_idx, b_w, t))
+    row, left, a = flat(a_idx, a_w)
+    _, right, b = flat(b_idx, b_w)
+    at = np.minimum(np.searchsorted(right, left), len(right) - 1)
+    hit = right[at] == left
+    return pd.Series(np.bincount(row[hit], weights=a[hit] * b[at[hit]], minlength=n))
 
 
 def outline(idx: Column, w: Column) -> Column:
@@ -122,7 +136,7 @@ def outline(idx: Column, w: Column) -> Column:
 
 
 def bucket_entries(nodes: DataFrame, longest: int, threshold: float) -> DataFrame:
-    """(id, o0..o15, key): one row per key of a document.
+    """(id, o0..o27, key): one row per key of a document, with its outline.
 
     A pair above the threshold shares a key of every length both documents support. A vector too
     concentrated for long keys (or with too many of them) supports shorter ones only; other
@@ -172,8 +186,13 @@ def bucket_pairs(entries: DataFrame, threshold: float) -> DataFrame:
     large = entries.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
     cut = entries.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    left = cut.withColumn("other", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1))).alias("l")
-    right = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("own")))).alias("r")
+    # Few bytes but much comparing: the cells are dealt over many tasks whatever their size on disk.
+    spark = entries.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    left = cut.withColumn("other", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)))
+    right = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("own"))))
+    left = left.repartition(tasks, "key", "own", "other").alias("l")
+    right = right.repartition(tasks, "key", "other", "own").hint("merge").alias("r")
     same_cell = (F.col("l.key") == F.col("r.key")) & (F.col("l.own") == F.col("r.other")) & (F.col("l.other") == F.col("r.own"))
     once = (F.col("l.own") < F.col("r.own")) | (F.col("l.id") < F.col("r.id"))
     pairs = left.join(right, same_cell & once & (F.col("l.id") != F.col("r.id")) & hopeful("l", "r", threshold))
@@ -264,9 +283,9 @@ def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = 0.9
         return none
     vectors = tfidf_vectors(docs, key, text, vocab, n)
     vectors = write_step(vectors.withColumn("shape", F.sha2(F.to_json(F.struct("idx", "w")), 256)), "vectors")
-    nodes = write_step(
+    nodes = spread(write_step(
         vectors.groupBy("shape").agg(F.min(key).alias("id")).join(vectors.withColumnRenamed(key, "id"), ["shape", "id"]), "nodes"
-    )
+    ))
     copies = vectors.select(key, "shape").join(nodes.select("shape", F.col("id").alias("first")), "shape").filter(F.col(key) != F.col("first"))
     near = first_independent_set(nodes.select("id", "idx", "w"), threshold).select(F.col("id").alias(key))
     return copies.select(key).unionByName(near)
