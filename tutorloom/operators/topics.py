@@ -168,12 +168,12 @@ def topic_words(docs: DataFrame, topic: str = "topic_id", text: str = "text", to
     """
     kept = docs.filter(F.col(topic) >= 0)
     tf = kept.select(topic, F.explode(T.terms(F.col(text))).alias("term")).groupBy(topic, "term").agg(F.count("*").alias("tf"))
-    tf = write_step(tf, "topic_terms")
     n_topics = kept.select(topic).distinct().count()
     terms = tf.groupBy("term").agg(F.sum("tf").alias("f"), F.count("*").alias("df")).filter(
         (F.col("df") >= min_df) & (F.col("df") <= max_df * n_topics)
     )
-    used = tf.join(terms, "term")
+    # written once: the total, the average and the scores all read it
+    used = write_step(tf.join(terms, "term").drop("df"), "topic_terms")
     per_topic = used.groupBy(topic).agg(F.sum("tf").alias("total"))
     average = (used.agg(F.sum("tf")).first()[0] or 0) // max(n_topics, 1)
     scored = used.join(per_topic, topic)
