@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tutorloom.functions import study as S
 from tutorloom.functions import text as T
 from tutorloom.functions import vectors as VF
-from tutorloom.operators import dedup, documents, graph, learning, maintain, search, spaced, topics
+from tutorloom.operators import dedup, documents, generation, graph, learning, maintain, search, spaced, topics
 from tutorloom.operators import lookups as K
 from tutorloom.operators import vectors as V
 from tutorloom.sources import corpus
@@ -354,3 +354,31 @@ def test_adapted_parameters():
     assert topics.adapted_parameters(40)["min_size"] == 4
     assert topics.adapted_parameters(5)["min_size"] == 2
     assert topics.adapted_parameters(5000)["min_df"] == 5
+
+
+def test_prepare_folder(spark, tmp_path):
+    text = "the cat and the dog were with the children in the big house for a day"
+    (tmp_path / "a.txt").write_text(text)
+    (tmp_path / "b.md").write_text(text + "\n\nshort")
+    got = documents.prepare_folder(spark, str(tmp_path))
+    assert [r["file_name"] for r in got["documents"].collect()] in (["a.txt"], ["b.md"])
+    s = got["stats"].first()
+    assert (s["input_documents"], s["removed_by_quality"], s["removed_as_duplicates"]) == (3, 1, 1)
+    assert got["config"].first()["min_words"] == 10
+    assert {r["extension"]: r["files"] for r in got["extensions"].collect()} == {".txt": 1, ".md": 1}
+
+
+def test_generation_hooks(spark):
+    areas = spark.createDataFrame([(1, "a", "A", "x"), (1, "b", "B", "y"), (1, "c", "C", "z")], "workspace_id long, topic_area_id string, name string, description string")
+    reply = lambda ask: F.when(ask.contains("Topic 1: A") & ask.contains("Topic 2: B"), '{"relationship_type": "contains", "direction": "topic2_to_topic1"}').otherwise("no idea")
+    got = generation.judge_relationships(areas, reply).collect()
+    assert [(r["source_topic_id"], r["target_topic_id"], r["strength"]) for r in got] == [("b", "a", 0.5)]
+
+
+def test_collection_and_reembedding(spark):
+    base = spark.createDataFrame([("t1", "m", [1.0]), ("t2", "m", [2.0])], "topic_id string, model string, embedding array<float>")
+    new = spark.createDataFrame([("t2", "m", [3.0]), ("t3", "m", [4.0])], base.schema)
+    out = {r["topic_id"]: r["embedding"][0] for r in topics.upsert_vectors(base, new).collect()}
+    assert out == {"t1": 1.0, "t2": 3.0, "t3": 4.0}
+    again = topics.reembed(base.withColumn("text", F.col("topic_id")), lambda d: d.withColumn("embedding", F.array(F.length("text").cast("float"))), "n")
+    assert {r["model"] for r in again.collect()} == {"n"}

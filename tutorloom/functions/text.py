@@ -201,8 +201,14 @@ def preview(text: Column) -> Column:
 def title_case(text: Column) -> Column:
     """Capital after every non-letter, as ``str.title`` (``initcap`` splits on spaces only)."""
     parts = F.regexp_extract_all(text, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
-    cap = F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 30))))
-    return F.array_join(cap, "")
+
+
+    def capital(p: Column) -> Column:
+        # the capital of one letter may be two ("ß"), of which only the first stays large
+        first = F.upper(F.substring(p, 1, 1))
+        return F.concat(F.substring(first, 1, 1), F.lower(F.substring(first, 2, 2)), F.lower(F.substring(p, 2, 1 << 30)))
+
+    return F.array_join(F.transform(parts, capital), "")
 
 
 def extension(path: Column) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tutorloom.functions import text as T
 from tutorloom.functions.text import CleaningConfig
 from tutorloom.operators.dedup import near_duplicates
-from tutorloom.session import write_step
+from tutorloom.session import spread, write_step
+from tutorloom.sources import corpus
 
 
 def clean(docs: DataFrame, cfg: CleaningConfig = CleaningConfig(), text: str = "text") -> DataFrame:
@@ -101,3 +102,15 @@ def extension_report(files: DataFrame, binary_extensions: list[str], path: str =
 
 def names_by_extension(files: DataFrame, path: str = "path") -> DataFrame:
     return files.select(T.extension(F.col(path)).alias("extension"), T.base_name(F.col(path)).alias("name")).orderBy("extension", "name")
+
+
+def prepare_folder(spark: SparkSession, folder: str, cfg: CleaningConfig = CleaningConfig(), max_files: int | None = None) -> dict[str, DataFrame]:
+    """Scan, load and prepare a folder: kept documents with their file, statistics, configuration, files by extension."""
+    files = corpus.scan_folder(spark, folder, max_files)
+    kept, stats = prepare(spread(corpus.load_documents(files)), cfg, key="doc_key")
+    return {
+        "documents": kept,
+        "stats": stats,
+        "config": config_row(stats, cfg),
+        "extensions": extension_report(files, corpus.BINARY_EXTENSIONS, "relative_path"),
+    }

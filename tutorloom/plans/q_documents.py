@@ -175,8 +175,8 @@ def _(spark, d):
 NEEDLE = "tion"
 SEARCH_SQL = f"""lines AS (SELECT source || '/' || doc_id || '.txt' AS path, unnest(ls) AS body, generate_subscripts(ls, 1) AS line
         FROM (SELECT *, regexp_split_to_array(text, '\\r\\n?|\\n') AS ls FROM documents)),
-    hits AS (SELECT *, strpos(lower(body), '{NEEDLE}') - 1 AS at FROM lines WHERE contains(lower(body), '{NEEDLE}')),
-    ctx AS (SELECT path, line, greatest(0, at - 50) AS s, least(length(body), at + {len(NEEDLE)} + 50) AS e, body FROM hits),
+    hits AS (SELECT *, strpos(lower(body), '{NEEDLE}') - 1 AS pos FROM lines WHERE contains(lower(body), '{NEEDLE}')),
+    ctx AS (SELECT path, line, greatest(0, pos - 50) AS s, least(length(body), pos + {len(NEEDLE)} + 50) AS e, body FROM hits),
     found AS (SELECT path, CAST(line AS BIGINT) AS line, CASE WHEN s > 0 THEN '...' ELSE '' END || regexp_replace(substr(body, s + 1, e - s), '^{SP}+|{SP}+$', '', 'g')
         || CASE WHEN e < length(body) THEN '...' ELSE '' END AS match FROM ctx)"""
 
@@ -246,7 +246,7 @@ def _(spark, d):
 
 
 @query("fn3_fn4_titles", """SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS preview,
-    array_to_string(list_transform(regexp_extract_all(substr(text, 1, 60), '(\\p{L}+|[^\\p{L}]+)'), lambda p: upper(substr(p, 1, 1)) || lower(substr(p, 2))), '') AS title FROM documents""")
+    array_to_string(list_transform(regexp_extract_all(substr(text, 1, 60), '(\\p{L}+|[^\\p{L}]+)'), lambda p: CASE WHEN substr(p, 1, 1) = 'ß' THEN 'Ss' ELSE upper(substr(p, 1, 1)) END || lower(substr(p, 2))), '') AS title FROM documents""")
 def _(spark, d):
     return M.documents(spark, d).select("doc_id", T.preview(F.col("text")).alias("preview"), T.title_case(F.substring("text", 1, 60)).alias("title"))
 

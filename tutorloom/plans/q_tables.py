@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tutorloom.functions import text as T
-from tutorloom.operators import learning as L
+from tutorloom.operators import documents as D
+from tutorloom.operators import generation as GEN
+from tutorloom.operators import topics as TP
+from tutorloom.operators import vectors as V
 from tutorloom.operators import maintain as MT
 from tutorloom.plans import mapping as M
 from tutorloom.plans.mapping import ntz, sql_with
-from tutorloom.plans.q_documents import SP, sql_clean, sql_reason, sql_words
-from tutorloom.plans.q_study import rounded, sql_stamp, stamp
-from tutorloom.plans.registry import query
+from tutorloom.plans.q_documents import PREPARED_SQL, SP, sql_clean, sql_reason, sql_words
+from tutorloom.plans.q_study import sql_stamp, stamp
+from tutorloom.plans.q_topics import TABLE_SQL, topic_docs
+from tutorloom.plans.registry import ORACLES, query
 from tutorloom.session import shared_folder
 from tutorloom.sources import corpus as C
 from tutorloom.sources import sinks as SK
@@ -272,6 +277,42 @@ def _(spark, d):
     return SK.flattened(files)
 
 
+@query("snk1_topic_output", sql_with("document_topics", f"WITH {TABLE_SQL} SELECT topic_id, name, count FROM named"))
+def _(spark, d):
+    docs = topic_docs(spark, d)
+    folder = f"{shared_folder(spark)}/tutorloom/topics-{uuid.uuid4().hex}"
+    SK.write_topics(TP.topic_table(docs, TP.topic_words(docs)), docs.select("doc_id", "topic_id"), folder)
+    return spark.read.schema("topic_id int, name string, count long").json(f"{folder}/topics")
+
+
+@query("snk2_prepared_corpus", f"WITH RECURSIVE {PREPARED_SQL} SELECT doc_id, source, cleaned AS text FROM passed ANTI JOIN removed USING (doc_id)")
+def _(spark, d):
+    folder = f"{shared_folder(spark)}/tutorloom/prepared-{uuid.uuid4().hex}"
+    kept, stats = D.prepare(M.documents(spark, d))
+    SK.write_corpus(kept, stats, T.CleaningConfig(), folder)
+    return spark.read.parquet(f"{folder}/documents").select("doc_id", "source", "text")
+
+
+@query("udf2_generated_questions", """SELECT doc_id, 1 AS position, 'About ' || least(length(text), 4000) || ' characters?' AS question, 'multiple_choice' AS type, 0.8 AS confidence FROM documents""")
+def _(spark, d):
+    empty = len("Write 5 varied quiz questions about the content below.\nAllowed question types: multiple choice, true/false, short answer\nContent:\n")
+    tail = len('\nAnswer with a JSON array of objects with the keys "question", "type", "answer", "options", "explanation", "confidence".')
+
+    @F.pandas_udf("string")
+    def stub(prompt: pd.Series) -> pd.Series:
+        return prompt.map(lambda p: f'[{{"question": "About {len(p) - empty - tail} characters?", "answer": "yes"}}]')
+
+    return GEN.generate_questions(M.documents(spark, d), stub).select("doc_id", "position", "question", "type", "confidence")
+
+
+@query("sea2_semantic_search", """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT e AS qe FROM v ORDER BY id LIMIT 1)
+    SELECT id, round(list_cosine_similarity(e, qe), 6) AS similarity FROM v, q WHERE list_cosine_similarity(e, qe) >= 0.0 ORDER BY list_cosine_similarity(e, qe) DESC, id LIMIT 10""")
+def _(spark, d):
+    v = M.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    probe = list(v.orderBy("id").first()["embedding"])
+    return V.search(v, probe, 10).select("id", F.round("similarity", 6).alias("similarity"))
+
+
 # --- streams --------------------------------------------------------------------------------------------------
 
 
@@ -323,9 +364,6 @@ def _answer_stream(spark, d):
     )
 
 
-from tutorloom.plans.registry import ORACLES  # noqa: E402
-
-
 @query("str3_live_schedules", ORACLES["sm2_3_replay"])
 def _(spark, d):
     out = A.latest_schedules(A.run_to_end(A.live_schedules(_answer_stream(spark, d)), "update"))

@@ -179,7 +179,7 @@ def _(spark, d):
     return TP.sample_descriptions(M.documents(spark, d), "source", "doc_id", files="lang")
 
 
-TITLE_LEAD = f"""array_to_string(list_transform(regexp_extract_all(array_to_string({sql_words('text')}[1:4], ' '), '(\\p{{L}}+|[^\\p{{L}}]+)'), lambda p: upper(substr(p, 1, 1)) || lower(substr(p, 2))), '')"""
+TITLE_LEAD = f"""array_to_string(list_transform(regexp_extract_all(array_to_string({sql_words('text')}[1:4], ' '), '(\\p{{L}}+|[^\\p{{L}}]+)'), lambda p: CASE WHEN substr(p, 1, 1) = 'ß' THEN 'Ss' ELSE upper(substr(p, 1, 1)) END || lower(substr(p, 2))), '')"""
 
 
 @query("agg22_cluster_labels", f"""WITH g AS (SELECT source, count(*) AS n, arg_min({TITLE_LEAD}, doc_id) AS lead, avg(len({sql_words('text')})) AS mean_words,
