@@ -10,7 +10,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Upper bound, in rows x columns of a small side, for collecting lookups such as a vocabulary.
 MAX_LOOKUP_ROWS = 100_000
@@ -79,22 +78,6 @@ def write_step(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_step(df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`write_step` once nothing reads it."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tutorloom/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
-    """Broadcast hint only when a bounded count proves the side small; else leave it to the planner."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
-
-
 def bounded_rows(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> list:
     """Collect a lookup whose size is bounded by construction, failing loudly if it is not."""
     rows = df.limit(max_rows + 1).collect()
