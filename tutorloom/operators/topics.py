@@ -168,6 +168,7 @@ def topic_words(docs: DataFrame, topic: str = "topic_id", text: str = "text", to
     """
     kept = docs.filter(F.col(topic) >= 0)
     tf = kept.select(topic, F.explode(T.terms(F.col(text))).alias("term")).groupBy(topic, "term").agg(F.count("*").alias("tf"))
+    tf = write_step(tf, "topic_term_counts")  # the texts are taken apart once
     n_topics = kept.select(topic).distinct().count()
     terms = tf.groupBy("term").agg(F.sum("tf").alias("f"), F.count("*").alias("df")).filter(
         (F.col("df") >= min_df) & (F.col("df") <= max_df * n_topics)
