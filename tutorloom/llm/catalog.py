@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tutorloom.llm import bpe, chat, decontam
+from tutorloom.llm import bpe, chat, decontam, fingerprints
 from tutorloom.llm.common import table
 
 QUERIES: dict = {}
@@ -104,3 +104,9 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         decontam.contaminated().alias("contaminated"),
     )
+
+
+@query("op9_order_minhash")
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+    return marked.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")

@@ -51,8 +51,8 @@ def examples(turns: DataFrame) -> DataFrame:
     tail = len(END) + 1
     spot = F.struct("at", (F.col("stop") - tail - F.col("size")).alias("start"), F.col("size").alias("size"))
     whole = rows.groupBy("conv_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "segment"))), lambda x: x["segment"]), "").alias("whole"),
-        F.array_sort(F.collect_list(F.when(F.col("role") == TRAINED_ROLE, spot))).alias("spots"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "segment"))), lambda x: x["segment"]), "").alias("whole"),
+        F.sort_array(F.collect_list(F.when(F.col("role") == TRAINED_ROLE, spot))).alias("spots"),
         F.max_by("role", "at").alias("last_role"),
     )
     bare = F.array(F.struct(F.lit(None).cast("int").alias("at"), F.char_length("whole").cast("bigint").alias("start"), F.lit(0).alias("size")))
@@ -96,7 +96,7 @@ def conversation_digests(rows: DataFrame) -> DataFrame:
     )
     joined = each.groupBy("conv_id").agg(
         F.max_by("text", "size").alias("whole"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("target_turn").isNotNull(), F.struct("target_turn", "loss")))), lambda x: x["loss"]), "").alias("loss"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("target_turn").isNotNull(), F.struct("target_turn", "loss")))), lambda x: x["loss"]), "").alias("loss"),
         F.sum("size").alias("formatted_chars"),
     )
     turns = joined.select("conv_id", "loss", "formatted_chars", parsed_turns(F.col("whole")).alias("turns"))
