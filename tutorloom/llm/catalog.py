@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tutorloom.llm import bpe, chat, decontam, fingerprints
+from tutorloom.llm import bpe, chat, decontam, fingerprints, licenses
 from tutorloom.llm.common import table
 
 QUERIES: dict = {}
@@ -110,3 +110,37 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = fingerprints.fingerprints(table(spark, sf_dir, "documents"))
     return marked.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+OP10_SQL = r"""
+WITH given AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_split_to_array(coalesce(text, ''), '\n[ \t\n\x0B\f\r]*\n') AS blocks FROM documents
+), split AS (
+    SELECT doc_id, unnest(flatten(list_transform(blocks, lambda b: CASE WHEN contains(b, chr(10)) THEN list_append(string_split(b, chr(10)), b) ELSE [b] END))
+        || CASE WHEN len(blocks) > 1 THEN [text] ELSE [] END) AS part FROM given
+), bigram AS (
+    SELECT kind, id, label, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS own
+    FROM (SELECT kind, id, label, regexp_extract_all(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM (SELECT 'part' AS kind, row_number() OVER () AS id, CAST(doc_id AS VARCHAR) AS label, part FROM split
+            UNION ALL SELECT 'template', row_number() OVER (), name, words FROM (VALUES TEMPLATES) t(name, words)))
+), hits AS (
+    SELECT p.id, CAST(p.label AS BIGINT) AS doc_id, t.label AS license, 2.0 * len(list_intersect(p.own, t.own)) / (len(p.own) + len(t.own)) AS dice
+    FROM bigram p JOIN bigram t ON len(p.own) BETWEEN len(t.own) * 0.5 AND len(t.own) * 2.0 WHERE p.kind = 'part' AND t.kind = 'template'
+), best AS (
+    SELECT DISTINCT ON (id) * FROM hits WHERE dice >= 0.8 ORDER BY id, dice DESC, license DESC
+), per_doc AS (
+    SELECT doc_id, count(*) AS n_matches, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(dice) AS best_dice FROM best GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(licenses, '') AS licenses, coalesce(best_dice, 0.0) AS best_dice FROM documents LEFT JOIN per_doc USING (doc_id)
+""".replace("TEMPLATES", ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licenses.NOTICES))
+
+
+@query("op10_license_scan", OP10_SQL)
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "licenses")
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("bigint").alias("n_matches"),
+        F.array_join(F.sort_array(F.array_distinct(F.col("licenses.license"))), ",").alias("licenses"),
+        F.coalesce(F.array_max(F.col("licenses.dice")), F.lit(0.0)).alias("best_dice"),
+    )
