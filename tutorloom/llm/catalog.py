@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tutorloom.llm import bpe, chat, decontam, fingerprints, licenses
+from tutorloom.llm import bpe, chat, decontam, fingerprints, licenses, neardup
 from tutorloom.llm.common import table
 
 QUERIES: dict = {}
@@ -144,3 +144,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.sort_array(F.array_distinct(F.col("licenses.license"))), ",").alias("licenses"),
         F.coalesce(F.array_max(F.col("licenses.dice")), F.lit(0.0)).alias("best_dice"),
     )
+
+
+OP5_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+    SELECT doc_id, CASE WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words
+), links AS MATERIALIZED (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM sets a JOIN sets b
+    ON a.doc_id <> b.doc_id AND len(a.s) > 0 AND len(b.s) > 0 AND 100 * least(len(a.s), len(b.s)) >= 80 * greatest(len(a.s), len(b.s))
+        AND 180 * len(list_intersect(a.s, b.s)) >= 80 * (len(a.s) + len(b.s))
+), reach(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a
+)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+
+@query("op5_minhash_near_duplicates", OP5_SQL)
+def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
