@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tutorloom.llm import bpe, chat, decontam, fingerprints, licenses, neardup
+from tutorloom.llm import bpe, chat, decontam, fingerprints, licenses, neardup, substrings
 from tutorloom.llm.common import table
 
 QUERIES: dict = {}
@@ -166,3 +166,27 @@ FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY do
 @query("op5_minhash_near_duplicates", OP5_SQL)
 def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), wins AS (
+    SELECT doc_id, p, array_to_string(w[p + 1:p + 20], ' ') AS win FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 19, 0))) AS p FROM words)
+), later AS (
+    SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY win ORDER BY doc_id, p) AS nth FROM wins) WHERE nth > 1
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM later
+), per_doc AS (
+    SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+    sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(len(w)), lambda i: NOT list_contains(gone, i)), lambda i: w[i + 1]) END, ' '), '')) AS kept_sha256
+FROM words LEFT JOIN per_doc USING (doc_id)
+"""
+
+
+@query("op4_repeated_passages", OP4_SQL)
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
