@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tutorloom.llm import bpe, chat, decontam, fingerprints, licenses, neardup, substrings
+from tutorloom.llm import bpe, chat, decontam, fingerprints, licenses, linededup, neardup, substrings
 from tutorloom.llm.common import table
 
 QUERIES: dict = {}
@@ -190,3 +190,29 @@ FROM words LEFT JOIN per_doc USING (doc_id)
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.without_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH lines AS (
+    SELECT doc_id, i - 1 AS pos, l[i] AS line, trim(l[i], chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS t
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)
+), firsts AS MATERIALIZED (
+    SELECT t, length(t) AS n, min(ROW(doc_id, pos)) AS first FROM lines WHERE length(t) >= 10 GROUP BY t
+), near AS (
+    SELECT DISTINCT greatest(a.first, b.first) AS late FROM firsts a JOIN firsts b
+    ON a.n >= 20 AND b.n BETWEEN a.n AND a.n + 2 AND b.n >= 20 AND a.t <> b.t AND levenshtein(a.t, b.t) <= 2
+), gone AS (
+    SELECT doc_id, pos FROM lines JOIN firsts USING (t) WHERE ROW(doc_id, pos) > first OR ROW(doc_id, pos) IN (SELECT late FROM near)
+), kept AS (
+    SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS kept FROM lines ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n_lines, (SELECT count(*) FROM gone g WHERE g.doc_id = d.doc_id) AS n_removed,
+    sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op2_line_dedup", OP2_SQL)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
