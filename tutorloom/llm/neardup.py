@@ -4,15 +4,17 @@ A text's set is its distinct runs of ``SHINGLE`` words (A-Z in lower case), or a
 sets are one class. The sketch of a class is its ``K`` smallest 64-bit hashes (the whole set, if it has no more).
 
 Inverted lists. The k smallest hashes of a union are in the sketch of every member that has them, so two sets with
-similarity s share a binomial(k, s) number of retained values: fewer than ``CUT`` of them with a probability below 2e-9 at 0.8.
+similarity s share a binomial(k, s) number of retained values: fewer than a share of ``CUT`` with a probability below 2e-7 at 0.8.
 Two sketches that share c of k values share one among the k - c + 1 values that are rarest in the corpus, so only these enter the lists.
-Sets of at most 0.8 * ``K`` shingles are whole sketches, and c follows from the threshold itself.
+Sets of at most 0.8 * ``K`` shingles are whole sketches, and c follows from the threshold itself. A list is kept apart by bands of
+set size: linked sets differ by a band at most, so a class is filed under its own band and the next.
 
 No list is expanded into pairs. Its hub, the member with the most shared values, meets every member (star). Members that
-the hub is linked with are connected already. The rest meets the members around the same hub (estimate ``AROUND`` or more on both
-sides); members far from the hub meet the others of their list that aren't near it. These joins compare sizes, then the
-estimate from the union sketch, then the whole sets, and give out links alone. By the triangle inequality of the Jaccard distance a
-link between a near and a far member would need a larger difference than ``AROUND`` to ``NEAR`` leaves room for.
+the hub is linked with are connected already. A member around the hub (estimate ``AROUND`` or more) without a link to it only needs
+one link to a connected one; if it has none, it meets the other unconnected members around the hub. Members far from the hub meet
+the others of their list that aren't near it. These joins compare sizes, then the estimate from the union sketch, then the whole
+sets. By the triangle inequality of the Jaccard distance a link between a near and a far member would need a larger
+difference than ``AROUND`` to ``NEAR`` leaves room for.
 
 Defined results: null, empty and wordless texts have an empty set, are linked with nothing and kept; rows without an id are
 linked with nothing and kept, with a null component; rows with the same id are one document; extra columns are ignored.
@@ -20,6 +22,7 @@ linked with nothing and kept, with a null component; rows with the same id are o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +38,7 @@ from tutorloom.llm.components import components
 SHINGLE = 2
 K = 64
 PERCENT = 80  # least similarity of a link
-CUT, AROUND, NEAR = 0.4375, 0.3, 0.75  # shares of the union sketch
+CUT, AROUND, NEAR = 0.5, 0.3, 0.75  # shares of the union sketch
 SLICE_CHARS = 4_000_000
 
 
@@ -99,7 +102,7 @@ def _sizes_allow(a: Column, b: Column) -> Column:
 
 
 def _prefixes(reps: DataFrame) -> DataFrame:
-    """(rid, value, shared): of each class the values that its inverted lists need; ``shared`` counts its values that others have too."""
+    """(rid, n, value, shared): of each class the values that its inverted lists need; ``shared`` counts its values that others have too."""
     rows = reps.select("rid", "n", F.explode("sketch").alias("value"))
     frequent = rows.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     of_class = Window.partitionBy("rid")
@@ -107,12 +110,14 @@ def _prefixes(reps: DataFrame) -> DataFrame:
     held = F.least("n", F.lit(K))
     needed = F.when(F.col("n") * 100 <= K * PERCENT, F.ceil(F.col("n") * PERCENT / 100)).otherwise(F.lit(int(K * CUT)))
     # values that no other class has are the rarest: they come first and need no list
-    return ranked.where(F.col("rank") <= held - needed + 1 - (held - F.col("shared"))).select("rid", "value", "shared")
+    return ranked.where(F.col("rank") <= held - needed + 1 - (held - F.col("shared"))).select("rid", "n", "value", "shared")
 
 
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(a, b): links between classes ``reps`` (rid, n, sketch) that connect whatever is connected."""
-    lists = written(_prefixes(reps), "lists")
+    """(a, b): pairs of classes ``reps`` (rid, n, sketch) that connect what links connect, and nothing else."""
+    band = F.floor(F.log("n") / math.log(100 / PERCENT)).cast("int")
+    prefixes = _prefixes(reps).withColumn("band", F.explode(F.array(band, band + 1)))
+    lists = written(prefixes.select("rid", "shared", F.xxhash64("value", "band").alias("value")), "lists")
     hubs = lists.groupBy("value").agg(F.min(F.struct((-F.col("shared")).alias("order"), "rid")).alias("hub"), F.count("*").alias("size"))
     hubs = hubs.where("size > 1").select("value", F.col("hub.rid").alias("hub"))
     placed = written(lists.join(hubs, "value").select("value", "hub", "rid"), "placed")
@@ -149,15 +154,20 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     judged = written(judged.select("hub", "rid", _linked(F.col("rid_set"), F.col("hub_set")).alias("linked")), "judged")
     from_far = far.join(of("a"), "a").join(of("b"), "b").where(_linked(F.col("a_set"), F.col("b_set"))).select("a", "b")
 
-    # members around a hub without a link to it, against all around it; those with a link are connected by it
+    # members around a hub without a link to it
     strays = judged.where("NOT linked").select("hub").distinct()
     full = judged.join(strays, "hub", "left_semi").join(thin, "rid").join(sets, "rid")
-    left = full.where("NOT linked").select("hub", *(F.col(c).alias(f"l_{c}") for c in ("rid", "n", "sketch", "shingles")))
-    right = full.select("hub", "linked", *(F.col(c).alias(f"r_{c}") for c in ("rid", "n", "sketch", "shingles")))
-    once = (F.col("l_rid") != F.col("r_rid")) & (F.col("linked") | (F.col("l_rid") < F.col("r_rid")))
-    alike = _sizes_allow(F.col("l_n"), F.col("r_n")) & (_estimate(F.col("l_sketch"), F.col("r_sketch")) >= CUT)
-    met = left.join(right, "hub").where(once & alike & _linked(F.col("l_shingles"), F.col("r_shingles")))
-    return judged.where("linked").select(F.col("hub").alias("a"), F.col("rid").alias("b")).union(from_far).union(met.select("l_rid", "r_rid"))
+
+    def around_hub(linked: str, name: str) -> DataFrame:
+        return full.where(linked).select(F.col("hub").alias(f"{name}_hub"), *(F.col(c).alias(f"{name}_{c}") for c in ("rid", "n", "sketch", "shingles")))
+
+    same_hub = F.col("l_hub") == F.col("r_hub")
+    alike = _sizes_allow(F.col("l_n"), F.col("r_n")) & (_estimate(F.col("l_sketch"), F.col("r_sketch")) >= CUT) & _linked(F.col("l_shingles"), F.col("r_shingles"))
+    left = around_hub("NOT linked", "l")
+    tied = written(left.join(around_hub("linked", "r"), same_hub & alike, "left_semi").select("l_hub", "l_rid"), "tied")
+    loose = left.join(tied, ["l_hub", "l_rid"], "left_anti")
+    met = loose.join(around_hub("NOT linked", "r"), same_hub & (F.col("l_rid") != F.col("r_rid")) & alike)
+    return judged.where("linked").select("hub", "rid").union(from_far).union(tied).union(met.select("l_rid", "r_rid")).toDF("a", "b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
