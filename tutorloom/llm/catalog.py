@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tutorloom.llm import bpe, chat, decontam, fingerprints, licenses, linededup, neardup, substrings
+from tutorloom.llm import bpe, chat, decontam, fingerprints, licenses, linededup, neardup, pages, substrings
 from tutorloom.llm.common import table
 
 QUERIES: dict = {}
@@ -216,3 +216,9 @@ FROM documents d LEFT JOIN kept USING (doc_id)
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op3_html_main_text")
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = pages.main_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
