@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tutorloom.llm import bpe, chat, decontam, fingerprints, licenses, linededup, neardup, pages, substrings
+from tutorloom.llm import bpe, chat, decontam, fingerprints, langid, licenses, linededup, neardup, pages, substrings
 from tutorloom.llm.common import table
 
 QUERIES: dict = {}
@@ -222,3 +222,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = pages.main_texts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return texts.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.predict_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
