@@ -90,7 +90,7 @@ def main():
 
     args = sys.argv[1:]
     sf_dir = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.01"
-    signal.signal(signal.SIGALRM, lambda *_: (_ for _ in ()).throw(TimeoutError("90 s passed")))
+    signal.signal(signal.SIGALRM, lambda *_: (_ for _ in ()).throw(TimeoutError("400 s passed")))
     spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("OFF")
     con = duck(sf_dir)
@@ -98,7 +98,7 @@ def main():
     counts: dict[str, int] = {}
     for n in names:
         try:
-            signal.alarm(90)
+            signal.alarm(400)
             verdict, detail, seconds = compare(spark, con, n, sf_dir)
         except Exception as e:  # noqa: BLE001
             spark.sparkContext.cancelAllJobs()
