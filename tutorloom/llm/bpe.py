@@ -2,7 +2,7 @@
 
 ``encode`` adds ``token_ids`` (array<int>), ``n_tokens`` and ``n_split`` (tokens that begin inside a character) and, on
 request, ``token_spans`` (array<struct<start, end>> in code points; a token that holds part of a character spans that whole
-character). ``decode`` turns ``token_ids`` into ``decoded`` (binary) and ``decoded_text``.
+character). ``decode`` turns ``token_ids`` into ``decoded`` (binary) and, on request, ``decoded_text``.
 
 Defined results: a null text is the empty text, which has no tokens; a text of any length is encoded whole; repeated rows
 are encoded each; input columns named like an output column are replaced; ids outside the vocabulary raise.
@@ -57,6 +57,7 @@ class Vocabulary:
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
+        self.token_bytes = np.array(self.bytes_of, dtype=object)
         self.length = np.array([len(t) for t in self.bytes_of], np.int64)
         char_of = byte_characters()
 
@@ -107,8 +108,8 @@ class Vocabulary:
             parts.append(np.fromiter(chain.from_iterable(map(self.known.__getitem__, pieces)), np.int32))
         return np.concatenate(parts) if len(parts) > 1 else parts[0]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.token_bytes[ids].tolist())
 
 
 @functools.lru_cache(maxsize=4)
@@ -163,9 +164,9 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", with
     return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
 
 
-def decode(tokens: DataFrame, ranks: bytes, pattern: str, ids: str = "token_ids") -> DataFrame:
-    """``tokens`` with the bytes and the text that column ``ids`` stands for (null ids: empty)."""
-    fields = [T.StructField("decoded", T.BinaryType()), T.StructField("decoded_text", T.StringType())]
+def decode(tokens: DataFrame, ranks: bytes, pattern: str, ids: str = "token_ids", as_text: bool = False) -> DataFrame:
+    """``tokens`` with the bytes that column ``ids`` stands for (null ids: empty), and with ``as_text`` the text they spell."""
+    fields = [T.StructField("decoded", T.BinaryType())] + ([T.StructField("decoded_text", T.StringType())] if as_text else [])
     kept, schema = _with_fields(tokens, {f.name for f in fields}, fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +174,9 @@ def decode(tokens: DataFrame, ranks: bytes, pattern: str, ids: str = "token_ids"
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                data = [vocab.decode(x.values.to_pylist() if x.is_valid else []) for x in part.column(ids)]
-                columns = [part.column(c) for c in kept] + [pa.array(data, pa.binary()), pa.array([d.decode(errors="replace") for d in data])]
+                data = [vocab.decode(x.values.to_numpy()) if x.is_valid else b"" for x in part.column(ids)]
+                columns = [part.column(c) for c in kept] + [pa.array(data, pa.binary())]
+                columns += [pa.array([d.decode(errors="replace") for d in data], pa.string())] if as_text else []
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return tokens.select(*dict.fromkeys([*kept, ids])).mapInArrow(run, schema)
