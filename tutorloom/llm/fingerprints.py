@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tutorloom.functions.text import let
+from tutorloom.llm.common import small_or_not, written
 
 TOKEN_CHARS, K, BINS, KEPT = 16, 3, 64, 2
 SPAN = 6  # documents whose ids agree but for these low bits are brought together to find the next text
@@ -115,7 +116,7 @@ def _next_keys(keys: DataFrame) -> DataFrame:
         levels.append(levels[-1].groupBy(F.shiftright("group", 16).alias("group")).agg(F.min("first").alias("first")))
     follow = None  # (group, next_first) of the level above
     for level in reversed(levels):
-        above = F.shiftright("group", 16)
+        above = F.lit(0) if follow is None else F.shiftright("group", 16)  # the topmost level is one group of at most 2**16
         near = level.select("first", "group", F.lead("first").over(Window.partitionBy(above).orderBy("group")).alias("near"), above.alias("above"))
         if follow is not None:
             near = near.join(follow, "above", "left").withColumn("near", F.coalesce("near", "far"))
@@ -123,25 +124,29 @@ def _next_keys(keys: DataFrame) -> DataFrame:
     return follow.select(F.col("above").alias("key"), F.col("far").alias("next_key"))
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """``docs`` (doc_id and ``carried``) with ``next_<column>`` of the following row by doc_id; the first row follows the last.
+def with_next(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with its ``fingerprint`` and the text and fingerprint of the following row by doc_id; the first row follows the last.
 
     Rows without an id have no next row. A text moves once, with the at most ``2 ** SPAN`` ids of its bucket.
     """
     bucket = F.shiftright(F.col("doc_id").cast("bigint"), SPAN)
-    row = F.struct(*carried)
-    bucketed = docs.where("doc_id IS NOT NULL").select("doc_id", *carried, bucket.alias("bucket")).repartition("bucket")
+    known = docs.where("doc_id IS NOT NULL")
+    row = F.struct("text", "fingerprint")
+    bucketed = with_fingerprint(known.withColumn("bucket", bucket), "text", "fingerprint")
     inside = bucketed.withColumn("after", F.lead(row).over(Window.partitionBy("bucket").orderBy("doc_id")))
     # the first row of a bucket follows the last row of the bucket before it
-    firsts = bucketed.groupBy("bucket").agg(F.min_by(row, "doc_id").alias("opening"))
-    keys = docs.where("doc_id IS NOT NULL").select(bucket.alias("key")).distinct()
-    lowest = keys.agg(F.min("key")).first()[0]
-    following = _next_keys(keys).select("key", F.coalesce("next_key", F.lit(lowest)).alias("next_key"))
-    openings = following.join(firsts, F.col("next_key") == F.col("bucket")).select("key", "opening")
+    opening = written(known.groupBy(bucket.alias("key")).agg(F.min("doc_id").alias("doc_id")), "openings")
+    firsts = with_fingerprint(known.join(small_or_not(opening.select("doc_id")), "doc_id", "left_semi"), "text", "fingerprint")
+    firsts = firsts.select(bucket.alias("next_key"), row.alias("opening")).dropDuplicates(["next_key"])
+    lowest = opening.agg(F.min("key")).first()[0]
+    following = _next_keys(opening.select("key")).select("key", F.coalesce("next_key", F.lit(lowest)).alias("next_key"))
+    openings = following.join(firsts, "next_key").select("key", "opening")
     after = F.coalesce("after", "opening")
-    linked = inside.join(openings, F.col("bucket") == F.col("key"), "left").select("doc_id", *carried, *(after[c].alias(f"next_{c}") for c in carried))
-    loose = docs.where("doc_id IS NULL").select("doc_id", *carried, *(F.lit(None).cast("string").alias(f"next_{c}") for c in carried))
-    return linked.unionByName(loose)
+    linked = inside.join(openings, F.col("bucket") == F.col("key"), "left")
+    linked = linked.select("doc_id", "text", "fingerprint", after["text"].alias("next_text"), after["fingerprint"].alias("next_fingerprint"))
+    nothing = F.lit(None).cast("string")
+    loose = with_fingerprint(docs.where("doc_id IS NULL"), "text", "fingerprint")
+    return linked.unionByName(loose.select("doc_id", "text", "fingerprint", nothing.alias("next_text"), nothing.alias("next_fingerprint")))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -151,8 +156,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     document's, by ascending id (the first document follows the last).
     """
     given = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    paired = with_next(with_fingerprint(given, "text", "fingerprint"), ["text", "fingerprint"])
-    sized = paired.withColumn("n_chars", F.char_length("text").cast("bigint"))
+    sized = with_next(given).withColumn("n_chars", F.char_length("text").cast("bigint"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring("next_text", F.lit(1), quarter))
     edited = sized.select("doc_id", "text", "n_chars", "fingerprint", "next_fingerprint", F.coalesce(edited, F.col("text")).alias("edited"))
