@@ -24,6 +24,8 @@ ADVICE = {
 # -----------------------------------------------------------------------------------------------
 
 DAY_MICROS = 86_400_000_000
+MAX_INTERVAL = 2_900_000  # days; later reviews would pass the year 9999, where the calendar types end
+CALENDAR_END = "9999-12-31 23:59:59"
 
 
 def days_between(later: Column, earlier: Column) -> Column:
@@ -33,7 +35,8 @@ def days_between(later: Column, earlier: Column) -> Column:
 
 
 def add_days(ts: Column, days: Column) -> Column:
-    return ts + F.make_dt_interval(days)
+    """``ts`` some days later; past the calendar's end its last second."""
+    return F.least(ts + F.make_dt_interval(days), F.lit(CALENDAR_END).cast("timestamp_ntz"))
 
 
 def age_bucket(ts: Column, as_of: Column) -> Column:
@@ -96,7 +99,7 @@ def next_interval(ease: Column, interval: Column, reviews: Column, quality: Colu
         F.when(quality < 3, 1)
         .when(reviews == 0, 1)
         .when(reviews == 1, 6)
-        .otherwise(F.bround(interval * ease).cast("int"))
+        .otherwise(F.least(F.bround(interval * ease), F.lit(float(MAX_INTERVAL))).cast("int"))
     )
 
 

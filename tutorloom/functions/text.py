@@ -180,9 +180,9 @@ def first_filled(*cols: Column, min_words: int = 1) -> Column:
     return F.coalesce(*tests)
 
 
-def topic_input(text: Column, max_chars: int = 50_000, min_ratio: float = 0.7) -> Column:
-    """Guard before topic discovery: null for fewer than 3 words or mostly symbol text."""
-    cut = F.substring(text, 1, max_chars)
+def topic_input(text: Column, max_chars: int | None = None, min_ratio: float = 0.7) -> Column:
+    """Guard before topic discovery: null for fewer than 3 words or mostly symbol text; ``max_chars`` cuts longer texts."""
+    cut = F.substring(text, 1, max_chars) if max_chars is not None else text
     kept = F.length(F.regexp_replace(cut, r"[^\p{L}\p{N}\s.,!?;:]", ""))
     ok = (word_count(text) >= 3) & (F.try_divide(kept, F.length(cut)) >= min_ratio)
     return F.when(ok, collapse_space(cut))
@@ -294,14 +294,14 @@ def terms(text: Column, stop_words: list[str] = ENGLISH_STOP_WORDS) -> Column:
     return one_and_two_grams(F.filter(word_tokens(text), lambda t: ~t.isin(stop_words)))
 
 
-def generation_prompt(content: Column, count: int, question_types: list[str] | None = None, difficulty: Column | None = None) -> Column:
-    """Prompt asking a text generator for questions on the first 4000 characters."""
+def generation_prompt(content: Column, count: int, question_types: list[str] | None = None, difficulty: Column | None = None, max_chars: int | None = None) -> Column:
+    """Prompt asking a text generator for questions on a text, or on its first ``max_chars`` characters."""
     kinds = ", ".join(question_types) if question_types else "multiple choice, true/false, short answer"
     level = F.concat(F.lit(" at "), difficulty, F.lit(" difficulty level")) if difficulty is not None else F.lit("")
     return F.concat(
         F.lit(f"Write {count} varied quiz questions"), level,
         F.lit(f" about the content below.\nAllowed question types: {kinds}\nContent:\n"),
-        F.substring(content, 1, 4000),
+        F.substring(content, 1, max_chars) if max_chars is not None else content,
         F.lit('\nAnswer with a JSON array of objects with the keys "question", "type", "answer", "options", "explanation", "confidence".'),
     )
 

@@ -107,7 +107,11 @@ def names_by_extension(files: DataFrame, path: str = "path") -> DataFrame:
 def prepare_folder(spark: SparkSession, folder: str, cfg: CleaningConfig = CleaningConfig(), max_files: int | None = None) -> dict[str, DataFrame]:
     """Scan, load and prepare a folder: kept documents with their file, statistics, configuration, files by extension."""
     files = corpus.scan_folder(spark, folder, max_files)
-    kept, stats = prepare(spread(corpus.load_documents(files)), cfg, key="doc_key")
+    loaded = spread(corpus.load_documents(files))
+    # of near-duplicates the first by path and part stays
+    placed = loaded.withColumn("place", F.concat_ws("\u0000", "file_path", F.lpad(F.col("part").cast("string"), 10, "0")))
+    kept, stats = prepare(placed, cfg, key="place")
+    kept = kept.drop("place")
     return {
         "documents": kept,
         "stats": stats,

@@ -26,9 +26,9 @@ def generate_questions(
     return prompts.join(parsed, "prompt").select(key, (F.col("i") + 1).alias("position"), "q.*")
 
 
-def judge_relationships(areas: DataFrame, generate: Generate, per_workspace: int = 20) -> DataFrame:
+def judge_relationships(areas: DataFrame, generate: Generate, evidence: DataFrame | None = None) -> DataFrame:
     """Topic relationships of every workspace from a generator's verdict on each candidate pair."""
-    pairs = G.relationship_candidates(areas, per_workspace)
+    pairs = G.relationship_candidates(areas, evidence)
     for side in ("source", "target"):
         about = areas.select(F.col("topic_area_id").alias(f"{side}_topic_id"), F.concat_ws(": ", "name", "description").alias(f"{side}_text"))
         pairs = pairs.join(about, f"{side}_topic_id")

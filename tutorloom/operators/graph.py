@@ -244,16 +244,27 @@ def concept_files(windows: DataFrame, docs: DataFrame, key: str = "doc_id", path
 # --- topic relationships --------------------------------------------------------------------------------------
 
 
-def relationship_candidates(areas: DataFrame, per_workspace: int = 20) -> DataFrame:
-    """Unordered topic pairs of each workspace to be judged.
+def relationship_candidates(areas: DataFrame, evidence: DataFrame | None = None, blocks: int = 8) -> DataFrame:
+    """Unordered topic pairs of each workspace to be judged: topics that share a piece of evidence.
 
-    A workspace keeps at most ``per_workspace`` topic areas (the ranking operators' own limit, checked
-    here), so it yields at most 190 pairs; they are made from that short list inside one row.
+    ``evidence`` (topic_area_id, evidence) lists common files, concepts or words; by default the words of the
+    topics' names. The pairs come from an equi-join on the evidence, a frequent piece being met in ``blocks`` parts. A topic
+    that shares nothing is paired with its neighbour by id, so every topic of a workspace with two or more is judged.
     """
-    kept = top_n(areas, per_workspace, [F.col("topic_area_id")], ["workspace_id"])
-    listed = kept.groupBy("workspace_id").agg(F.array_sort(F.collect_list("topic_area_id")).alias("ids"))
-    pairs = F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", lambda b: b > a), lambda b: F.struct(a.alias("source_topic_id"), b.alias("target_topic_id")))))
-    return listed.select("workspace_id", F.inline(pairs))
+    if evidence is None:
+        words = F.filter(F.array_distinct(F.split(F.lower("name"), r"[^\p{L}\p{N}]+")), lambda w: w != "")
+        evidence = areas.select("topic_area_id", F.explode(words).alias("evidence"))
+    ids = areas.select("workspace_id", "topic_area_id")
+    held = ids.join(evidence.select("topic_area_id", "evidence").distinct(), "topic_area_id")
+    left = held.select("workspace_id", "evidence", F.col("topic_area_id").alias("source_topic_id"), F.pmod(F.xxhash64("topic_area_id"), F.lit(blocks)).alias("block"))
+    right = held.select("workspace_id", "evidence", F.col("topic_area_id").alias("target_topic_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
+    shared = left.join(right, ["workspace_id", "evidence", "block"]).filter("source_topic_id < target_topic_id").select("workspace_id", "source_topic_id", "target_topic_id").distinct()
+    paired = shared.select(F.col("source_topic_id").alias("topic_area_id")).unionByName(shared.select(F.col("target_topic_id").alias("topic_area_id")))
+    order = Window.partitionBy("workspace_id").orderBy("topic_area_id")
+    near = ids.withColumn("other", F.coalesce(F.lead("topic_area_id").over(order), F.lag("topic_area_id").over(order)))
+    alone = near.filter("other IS NOT NULL").join(paired.distinct(), "topic_area_id", "left_anti")
+    alone = alone.select("workspace_id", F.least("topic_area_id", "other").alias("source_topic_id"), F.greatest("topic_area_id", "other").alias("target_topic_id"))
+    return shared.unionByName(alone).distinct()
 
 
 def relationships_from_verdicts(pairs: DataFrame, verdict: Column) -> DataFrame:

@@ -66,7 +66,8 @@ def upsert_relationships(stored: DataFrame, new: DataFrame) -> DataFrame:
         return df.withColumn("_low", F.least(s, t)).withColumn("_high", F.greatest(s, t))
 
     values = ["relationship_type", "strength", "reasoning"]
-    fresh = keyed(new).select("_low", "_high", *[F.col(c).alias(f"_new_{c}") for c in ["relationship_id", "source_topic_id", "target_topic_id", *values]])
+    # a batch may hold a pair in both directions: its last relationship by id counts
+    fresh = latest_per_key(keyed(new), ["_low", "_high"], [F.desc("relationship_id"), F.desc("source_topic_id")]).select("_low", "_high", *[F.col(c).alias(f"_new_{c}") for c in ["relationship_id", "source_topic_id", "target_topic_id", *values]])
     joined = keyed(stored).join(fresh, ["_low", "_high"], "full_outer")
     old_first = [F.coalesce(c, f"_new_{c}").alias(c) for c in ("relationship_id", "source_topic_id", "target_topic_id")]
     return joined.select(*old_first, *[F.coalesce(f"_new_{c}", c).alias(c) for c in values])

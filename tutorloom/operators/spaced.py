@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tutorloom.functions import study as S
 
-MAX_INTERVAL = 2_900_000  # days; later reviews would pass the year 9999, where the calendar types end
+MAX_INTERVAL = S.MAX_INTERVAL
 
 
 def step(df: DataFrame, ease="ease_factor", interval="interval_days", reviews="review_count", quality="quality") -> DataFrame:

@@ -106,8 +106,8 @@ def _(spark, d):
     )
 
 
-TOPIC_INPUT_SQL = f"""SELECT doc_id, trim(regexp_replace(substr(text, 1, 50000), '{SP}+', ' ', 'g')) AS text FROM documents
-    WHERE len({sql_words('text')}) >= 3 AND length(regexp_replace(substr(text, 1, 50000), '[^\\p{{L}}\\p{{N}}\\s.,!?;:]', '', 'g')) / length(substr(text, 1, 50000)) >= 0.7"""
+TOPIC_INPUT_SQL = f"""SELECT doc_id, trim(regexp_replace(text, '{SP}+', ' ', 'g')) AS text FROM documents
+    WHERE len({sql_words('text')}) >= 3 AND length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}\\s.,!?;:]', '', 'g')) / length(text) >= 0.7"""
 
 
 @query("doc10_topic_input", TOPIC_INPUT_SQL)
@@ -246,9 +246,9 @@ def _(spark, d):
 
 
 @query("fn3_fn4_titles", """SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS preview,
-    array_to_string(list_transform(regexp_extract_all(substr(text, 1, 60), '(\\p{L}+|[^\\p{L}]+)'), lambda p: CASE WHEN substr(p, 1, 1) = 'ß' THEN 'Ss' ELSE upper(substr(p, 1, 1)) END || lower(substr(p, 2))), '') AS title FROM documents""")
+    array_to_string(list_transform(regexp_extract_all(text, '(\\p{L}+|[^\\p{L}]+)'), lambda p: CASE WHEN substr(p, 1, 1) = 'ß' THEN 'Ss' ELSE upper(substr(p, 1, 1)) END || lower(substr(p, 2))), '') AS title FROM documents""")
 def _(spark, d):
-    return M.documents(spark, d).select("doc_id", T.preview(F.col("text")).alias("preview"), T.title_case(F.substring("text", 1, 60)).alias("title"))
+    return M.documents(spark, d).select("doc_id", T.preview(F.col("text")).alias("preview"), T.title_case(F.col("text")).alias("title"))
 
 
 @query("fn5_path_parts", f"""WITH p AS (SELECT page_id, {URL_PATH_SQL} AS path FROM pages)
@@ -269,7 +269,7 @@ def _(spark, d):
 
 
 @query("fn9_generation_prompt", """SELECT doc_id, 'Write 5 varied quiz questions at ' || CASE WHEN n_chars > 1000 THEN 'hard' ELSE 'easy' END
-    || ' difficulty level about the content below.' || chr(10) || 'Allowed question types: true_false' || chr(10) || 'Content:' || chr(10) || substr(text, 1, 4000)
+    || ' difficulty level about the content below.' || chr(10) || 'Allowed question types: true_false' || chr(10) || 'Content:' || chr(10) || text
     || chr(10) || 'Answer with a JSON array of objects with the keys "question", "type", "answer", "options", "explanation", "confidence".' AS prompt FROM documents""")
 def _(spark, d):
     level = F.when(F.col("n_chars") > 1000, "hard").otherwise("easy")

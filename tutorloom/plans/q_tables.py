@@ -212,10 +212,10 @@ def _(spark, d):
     return files.groupBy(T.directory(F.col("relative_path")).alias("folder")).agg(F.sum("length").alias("bytes"))
 
 
-@query("src3_src4_text_tests", "SELECT doc_id, regexp_full_match(substr(text, 1, 200), '[^\\x00-\\x06\\x0B\\x0E-\\x1A\\x1C-\\x1F\\x7F]*') AS plain, TRUE AS utf8 FROM documents")
+@query("src3_src4_text_tests", "SELECT doc_id, regexp_full_match(text, '[^\\x00-\\x06\\x0B\\x0E-\\x1A\\x1C-\\x1F\\x7F]*') AS plain, NOT contains(text, chr(0)) AS utf8 FROM documents")
 def _(spark, d):
-    head = F.substring("text", 1, 200).cast("binary")
-    return M.documents(spark, d).select("doc_id", C.is_plain_bytes(head).alias("plain"), C.is_utf8(head).alias("utf8"))
+    content = F.col("text").cast("binary")
+    return M.documents(spark, d).select("doc_id", C.is_plain_bytes(content).alias("plain"), C.is_utf8(content).alias("utf8"))
 
 
 TRIM = f"regexp_replace(x, '^{SP}+|{SP}+$', '', 'g')"
@@ -293,7 +293,7 @@ def _(spark, d):
     return spark.read.parquet(f"{folder}/documents").select("doc_id", "source", "text")
 
 
-@query("udf2_generated_questions", """SELECT doc_id, 1 AS position, 'About ' || least(length(text), 4000) || ' characters?' AS question, 'multiple_choice' AS type, 0.8 AS confidence FROM documents""")
+@query("udf2_generated_questions", """SELECT doc_id, 1 AS position, 'About ' || length(text) || ' characters?' AS question, 'multiple_choice' AS type, 0.8 AS confidence FROM documents""")
 def _(spark, d):
     empty = len("Write 5 varied quiz questions about the content below.\nAllowed question types: multiple choice, true/false, short answer\nContent:\n")
     tail = len('\nAnswer with a JSON array of objects with the keys "question", "type", "answer", "options", "explanation", "confidence".')

@@ -211,7 +211,7 @@ def _(spark, d):
 
 
 @query("topic10_cluster_topic_areas", sql_with("document_topics", """WITH dx AS (SELECT doc_id, topic_id % 5 AS workspace_id, topic_id, source, 1.0 / (1 + doc_id % 4) AS relevance FROM document_topics WHERE topic_id >= 0),
-    m AS (SELECT * FROM dx WHERE workspace_id <> 2),
+    m AS (SELECT * FROM dx),
     a AS (SELECT 'cluster_' || workspace_id || '_' || topic_id AS topic_area_id, workspace_id, least(1.0, avg(relevance)) AS coverage_score, count(*) AS concept_count, count(DISTINCT source) AS file_count FROM m GROUP BY workspace_id, topic_id HAVING count(*) >= 3),
     ws AS (SELECT n_nationkey AS workspace_id FROM nation),
     t AS (SELECT workspace_id, count(*) AS n, avg(relevance) AS r, count(DISTINCT source) AS file_count FROM dx GROUP BY 1)
@@ -222,7 +222,7 @@ def _(spark, d):
     docs = topic_docs(spark, d).filter("topic_id >= 0").select(
         "doc_id", (F.col("topic_id") % 5).cast("long").alias("workspace_id"), "topic_id", F.col("source").alias("file_path"), "text", (1.0 / (1 + F.col("doc_id") % 4)).alias("relevance")
     )
-    member = docs.filter("workspace_id <> 2").select("workspace_id", F.col("topic_id").alias("cluster"), "doc_id")
+    member = docs.select("workspace_id", F.col("topic_id").alias("cluster"), "doc_id")
     ws = M.workspaces(spark, d).select(F.col("id").alias("workspace_id"))
     areas = TP.cluster_topic_areas(member, docs.drop("topic_id"), ws)
     return areas.select("topic_area_id", "workspace_id", *rounded("coverage_score"), "concept_count", "file_count")
@@ -230,7 +230,7 @@ def _(spark, d):
 
 @query("topic12_analyse_corpus")
 def _(spark, d):
-    docs = TP.tfidf_embedding(M.documents(spark, d).filter("lang = 'en'").select("doc_id", "text"), dims=16, features=256)
+    docs = TP.tfidf_embedding(M.documents(spark, d).select("doc_id", "text"), dims=16, features=256)
     found = TP.extract_topics(docs, "density", min_size=5)
     return TP.topic_statistics(found).select("total_topics", "total_documents", "outlier_documents")
 
@@ -289,8 +289,11 @@ def _(spark, d):
     return s.select("id", *rounded("frequency_score", "recency_score", "semantic_score", "score"))
 
 
-@query("join10_relationship_candidates", sql_with("topic_areas", """WITH k AS (SELECT workspace_id, topic_area_id FROM topic_areas QUALIFY row_number() OVER (PARTITION BY workspace_id ORDER BY topic_area_id) <= 20)
-    SELECT a.workspace_id, a.topic_area_id AS source_topic_id, b.topic_area_id AS target_topic_id FROM k a JOIN k b ON a.workspace_id = b.workspace_id AND a.topic_area_id < b.topic_area_id"""))
+@query("join10_relationship_candidates", sql_with("topic_areas", """WITH k AS (SELECT workspace_id, topic_area_id, list_filter(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS words,
+        coalesce(lead(topic_area_id) OVER w, lag(topic_area_id) OVER w) AS other FROM topic_areas WINDOW w AS (PARTITION BY workspace_id ORDER BY topic_area_id)),
+    p AS (SELECT a.workspace_id, a.topic_area_id AS source_topic_id, b.topic_area_id AS target_topic_id FROM k a JOIN k b ON a.workspace_id = b.workspace_id AND a.topic_area_id < b.topic_area_id AND list_has_any(a.words, b.words))
+    SELECT * FROM p UNION SELECT workspace_id, least(topic_area_id, other), greatest(topic_area_id, other) FROM k
+    WHERE other IS NOT NULL AND topic_area_id NOT IN (SELECT source_topic_id FROM p UNION SELECT target_topic_id FROM p)"""))
 def _(spark, d):
     return G.relationship_candidates(M.topic_areas(spark, d))
 

@@ -5,7 +5,9 @@ Everything else in the package is a lazy ``DataFrame -> DataFrame`` function.
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 
@@ -41,20 +43,22 @@ def build_session(app: str = "tutorloom", master: str | None = None, **conf: str
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named in ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a temporary folder of its own.
+    Only a session in one process (``local``, ``local[n]``) without the setting gets a temporary folder of its own, which goes with it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     master = spark.conf.get("spark.master", "local")
-    if not master.startswith("local"):
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return _local_folder()
 
 
 @functools.cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ from tutorloom.functions import text as T
 
 # --- fixed values -----------------------------------------------------------------------------
 SKIPPED_FOLDERS = ["node_modules", "__pycache__", ".git", "dist", "build", "target"]
-MAX_FILE_BYTES = 50 * 1024 * 1024
 BINARY_EXTENSIONS = (
     ".exe .dll .so .dylib .bin .dat .db .sqlite .sqlite3 "
     ".jpg .jpeg .png .gif .bmp .tiff .ico .svg .webp "
@@ -47,25 +46,38 @@ def is_plain_bytes(content: Column) -> Column:
 
 
 def is_utf8(content: Column) -> Column:
-    return has_no_nul(content) & F.is_valid_utf8(head(content).cast("string"))
+    """The leading bytes are UTF-8; of a longer file, a character that they cut apart doesn't count."""
+    start = F.hex(head(content))
+    whole = F.when(F.length(content) > 1024, F.regexp_replace(start, "((F[0-7])([89AB].){0,2}|(E.)([89AB].)?|([CD].))$", "")).otherwise(start)
+    return has_no_nul(content) & F.is_valid_utf8(F.unhex(whole).cast("string"))
 
 
 TEXT_TESTS = {"nul": has_no_nul, "bytes": is_plain_bytes, "utf8": is_utf8}
 
 
-def scan_folder(spark: SparkSession, folder: str, max_files: int | None = None, test: str = "nul") -> DataFrame:
+def scan_folder(spark: SparkSession, folder: str, max_files: int | None = None, test: str = "nul", max_bytes: int | None = None) -> DataFrame:
     """Text files below a folder: path, relative_path, name, length, content.
 
+    ``max_bytes`` leaves larger files out (``oversized_files`` names them); by default none is.
+
     Path and size predicates stand before the content test, so skipped files are never read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     relative = F.substring_index("path", folder.rstrip("/") + "/", -1)
     files = files.select("path", relative.alias("relative_path"), "length", "content")
-    files = files.filter(allowed_path(F.col("relative_path")) & (F.col("length") <= MAX_FILE_BYTES))
+    files = files.filter(allowed_path(F.col("relative_path")))
+    files = files.filter(F.col("length") <= max_bytes) if max_bytes is not None else files
     files = files.filter(TEXT_TESTS[test](F.col("content"))).withColumn("name", T.base_name(F.col("path")))
     return files.orderBy("path").limit(max_files) if max_files else files
 
 
+def oversized_files(spark: SparkSession, folder: str, max_bytes: int) -> DataFrame:
+    """(relative_path, length) of the files that ``scan_folder`` leaves out for their size."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    relative = F.substring_index("path", folder.rstrip("/") + "/", -1)
+    return files.filter(F.col("length") > max_bytes).select(relative.alias("relative_path"), "length").filter(allowed_path(F.col("relative_path")))
+
+
 def split_text(text: Column) -> Column:
     """Paragraphs if there are several, else lines if there are several, else the whole text."""
 
@@ -133,7 +145,8 @@ def json_documents(content: Column) -> Column:
 
 
 def _csv_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts of CSV files held as single strings (each below the scan's size limit)."""
+    """Texts of CSV files held as single strings; a field may be as long as its file."""
+    csv.field_size_limit(2**31 - 1)
     for pdf in batches:
         out = []
         for path, content in zip(pdf["path"], pdf["content"]):
