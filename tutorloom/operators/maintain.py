@@ -99,6 +99,16 @@ def session_lifecycle(sessions: DataFrame, events: DataFrame) -> DataFrame:
     return sessions.join(seen, "id", "left").withColumn("status", status)
 
 
+def completed_totals(sessions: DataFrame, answers: DataFrame) -> DataFrame:
+    """Completed sessions (id, status) with the totals of their answers (session_id, is_correct, time_taken); open ones have zeros."""
+    sums = answers.groupBy(F.col("session_id").alias("id")).agg(
+        F.count("*").alias("total_questions"), F.count_if("is_correct").alias("correct_answers"), F.sum(F.col("time_taken").cast("bigint")).alias("total_time")
+    )
+    done = F.col("status") == "completed"
+    totals = {c: F.when(done, F.coalesce(c, F.lit(0))).otherwise(0).cast("bigint") for c in ("total_questions", "correct_answers", "total_time")}
+    return sessions.join(sums, "id", "left").withColumns(totals)
+
+
 # --- change detection ------------------------------------------------------------------------------------
 
 
