@@ -9,9 +9,12 @@ Equal lines are grouped by 128 bits of hash. For near lines each distinct line i
 within the threshold has one of them unchanged, moved by at most as many places as edits stand before it. So a line is
 indexed under (its length, segment number, segment) and looks up those substrings of its own that can be such a segment of a line of
 equal or up to ``THRESHOLD`` smaller length. Both sides carry the parities of their character bigrams in 32 buckets: an edit
-changes four of them at most, so pairs that differ in more are not let out of the join. What is left is verified by a banded
+changes four of them at most, so pairs that differ in more are not let out of the joins. What is left is verified by a banded
 bit-parallel computation on the whole lines.
 
+A list of lines under one key is not expanded into pairs: first all of it meets its earliest indexed line. A line that is near an
+earlier one is decided by that; only pairs whose later line is undecided are looked at after that.
+
 Defined results: null and empty texts have no lines to remove and stay as they are; rows without an id neither lose lines nor
 make others lose them; rows with equal ids count as one document and all lose the lines at the same places; other columns are
 kept, but those named like an output column are replaced.
@@ -24,10 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tutorloom.llm.common import slices, small_or_not, written
+from tutorloom.llm.common import BROADCAST_ROWS, slices, small_or_not, written
 
 THRESHOLD = 2
 MIN_CHARS, NEAR_CHARS = 10, 20
@@ -107,12 +111,17 @@ def _signatures(lines: list[str]) -> np.ndarray:
 
 
 def _filed(docs: DataFrame) -> DataFrame:
-    """(key, is_index, line, signature): what each line is filed under and looks up; a task files equal lines of a slice once."""
+    """(key, is_index, line, signature, doc_id): what each line is filed under and looks up; equal lines of a slice once, with their smallest id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_length: dict[int, list] = {}
         for part in slices(batches, "text", SLICE_CHARS):
-            lines = list(dict.fromkeys(s for t in part.column("text").to_pylist() if t for x in t.split("\n") if len(s := x.strip(BLANK)) >= NEAR_CHARS))
+            first: dict[str, int] = {}
+            for i, text in sorted(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True), key=lambda row: row[0]):
+                for x in text.split("\n") if text else ():
+                    if len(line := x.strip(BLANK)) >= NEAR_CHARS:
+                        first.setdefault(line, i)
+            lines = list(first)
             names = [xxhash.xxh64_intdigest(x.encode(), 42) for x in lines]
             keys, index, counts = [], [], []
             for line in lines:
@@ -125,21 +134,23 @@ def _filed(docs: DataFrame) -> DataFrame:
                 index += [x[3] for x in own]
                 counts.append(len(own))
             name = np.repeat(np.array(names, np.uint64).view(np.int64), counts)
-            signature = np.repeat(_signatures(lines), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(index, pa.bool_()), pa.array(name), pa.array(signature)], names=["key", "is_index", "line", "signature"])
+            signature, doc = np.repeat(_signatures(lines), counts), np.repeat(np.array(list(first.values()), np.int64), counts)
+            columns = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(index, pa.bool_()), pa.array(name), pa.array(signature), pa.array(doc)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "is_index", "line", "signature", "doc_id"])
 
-    return docs.select("text").mapInArrow(run, "key bigint, is_index boolean, line bigint, signature int")
+    return docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text").mapInArrow(run, "key bigint, is_index boolean, line bigint, signature int, doc_id bigint")
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` (line_a, line_b and their texts) within the threshold, without the texts."""
+    """(first_a, first_b) of the ``pairs`` (with text_a, text_b) whose texts are within the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = [within(a, b, THRESHOLD) for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)]
-            yield batch.select(["line_a", "line_b"]).filter(pa.array(near, pa.bool_()))
+            yield batch.select(["first_a", "first_b"]).filter(pa.array(near, pa.bool_()))
 
-    return pairs.select("line_a", "line_b", "text_a", "text_b").mapInArrow(run, "line_a bigint, line_b bigint")
+    kept = pairs.select("first_a", "first_b", "text_a", "text_b")
+    return kept.mapInArrow(run, T.StructType(kept.schema.fields[:2]))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -149,33 +160,62 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "at", F.xxhash64("text").alias("line"), F.xxhash64("text", F.lit(1)).alias("more"), "text")
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, at): the lines of ``docs`` (doc_id, text) that go, each once."""
-    given = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    lines = written(occurrences(given).select("doc_id", "at", "line", "more"), "lines")
-    firsts = written(lines.groupBy("line", "more").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")), "firsts")
+def _lists(docs: DataFrame) -> DataFrame:
+    """(key, is_index, line, signature, doc_id) of the keys under which different lines stand, one of them indexed; ``doc_id`` is the line's first."""
+    filed = _filed(docs).repartition("key").groupBy("key", "line", "signature").agg(F.max("is_index").alias("is_index"), F.min("doc_id").alias("doc_id"))
+    of_key = Window.partitionBy("key")
+    counted = filed.withColumns({"n": F.count("*").over(of_key), "indexed": F.max("is_index").over(of_key)})
+    return counted.where("n > 1 AND indexed").drop("n", "indexed")
 
-    filed = _filed(given).repartition("key").dropDuplicates()  # equal lines of other slices, in the one exchange that the join needs
-    left = filed.where("is_index").select("key", F.col("line").alias("line_a"), F.col("signature").alias("signature_a"))
-    right = filed.select("key", F.col("line").alias("line_b"), F.col("signature").alias("signature_b"))
+
+def _side(lists: DataFrame, name: str, *more: str) -> DataFrame:
+    return lists.select("key", *(F.col(c).alias(f"{c}_{name}") for c in ("line", "signature", "doc_id", *more)))
+
+
+def _close() -> Column:
     differing = F.col("signature_a").bitwiseXOR(F.col("signature_b")).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))  # bit_count widens the sign
-    close = F.bit_count(differing) <= 4 * THRESHOLD
-    pairs = left.join(right, "key").where((F.col("line_a") != F.col("line_b")) & close)
-    # an unordered pair once, whichever side was indexed
-    pairs = written(pairs.select(F.least("line_a", "line_b").alias("line_a"), F.greatest("line_a", "line_b").alias("line_b")).distinct(), "pairs")
+    return (F.col("line_a") != F.col("line_b")) & (F.bit_count(differing) <= 4 * THRESHOLD)
+
+
+def _unordered(pairs: DataFrame) -> DataFrame:
+    """A pair once, whichever side was indexed."""
+    return pairs.select(F.least("line_a", "line_b").alias("line_a"), F.greatest("line_a", "line_b").alias("line_b")).distinct()
+
+
+def _late(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(line, doc_id, at): the later line of each of ``pairs`` (line_a, line_b) within the threshold, and where it stands first."""
     ends = pairs.select("line_a").union(pairs.select("line_b")).distinct().withColumnRenamed("line_a", "line")
-    spots = written(firsts.join(small_or_not(written(ends, "ends")), "line", "left_semi").select("line", "first.doc_id", "first.at"), "ends")
-    wanted = small_or_not(written(spots.select("doc_id").distinct(), "ends"))
-    spelled = occurrences(given.join(wanted, "doc_id", "left_semi")).select("doc_id", "at", "text").join(spots, ["doc_id", "at"])
-    spelled = written(spelled.select("line", F.struct("doc_id", "at").alias("first"), "text"), "spelled")
+    spots = written(firsts.join(small_or_not(written(ends, "ends")), "line", "left_semi").select("line", "first.doc_id", "first.at"), "spots")
+    wanted = small_or_not(written(spots.select("doc_id").distinct(), "wanted"))
+    spelled = occurrences(docs.join(wanted, "doc_id", "left_semi")).select("doc_id", "at", "text").join(spots, ["doc_id", "at"])
+    spelled = written(spelled.select("line", F.struct("doc_id", "at", "line").alias("first"), "text"), "spelled")
 
     def end(name: str) -> DataFrame:
-        return spelled.select(F.col("line").alias(f"line_{name}"), F.col("text").alias(f"text_{name}"))
+        return spelled.select(*(F.col(c).alias(f"{c}_{name}") for c in ("line", "first", "text")))
 
     near = _verified(pairs.join(end("a"), "line_a").join(end("b"), "line_b"))
-    place = spelled.select("line", "first")
-    near = near.join(place.select(F.col("line").alias("line_a"), F.col("first").alias("first_a")), "line_a").join(place.select(F.col("line").alias("line_b"), F.col("first").alias("first_b")), "line_b")
-    late = near.select(F.greatest("first_a", "first_b").alias("late")).select("late.doc_id", "late.at")
+    return near.select(F.greatest("first_a", "first_b").alias("late")).select("late.line", "late.doc_id", "late.at").distinct()
+
+
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, at): the lines of ``docs`` (doc_id, text) that go, each once."""
+    given = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    lines = written(occurrences(given).select("doc_id", "at", "line", "more"), "lines")
+    firsts = written(lines.groupBy("line", "more").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")), "firsts")
+
+    lists = written(_lists(given), "lists")
+    hubs = lists.where("is_index").groupBy("key").agg(F.min(F.struct("doc_id", "line", "signature")).alias("hub"))
+    hubs = hubs.select("key", F.col("hub.line").alias("line_a"), F.col("hub.signature").alias("signature_a"))
+    star = written(_unordered(hubs.join(_side(lists, "b"), "key").where(_close())), "star")
+    late = written(_late(star, firsts, given), "late")
+
+    decided = late.select("line").distinct().withColumn("decided", F.lit(True))
+    open_lists = lists.join(decided, "line", "left").withColumn("open", F.col("decided").isNull()).drop("decided")
+    # the later line of a pair must be undecided; which of two lines of one document is later isn't known here
+    useful = (F.col("open_b") & (F.col("doc_id_a") <= F.col("doc_id_b"))) | (F.col("open_a") & (F.col("doc_id_b") <= F.col("doc_id_a")))
+    rest = _side(open_lists.where("is_index"), "a", "open").join(_side(open_lists, "b", "open"), "key").where(_close() & useful)
+    rest = written(_unordered(rest).join(star, ["line_a", "line_b"], "left_anti"), "rest")
+    late = late.union(_late(rest, firsts, given)).select("doc_id", "at")
     repeats = lines.join(firsts.where("n > 1").select("line", "more", "first"), ["line", "more"]).where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at")
     return late.union(repeats).distinct()
 
@@ -183,8 +223,11 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``kept`` (the text without removed lines), ``n_lines`` and ``n_removed``."""
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    gone = removed_lines(given).groupBy(F.col("doc_id").alias(doc_id)).agg(F.sort_array(F.collect_list("at")).alias("__gone"))
-    joined = docs.join(written(gone, "gone"), doc_id, "left")
+    places = written(removed_lines(given), "gone")
+    gone = places.groupBy(F.col("doc_id").alias(doc_id)).agg(F.sort_array(F.collect_list("at")).alias("__gone"))
+    # few enough numbers go to the texts; beyond the bound both sides are shuffled
+    gone = F.broadcast(gone) if places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
+    joined = docs.join(gone, doc_id, "left")
     lines = F.split(F.col(text), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
