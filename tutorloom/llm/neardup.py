@@ -4,7 +4,7 @@ A text's set is its distinct runs of ``SHINGLE`` words (A-Z in lower case), or a
 sets are one class. The sketch of a class is its ``K`` smallest 64-bit hashes (the whole set, if it has no more).
 
 Inverted lists. The k smallest hashes of a union are in the sketch of every member that has them, so two sets with
-similarity s share a binomial(k, s) number of retained values: fewer than a share of ``CUT`` with a probability below 2e-7 at 0.8.
+similarity s share a binomial(k, s) number of retained values: fewer than a share of ``CUT`` with a probability below 4e-7 at 0.8.
 Two sketches that share c of k values share one among the k - c + 1 values that are rarest in the corpus, so only these enter the lists.
 Sets of at most 0.8 * ``K`` shingles are whole sketches, and c follows from the threshold itself. A list is kept apart by bands of
 set size: linked sets differ by a band at most, so a class is filed under its own band and the next.
@@ -36,9 +36,9 @@ from tutorloom.llm.common import slices, small_or_not, written
 from tutorloom.llm.components import components
 
 SHINGLE = 2
-K = 64
+K = 128
 PERCENT = 80  # least similarity of a link
-CUT, AROUND, NEAR = 0.5, 0.3, 0.75  # shares of the union sketch
+CUT, AROUND, NEAR = 0.58, 0.3, 0.75  # shares of the union sketch
 SLICE_CHARS = 4_000_000
 
 
@@ -173,12 +173,13 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    marked = written(sketches(given), "sketches")
+    marked = written(sketches(given).withColumn("row", F.monotonically_increasing_id()), "sketches")
     filled = marked.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = filled.groupBy("set_key").agg(F.min("doc_id").alias("rid"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    reps = written(reps, "classes")
-    groups = components(links(given, reps.select("rid", "n", "sketch")))
-    classes = reps.select("set_key", "rid").join(groups, F.col("rid") == F.col("node"), "left").select("set_key", F.coalesce("component", "rid").alias("component"))
+    classes = filled.groupBy("set_key").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    classes = written(classes.select("set_key", F.col("first.doc_id").alias("rid"), "first.row"), "classes")
+    reps = filled.join(small_or_not(classes.select("row")), "row", "left_semi")
+    groups = components(links(given, reps.select(F.col("doc_id").alias("rid"), F.col("n_shingles").alias("n"), "sketch")))
+    classes = classes.join(groups, F.col("rid") == F.col("node"), "left").select("set_key", F.coalesce("component", "rid").alias("component"))
     key = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_key"))
     joined = marked.select("doc_id", "n_shingles", key.alias("set_key")).join(classes, "set_key", "left")
     component = F.coalesce("component", "doc_id")
