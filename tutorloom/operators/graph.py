@@ -9,6 +9,26 @@ from tutorloom.functions import text as T
 from tutorloom.operators.lookups import top_n
 from tutorloom.session import bounded_rows, write_step
 
+# --- fixed values -------------------------------------------------------------------------------------
+TOPIC_TEXT = "Topic covering {} documents. Key themes: {}{}"
+TOPIC_EXAMPLE = " Example: {}..."
+CONCEPT_TEXT = "Concept extracted from {} context windows in topic '{}'"
+DOCUMENT_NAME = "Document {}"
+WHOLE_PATH = "Comprehensive Workspace Mastery"
+FOCUSED_PATH = "Deep Dive: {}"
+GAP_REASON = "You've only explored {} of {}"
+GAP_ACTION = "Take a quiz on {} to improve your understanding"
+PRACTICE_REASON = "You have good coverage of {} but need more practice"
+PRACTICE_ACTION = "Practice quizzes on {} concepts"
+# ------------------------------------------------------------------------------------------------------
+
+
+def said(sentence: str, *values: Column) -> Column:
+    """``sentence`` with its braces filled in order; null if a value is."""
+    first, *others = sentence.split("{}")
+    return F.concat(F.lit(first), *(part for value, text in zip(values, others, strict=True) for part in (value, F.lit(text))))
+
+
 # --- context windows and concepts ---------------------------------------------------------------------
 
 
@@ -124,10 +144,7 @@ def topic_nodes(topics: DataFrame) -> DataFrame:
     sample = F.substring(F.element_at("representative_docs", 1), 1, 100)
     return topics.select(
         F.concat(F.lit("topic_"), "topic_id").alias("id"), F.lit("topic").alias("type"), "name",
-        F.concat(
-            F.lit("Topic covering "), F.col("count"), F.lit(" documents. Key themes: "), five,
-            F.when(sample.isNotNull(), F.concat(F.lit(" Example: "), sample, F.lit("..."))).otherwise(""),
-        ).alias("description"),
+        said(TOPIC_TEXT, F.col("count"), five, F.coalesce(said(TOPIC_EXAMPLE, sample), F.lit(""))).alias("description"),
     )
 
 
@@ -135,13 +152,13 @@ def concept_nodes(concept_rows: DataFrame, topics: DataFrame) -> DataFrame:
     named = concept_rows.join(topics.select("topic_id", F.col("name").alias("topic_name")), "topic_id")
     return named.select(
         F.concat_ws("_", F.lit("concept"), F.col("topic_id").cast("string"), "keyword").alias("id"), F.lit("concept").alias("type"), F.col("keyword").alias("name"),
-        F.concat(F.lit("Concept extracted from "), F.col("window_count"), F.lit(" context windows in topic '"), F.col("topic_name"), F.lit("'")).alias("description"),
+        said(CONCEPT_TEXT, F.col("window_count"), F.col("topic_name")).alias("description"),
     )
 
 
 def document_nodes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return docs.select(
-        F.concat(F.lit("doc_"), key).alias("id"), F.lit("document").alias("type"), F.concat(F.lit("Document "), F.col(key) + 1).alias("name"),
+        F.concat(F.lit("doc_"), key).alias("id"), F.lit("document").alias("type"), said(DOCUMENT_NAME, F.col(key) + 1).alias("name"),
         T.truncate(F.col(text), 150).alias("description"),
     )
 
@@ -314,13 +331,13 @@ def learning_paths(areas: DataFrame, focused: int = 5) -> DataFrame:
     ).filter("topics >= 3")
     comprehensive = whole.select(
         F.concat_ws("_", F.lit("path"), "workspace_id", F.lit("comprehensive")).alias("learning_path_id"), "workspace_id",
-        F.lit("Comprehensive Workspace Mastery").alias("name"), "topics", "estimated_hours",
+        F.lit(WHOLE_PATH).alias("name"), "topics", "estimated_hours",
         F.when(F.col("c") < 0.4, "beginner").when(F.col("c") < 0.7, "intermediate").otherwise("advanced").alias("difficulty_level"),
     )
     best = top_n(areas.filter("coverage_score > 0.7"), focused, [score.desc(), F.col("topic_area_id")], ["workspace_id"])
     deep = best.select(
         F.concat_ws("_", F.lit("path"), "workspace_id", F.lit("focused"), (F.col("position") - 1).cast("string")).alias("learning_path_id"), "workspace_id",
-        F.concat(F.lit("Deep Dive: "), "name").alias("name"), F.lit(1).cast("long").alias("topics"), (F.col("concept_count") * 3).alias("estimated_hours"),
+        said(FOCUSED_PATH, F.col("name")).alias("name"), F.lit(1).cast("long").alias("topics"), (F.col("concept_count") * 3).alias("estimated_hours"),
         F.lit("intermediate").alias("difficulty_level"),
     )
     return comprehensive.unionByName(deep)
@@ -339,10 +356,8 @@ def recommendations(areas: DataFrame, limit: int = 10) -> DataFrame:
         "workspace_id", "topic_area_id",
         F.when(gap, "concept_gap").otherwise("quiz_performance").alias("recommendation_type"),
         F.round(F.when(gap, F.least(F.lit(1.0), (1 - explored) * 0.8)).otherwise(0.7), 9).alias("priority_score"),
-        F.when(gap, F.concat(F.lit("You've only explored "), T.percent_text(explored, 1), F.lit(" of "), name))
-        .otherwise(F.concat(F.lit("You have good coverage of "), name, F.lit(" but need more practice"))).alias("reason"),
-        F.when(gap, F.concat(F.lit("Take a quiz on "), name, F.lit(" to improve your understanding")))
-        .otherwise(F.concat(F.lit("Practice quizzes on "), name, F.lit(" concepts"))).alias("suggested_action"),
+        F.when(gap, said(GAP_REASON, T.percent_text(explored, 1), name)).otherwise(said(PRACTICE_REASON, name)).alias("reason"),
+        F.when(gap, said(GAP_ACTION, name)).otherwise(said(PRACTICE_ACTION, name)).alias("suggested_action"),
     )
     return top_n(rec, limit, [F.desc("priority_score"), F.col("topic_area_id")], ["workspace_id"])
 
