@@ -101,7 +101,7 @@ def test_edit_distance_and_filters_lose_nothing():
         filed = [{(n, i, x[s:e]) for n, i, s, e, own in linededup._probes(len(x)) if own or not index} for x in (a, b) for index in (True, False)]
         assert filed[0] & filed[3] or filed[2] & filed[1]
         one, two = linededup._signatures([a, b]).tolist()
-        assert bin((one ^ two) & 0xFFFFFFFF).count("1") <= 4 * linededup.THRESHOLD
+        assert bin((one ^ two) & (1 << 64) - 1).count("1") <= 4 * linededup.THRESHOLD
 
 
 def test_line_dedup_equals_brute_force(documents):

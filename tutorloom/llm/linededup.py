@@ -8,7 +8,7 @@ fewer than ``NEAR_CHARS`` only go for equal lines.
 Equal lines are grouped by 128 bits of hash. For near lines each distinct line is split into ``THRESHOLD`` + 1 segments; a line
 within the threshold has one of them unchanged, moved by at most as many places as edits stand before it. So a line is
 indexed under (its length, segment number, segment) and looks up those substrings of its own that can be such a segment of a line of
-equal or up to ``THRESHOLD`` smaller length. Both sides carry the parities of their character bigrams in 32 buckets: an edit
+equal or up to ``THRESHOLD`` smaller length. Both sides carry the parities of their character bigrams in 64 buckets: an edit
 changes four of them at most, so pairs that differ in more are not let out of the joins. What is left is verified by a banded
 bit-parallel computation on the whole lines.
 
@@ -101,13 +101,13 @@ def _probes(length: int) -> list[tuple[int, int, int, int, bool]]:
 
 
 def _signatures(lines: list[str]) -> np.ndarray:
-    """Parities of the character bigrams of each line, in 32 buckets."""
+    """Parities of the character bigrams of each line, in 64 buckets."""
     codes = np.frombuffer("\n".join(["", *lines, ""]).encode("utf-32-le"), np.uint32).astype(np.uint64)
     ends = np.cumsum([len(x) + 1 for x in lines])
     pair = (codes[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ codes[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)
-    bits = (np.uint64(1) << (pair >> np.uint64(59))).astype(np.uint32)
+    bits = np.uint64(1) << (pair >> np.uint64(58))
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    return np.bitwise_xor.reduceat(bits[: ends[-1]], starts).view(np.int32) if len(lines) else np.array([], np.int32)
+    return np.bitwise_xor.reduceat(bits[: ends[-1]], starts).view(np.int64) if len(lines) else np.array([], np.int64)
 
 
 def _filed(docs: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def _filed(docs: DataFrame) -> DataFrame:
             columns = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(index, pa.bool_()), pa.array(name), pa.array(signature), pa.array(doc)]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "is_index", "line", "signature", "doc_id"])
 
-    return docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text").mapInArrow(run, "key bigint, is_index boolean, line bigint, signature int, doc_id bigint")
+    return docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text").mapInArrow(run, "key bigint, is_index boolean, line bigint, signature bigint, doc_id bigint")
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -173,8 +173,7 @@ def _side(lists: DataFrame, name: str, *more: str) -> DataFrame:
 
 
 def _close() -> Column:
-    differing = F.col("signature_a").bitwiseXOR(F.col("signature_b")).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))  # bit_count widens the sign
-    return (F.col("line_a") != F.col("line_b")) & (F.bit_count(differing) <= 4 * THRESHOLD)
+    return (F.col("line_a") != F.col("line_b")) & (F.bit_count(F.col("signature_a").bitwiseXOR(F.col("signature_b"))) <= 4 * THRESHOLD)
 
 
 def _unordered(pairs: DataFrame) -> DataFrame:
