@@ -156,7 +156,10 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
     # members around a hub without a link to it
     strays = judged.where("NOT linked").select("hub").distinct()
-    full = judged.join(strays, "hub", "left_semi").join(thin, "rid").join(sets, "rid")
+    met_there = written(judged.join(strays, "hub", "left_semi"), "met")
+    needed = small_or_not(written(met_there.select("rid").distinct(), "needed"))
+    full = met_there.join(thin.join(needed, "rid", "left_semi"), "rid").join(sets.join(needed, "rid", "left_semi"), "rid")
+    full = written(full, "full")  # read by both sides of both joins
 
     def around_hub(linked: str, name: str) -> DataFrame:
         return full.where(linked).select(F.col("hub").alias(f"{name}_hub"), *(F.col(c).alias(f"{name}_{c}") for c in ("rid", "n", "sketch", "shingles")))
