@@ -162,3 +162,23 @@ def test_deep_pages_and_templates(spark):
     assert got[25] == "Follow our letters\n\nsame"  # ten copies are one page: nothing recurs
     assert got[40] == got[41] == "" and len(got) == len(rows)
     assert pages.main_texts(df.limit(0)).collect() == []
+
+
+ARTICLES = [
+    "<article><h1>One story</h1><div><p>told in a div</p></div><table><tr><td>and a table</table>{}</article>",
+    "<div><div><p>told in a div</p></div><table><tr><td>and a table</table></div>{}",
+]
+
+
+@pytest.mark.parametrize("article", ARTICLES)
+def test_copies_between_other_menus_are_one_page(spark, article):
+    def page(k, own):
+        around = f"<div class='ad'><p>buy {k}</p></div><div id='comments'><ul><li><p>reader {k}</p></ul></div>"
+        return f"<body><nav><ul><li><a>menu {k}</a></ul></nav>{own.format(around)}<div class='ad'><span>sale {k}</span></div><footer><p>at {k}</p></footer></body>"
+
+    rows = [(k, "http://a.example/", page(k, article)) for k in range(6)]
+    rows += [(10 + k, "http://a.example/", page(k, f"<article><p>other {k}</p><section><p>Follow us</p></section></article>")) for k in range(6)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in pages.main_texts(df).collect()}
+    assert {got[k].removeprefix("One story\n\n") for k in range(6)} == {"told in a div\n\nand a table"}  # six copies are one page
+    assert [got[10 + k] for k in range(6)] == [f"other {k}" for k in range(6)]  # the section is on six different ones

@@ -2,9 +2,10 @@
 
 Every page is parsed into its elements. Each container element (``div``, ``section``, ``ul`` and the like) gets a hash of its
 whole subtree: tags and text. Spark counts, per host, on how many different pages each subtree stands; those on at least
-``LEAST_PAGES`` pages and ``LEAST_SHARE`` of the host's pages are its template and are deleted. Pages with the same body text are one
-page for this count, so copies of an article don't make it a template, and paragraphs, headings and list items are no containers, so
-a line that many articles share stays in them.
+``LEAST_PAGES`` pages and ``LEAST_SHARE`` of the host's pages are its template and are deleted. Pages with the same article text
+(taken as below, with no template known) are one page for this count, whatever menus, adverts and comments stand around it, so
+copies of an article don't make it a template. What stands on any of the copies counts once for all of them. Paragraphs, headings
+and list items are no containers, so a line that many articles share stays in them.
 
 Of what is left, the text of the article is taken: the ``article`` elements, else ``main``, else the body, without elements that
 say what they are: by tag (menus, headers, footers, sidebars, forms, scripts, styles), role or a word of their class or id
@@ -119,23 +120,24 @@ class Page:
             if tag in walls:
                 return
 
-    def subtrees(self) -> tuple[dict[int, int], int]:
-        """Hash of every container's subtree, and of the text of the whole body."""
+    def subtrees(self) -> dict[int, int]:
+        """Hash of every container's subtree."""
         parts: list[list[bytes]] = [[] for _ in self.tag]
-        hashes, body = {}, xxhash.xxh3_64()
+        hashes = {}
         for kind, node, text in self.events:
             if kind == self.TEXT:
-                spelled = " ".join(text.split()).encode()
-                parts[node].append(spelled)
-                if self.tag[node] not in LEFT_OUT:
-                    body.update(spelled)
+                parts[node].append(" ".join(text.split()).encode())
             elif kind == self.CLOSE:
                 digest = xxhash.xxh3_64_digest(b"\x00".join([self.tag[node].encode(), *parts[node]]))
                 parts[self.parent[node]].append(digest)
                 parts[node] = []
                 if self.tag[node] in CONTAINERS:
                     hashes[node] = int.from_bytes(digest, "big", signed=True)
-        return hashes, int.from_bytes(body.digest(), "big", signed=True)
+        return hashes
+
+    def copy_key(self) -> int:
+        """Hash of the article's text, equal for its copies between other menus, adverts and comments."""
+        return int.from_bytes(xxhash.xxh3_64_digest(self.main_text(set()).encode()), "big", signed=True)
 
     def _attributes(self, node: int) -> dict[str, str]:
         return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(self.marks[node])} if self.marks[node] else {}
@@ -161,7 +163,7 @@ class Page:
             if kind in inside and not {kind, "aside", "footer"} & ancestors[node]:
                 inside[kind].append(node)
         roots = set(inside["article"] or inside["main"] or [0])
-        hashes = self.subtrees()[0] if template else {}
+        hashes = self.subtrees() if template else {}
         taken, dropped = [False] * len(self.tag), [False] * len(self.tag)
         heading = [False] * len(self.tag)  # inside a header of the article: only its headings count
         in_header = [False] * len(self.tag)
@@ -200,12 +202,12 @@ def host_of(url):
 
 
 def _found(pages: DataFrame) -> DataFrame:
-    """(host, body, subtrees) of every page: hash of its body text and of its containers."""
+    """(host, body, subtrees) of every page: hash of its article's text and of its containers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html", SLICE_CHARS):
-            found = [Page(html or "").subtrees() for html in part.column("html").to_pylist()]
-            columns = [part.column("host"), pa.array([f[1] for f in found], pa.int64()), pa.array([sorted(set(f[0].values())) for f in found], pa.list_(pa.int64()))]
+            found = [(p.copy_key(), sorted(set(p.subtrees().values()))) for p in map(Page, (html or "" for html in part.column("html").to_pylist()))]
+            columns = [part.column("host"), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["host", "body", "subtrees"])
 
     return pages.select("host", "html").mapInArrow(run, "host string, body bigint, subtrees array<bigint>")
@@ -216,9 +218,10 @@ def templates(pages: DataFrame) -> DataFrame:
 
     A page's elements can't be many times those of another, and each listed subtree is on a fifth of the pages: lists stay short.
     """
-    different = written(_found(pages).dropDuplicates(["host", "body"]), "found")
-    totals = different.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = different.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    found = written(_found(pages), "found")
+    totals = found.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    different = found.select("host", "body", F.explode("subtrees").alias("subtree")).distinct()
+    counts = different.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
     return counts.join(totals, "host").where(F.col("n") >= LEAST_SHARE * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("template"))
 
 
