@@ -182,3 +182,63 @@ def test_copies_between_other_menus_are_one_page(spark, article):
     got = {r.page_id: r.text for r in pages.main_texts(df).collect()}
     assert {got[k].removeprefix("One story\n\n") for k in range(6)} == {"told in a div\n\nand a table"}  # six copies are one page
     assert [got[10 + k] for k in range(6)] == [f"other {k}" for k in range(6)]  # the section is on six different ones
+
+
+MIT = next(t for name, t in licenses.NOTICES if name == "MIT" and len(t) > 500)
+MIT_PARAGRAPHS = MIT.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE").replace("modify, merge", "modify,\nmerge")
+PROSE = "Some words of a longer document that speak of the rights and the use of other things.\n\n"
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        (PROSE * 3 + "MIT License\n\nCopyright (c) 2024 Jane Doe\n\n" + MIT_PARAGRAPHS + "\n\n" + PROSE * 3, ["MIT"]),
+        (PROSE + "Copyright 2024 Jane Doe. Released under the MIT License.\n" + PROSE, ["MIT"]),
+        ("This software is released under the MIT License.", ["MIT"]),
+        ("Licensed under the Apache License, Version 2.0. See LICENSE for details.", ["Apache-2.0"]),
+        ("All rights reserved.\nCopyright (c) 2020 Foo Inc. All rights reserved.", ["all-rights-reserved"] * 2),  # a line and a stretch
+        (PROSE + licenses.LICENCES[1][1].replace(" 2. ", "\n\n2. ").replace(" THIS", "\n\nTHIS") + "\n\n" + PROSE, ["BSD-2-Clause"]),
+        (PROSE + licenses.LICENCES[2][1].replace("the copyright holder nor", "Foo nor").replace(" 2. ", "\n\n2. ") + "\n\n" + PROSE, ["BSD-3-Clause"]),
+        (PROSE * 2 + "All of the rights are reserved under the licence.", []),
+    ],
+)
+def test_licences_inside_lines_and_across_blocks(documents, text, found):
+    (row,) = licenses.scan(documents([(1, text)])).collect()
+    assert [x.license for x in row.licenses] == found
+    assert all(x.dice >= licenses.THRESHOLD for x in row.licenses)
+
+
+def test_stretches_equal_brute_force(documents):
+    rng = random.Random(8)
+    templates = [("one", "a b c d e f g h"), ("two", "b c b d"), ("three", "x a")]
+
+    def pairs(words):
+        return [tuple(words[i : i + 2]) for i in range(len(words) - 1)]
+
+    def plain(text):
+        own, runs = pairs(text.split()), set()
+        for name, template in templates:
+            t = set(pairs(template.split()))
+            for start in range(len(own)):
+                if own[start] in t:
+                    tried = [(2 * len(set(own[start:stop]) & t) / (len(set(own[start:stop])) + len(t)), -stop) for stop in range(start + 1, min(len(own), start + int(len(t) * 1.5 + 1e-9)) + 1)]
+                    dice, stop = max(tried)
+                    a, c = len(set(own[start:-stop])), len(set(own[start:-stop]) & t)
+                    if dice >= 0.8:
+                        runs.add((a + len(t) - 3 * c, start, -stop, name, dice))
+        kept = []
+        for r in sorted(runs):
+            if all(k[2] < r[1] or r[2] < k[1] for k in kept):
+                kept.append(r)
+        return [(r[3], round(r[4], 9), " ".join(text.split()[r[1] : r[2] + 1])) for r in sorted(kept, key=lambda r: r[1])]
+
+    texts = [" ".join(rng.choice(["a b c d", "e f g h", "b c b d", "x a", *"abcdxyz"]) for _ in range(30)) for _ in range(60)]
+    rows = licenses.scan(documents(list(enumerate(texts))), templates, whole=[]).collect()
+    got = {r.doc_id: [(x.license, round(x.dice, 9), x.text) for x in r.licenses] for r in rows}
+    want = {k: plain(t) for k, t in enumerate(texts)}
+    assert got == want and sum(map(len, want.values())) > 60
+
+
+def test_a_part_at_the_bound_of_sizes(documents):
+    (row,) = licenses.scan(documents([(1, "A.\nAll rights reserved.")]), stretches=False).collect()
+    assert [(x.part, x.dice) for x in row.licenses] == [(1, 1.0), (2, 0.8)]  # the block has 3 bigrams, the template 2

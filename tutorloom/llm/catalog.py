@@ -137,7 +137,17 @@ SELECT doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(licenses, '') AS li
 
 @query("op10_license_scan", OP10_SQL)
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "licenses")
+    """Of the parts alone, as its SQL states; ``op10_license_stretches`` has the stretches too."""
+    return _licences(spark, sf_dir, stretches=False)
+
+
+@query("op10_license_stretches")
+def op10_license_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _licences(spark, sf_dir, stretches=True)
+
+
+def _licences(spark: SparkSession, sf_dir: str, stretches: bool) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), stretches=stretches).select("doc_id", "licenses")
     return found.select(
         "doc_id",
         F.size("licenses").cast("bigint").alias("n_matches"),
