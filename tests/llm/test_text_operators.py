@@ -242,3 +242,19 @@ def test_stretches_equal_brute_force(documents):
 def test_a_part_at_the_bound_of_sizes(documents):
     (row,) = licenses.scan(documents([(1, "A.\nAll rights reserved.")]), stretches=False).collect()
     assert [(x.part, x.dice) for x in row.licenses] == [(1, 1.0), (2, 0.8)]  # the block has 3 bigrams, the template 2
+
+
+def test_comments_and_templates_are_no_articles():
+    html = "<div>{}<article class='comment odd'><p>reader</p></article><ol id='comments'><li><article><p>another</p></article></ol></div>"
+    assert pages.Page(html.format("<article><p>story</p></article>")).main_text(set()) == "story"
+    assert pages.Page(html.format("<p>story</p>")).main_text(set()) == "story"
+    page = pages.Page("<div><article><p>teaser</p></article></div><main><p>story</p></main>")
+    assert page.main_text(set(page.subtrees().values())) == "story"  # the div is the site's, so its article is none
+
+
+def test_many_pages_of_a_large_host(spark, monkeypatch):
+    monkeypatch.setattr(pages, "MANY_PAGES", 6)
+    rows = [(k, "http://a.example/", f"<div><p>story {k}</p></div>" + "<div><p>menu</p></div>" * (k < 6)) for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in pages.main_texts(df).collect()}
+    assert got == {k: f"story {k}" for k in range(40)}  # 6 of 40 are less than a fifth

@@ -2,13 +2,14 @@
 
 Every page is parsed into its elements. Each container element (``div``, ``section``, ``ul`` and the like) gets a hash of its
 whole subtree: tags and text. Spark counts, per host, on how many different pages each subtree stands; those on at least
-``LEAST_PAGES`` pages and ``LEAST_SHARE`` of the host's pages are its template and are deleted. Pages with the same article text
+``LEAST_PAGES`` pages and ``LEAST_SHARE`` of the host's pages, or on ``MANY_PAGES`` pages, are its template and are deleted
+everywhere, before the article is looked for. Pages with the same article text
 (taken as below, with no template known) are one page for this count, whatever menus, adverts and comments stand around it, so
 copies of an article don't make it a template. What stands on any of the copies counts once for all of them. Paragraphs, headings
 and list items are no containers, so a line that many articles share stays in them.
 
 Of what is left, the text of the article is taken: the ``article`` elements, else ``main``, else the body, without elements that
-say what they are: by tag (menus, headers, footers, sidebars, forms, scripts, styles), role or a word of their class or id
+say what they are (an ``article`` or ``main`` that is or stands in a reader's comment is none): by tag (menus, headers, footers, sidebars, forms, scripts, styles), role or a word of their class or id
 (adverts, notices, comments). A header inside an article keeps its headings. Character references are decoded, white space
 inside a block becomes one space, blocks are joined by an empty line.
 
@@ -32,6 +33,7 @@ from pyspark.sql import types as T
 from tutorloom.llm.common import slices, small_or_not, written
 
 LEAST_PAGES, LEAST_SHARE = 5, 0.2
+MANY_PAGES = 1000  # different articles that share a container: it's the site's, whatever its share of a large host
 MOST_HOSTS = 100_000  # hosts whose template lists may be sent to all executors
 SLICE_CHARS = 4_000_000
 
@@ -58,6 +60,7 @@ WORDS = frozenset(
     " sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments replies disqus share sharing social newsletter subscribe"
     " subscription related recommended pagination pager toolbar widget skip login signup search".split()
 )
+COMMENT = re.compile(r"(?:^|\s)(?:comments?|repl(?:y|ies)|disqus_thread|comments?-(?:list|area|body|thread|section|wrapper))(?=\s|$)", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -155,15 +158,19 @@ class Page:
 
     def main_text(self, template: set[int]) -> str:
         inside = {"article": [], "main": []}
+        hashes = self.subtrees() if template else {}
+        lost = [False] * len(self.tag)  # in the template or in a comment: no place for the article
         ancestors: list[set[str]] = [set()]
         for node in range(1, len(self.tag)):
             up = self.parent[node]
             ancestors.append(ancestors[up] | {self.tag[up]} if self.tag[up] in ("article", "main", "aside", "footer") else ancestors[up])
-            kind = "main" if self._attributes(node).get("role") == "main" else self.tag[node]
-            if kind in inside and not {kind, "aside", "footer"} & ancestors[node]:
+            own = self._attributes(node)
+            marked = self.tag[node] not in ("html", "body") and COMMENT.search(f"{own.get('class', '')} {own.get('id', '')}")
+            lost[node] = lost[up] or bool(marked) or hashes.get(node) in template
+            kind = "main" if own.get("role") == "main" else self.tag[node]
+            if kind in inside and not lost[node] and not {kind, "aside", "footer"} & ancestors[node]:
                 inside[kind].append(node)
         roots = set(inside["article"] or inside["main"] or [0])
-        hashes = self.subtrees() if template else {}
         taken, dropped = [False] * len(self.tag), [False] * len(self.tag)
         heading = [False] * len(self.tag)  # inside a header of the article: only its headings count
         in_header = [False] * len(self.tag)
@@ -216,13 +223,14 @@ def _found(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template): the hashes of the subtrees that recur on the host's pages (``pages``: host, html).
 
-    A page's elements can't be many times those of another, and each listed subtree is on a fifth of the pages: lists stay short.
+    A page's elements can't be many times those of another, and each listed subtree is on a fifth of the pages or on ``MANY_PAGES``:
+    lists stay short.
     """
     found = written(_found(pages), "found")
     totals = found.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     different = found.select("host", "body", F.explode("subtrees").alias("subtree")).distinct()
     counts = different.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    return counts.join(totals, "host").where(F.col("n") >= LEAST_SHARE * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("template"))
+    return counts.join(totals, "host").where((F.col("n") >= LEAST_SHARE * F.col("pages")) | (F.col("n") >= MANY_PAGES)).groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("template"))
 
 
 def main_texts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
