@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tutorloom.llm import bpe, chat, decontam, fingerprints, langid, licenses, linededup, neardup, pages, substrings
+from tutorloom.llm import bpe, chat, decontam, fingerprints, langid, licenses, linededup, mixing, neardup, pages, prefixtrie, substrings, whitening
 from tutorloom.llm.common import table
 
 QUERIES: dict = {}
@@ -238,3 +238,90 @@ def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.predict_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"), 32)
+
+
+OP12_SQL = r"""
+WITH crc AS (
+    SELECT list(v ORDER BY i) AS tab
+    FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))
+), own AS (
+    SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(sha256(length(role) || ':' || role || text), 1, 30)) AS pos
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (
+    SELECT conv_id, conv_id - conv_id % 20 AS home, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+        lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]))) % 4 AS h
+    FROM (SELECT DISTINCT conv_id FROM own), crc
+), turns AS (
+    SELECT c.conv_id, 0 AS own, pos, role, text FROM convs c JOIN own o ON o.conv_id = c.home AND pos <= h
+    UNION ALL SELECT conv_id, 1, pos, role, text FROM convs c JOIN own o USING (conv_id) WHERE pos > h
+), numbered AS (
+    SELECT conv_id, text, sha256(length(role) || ':' || role || text) AS item, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth FROM turns
+), chained AS (
+    SELECT conv_id, depth, text, sha256(string_agg(item, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS key FROM numbered
+), pre AS (
+    SELECT conv_id, depth, key, coalesce(lag(key) OVER (PARTITION BY conv_id ORDER BY depth), '') AS parent, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM chained
+    UNION ALL SELECT conv_id, 0, '', NULL, 0 FROM convs
+), nodes AS (
+    SELECT key, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved FROM pre GROUP BY key, depth
+), kids AS (
+    SELECT parent AS key, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent, depth
+), under AS (
+    SELECT a.key, a.depth, sum(saved) AS saved_tokens, count(*) FILTER (n_children IS NULL) AS n_leaves
+    FROM nodes n LEFT JOIN kids k USING (key, depth) JOIN pre a ON a.conv_id = n.conv_id AND a.depth <= n.depth GROUP BY a.key, a.depth
+), ends AS (
+    SELECT key, depth, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max(depth) AS depth FROM pre GROUP BY conv_id) JOIN pre USING (conv_id, depth) GROUP BY key, depth
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.key = n.parent AND p.depth = n.depth - 1 LEFT JOIN kids k ON k.key = n.key AND k.depth = n.depth
+    JOIN under u ON u.key = n.key AND u.depth = n.depth LEFT JOIN ends e ON e.key = n.key AND e.depth = n.depth
+"""
+
+
+@query("op12_conversation_prefix_trie", OP12_SQL)
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = r"""
+WITH sized AS (
+    SELECT doc_id, source, coalesce(md5(source), 'null') AS skey, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS size,
+        CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS place FROM documents
+), sources AS (
+    SELECT skey, min(source) AS source, CAST(sum(size) AS BIGINT) AS source_size, greatest(ceil(count(*) / 65536), 1) AS shards FROM sized GROUP BY skey
+), weighed AS (
+    SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS source_rank, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM sources
+), filling AS (
+    SELECT *, (sum(source_size) OVER () - coalesce(3 * sum(source_size) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS share
+    FROM weighed WINDOW before AS (ORDER BY source_size / weight, source_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+    SELECT w.*, least(CAST(3 * w.source_size AS DOUBLE), l.share * w.weight) AS target
+    FROM weighed w, (SELECT share FROM filling WHERE share * weight <= 3 * source_size ORDER BY source_size / weight, source_rank LIMIT 1) l
+), cells AS (
+    SELECT skey, place % shards AS shard, CAST(sum(size) AS BIGINT) AS words, CAST(ceil(sum(size) / 8) AS BIGINT) AS blocks FROM sized JOIN sources USING (skey) GROUP BY ALL
+), quotas AS (
+    SELECT skey, count(*) AS quota FROM (SELECT skey, source_rank, target / (2 * unnest(range(cap)) + 1) AS q FROM targets JOIN (SELECT skey, 3 * CAST(sum(blocks) AS BIGINT) AS cap FROM cells GROUP BY skey) USING (skey)
+        ORDER BY q DESC, source_rank LIMIT (SELECT CAST((2 * sum(size) + 8) // 16 AS BIGINT) FROM sized)) WHERE q > 0 GROUP BY skey
+), seats AS (
+    SELECT skey, shard, count(*) AS seats FROM (SELECT skey, shard, quota, row_number() OVER (PARTITION BY skey ORDER BY words / (2 * k + 1) DESC, shard) AS nth
+        FROM (SELECT skey, shard, words, quota, unnest(range(3 * blocks)) AS k FROM cells JOIN quotas USING (skey))) WHERE nth <= quota GROUP BY skey, shard
+), plan AS (
+    SELECT skey, shard, blocks * 8 AS turn, coalesce(seats, 0) // greatest(blocks, 1) AS rounds, coalesce(seats, 0) % greatest(blocks, 1) AS more,
+        CAST('0x' || substr(md5('7:' || skey || ':' || CAST(CAST(shard AS BIGINT) AS VARCHAR)), 1, 15) AS BIGINT) % greatest(blocks, 1) AS first FROM cells LEFT JOIN seats USING (skey, shard)
+), stream AS (
+    SELECT doc_id, skey, size, place % shards AS shard, sum(size) OVER (PARTITION BY skey, place % shards ORDER BY place, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS upto FROM sized JOIN sources USING (skey)
+)
+SELECT doc_id, size, source_size, target, CAST(rounds * size + greatest(least(upto, turn, (first + more) * 8) - greatest(upto - size, first * 8), 0)
+    + greatest(least(upto, (first + more) * 8 - turn) - (upto - size), 0) AS BIGINT) AS taken
+FROM stream JOIN plan USING (skey, shard) JOIN targets USING (skey)
+"""
+
+
+@query("op13_source_mix", OP13_SQL)
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tutorloom.session import write_step
@@ -32,6 +32,20 @@ def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with ``rank``, its row's number (from 1) in ``order``, which should be a total one.
+
+    The rows are dealt by ranges of the order and sorted there; a rank is the place in the partition after the sizes of the earlier ones.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(sorted_rows.withColumn("__part", F.spark_partition_id()).withColumn("rank", place + 1), name)
+    counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(starts), "__part").withColumn("rank", F.col("rank") + F.col("__before")).drop("__part", "__before")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, chars: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``chars`` bytes of text per slice (one row at least)."""
     for batch in batches:
