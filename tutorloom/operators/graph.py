@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tutorloom.functions import text as T
 from tutorloom.operators.lookups import top_n
-from tutorloom.session import bounded_rows, write_step
+from tutorloom.session import write_step
 
 # --- fixed values -------------------------------------------------------------------------------------
 TOPIC_TEXT = "Topic covering {} documents. Key themes: {}{}"
@@ -32,31 +32,64 @@ def said(sentence: str, *values: Column) -> Column:
 # --- context windows and concepts ---------------------------------------------------------------------
 
 
+def _pieces(low: Column) -> Column:
+    """Parts of a lower-case string between single spaces."""
+    return F.filter(F.split(low, " "), lambda w: w != "")
+
+
+def _grams(piece: Column) -> Column:
+    """Trigrams of a piece; a shorter piece is its own only gram."""
+    n = F.char_length(piece)
+    return F.when(n < 3, F.array(piece)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(piece, i, F.lit(3))))
+
+
+def keyword_tokens(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(token, low): the distinct ``tokens`` that contain a piece of the keyword ``low``, one piece of each keyword being looked up.
+
+    Every keyword is filed under the trigram of its pieces that the fewest tokens hold; tokens probe with their own trigrams, and the piece around
+    the trigram is verified. No keyword leaves the tasks, and a trigram that all tokens share files nothing if its keyword has a rarer one.
+    """
+    low = keywords.select(F.lower("keyword").alias("low")).distinct()
+    parts = low.select("low", F.posexplode(F.split("low", " ")).alias("at", "piece"), (F.size(F.split("low", " ")) - 1).alias("last")).filter("piece <> ''")
+    own = parts.select("low", "piece", (F.col("at") > 0).alias("starts"), (F.col("at") < F.col("last")).alias("ends"), F.explode(F.array_distinct(_grams(F.col("piece")))).alias("gram"))
+    n = F.char_length("token")
+    of_length = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring("token", i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    lengths = [r[0] for r in own.select(F.char_length("gram").alias("k")).distinct().collect()]  # three at most
+    held = tokens.select("token", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *map(of_length, lengths)))).alias("gram"))
+    held = write_step(held.join(own.select("gram").distinct(), "gram", "left_semi"), "token_grams")
+    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
+    filing = F.struct("n", "gram", "piece", "starts", "ends")
+    filed = own.join(counts, "gram").groupBy("low").agg(F.min(filing).alias("filed")).select("low", "filed.*")
+    # a space before the piece makes it the start of its token, one behind it the end
+    fits = F.contains("token", "piece") & (~F.col("starts") | F.startswith("token", "piece")) & (~F.col("ends") | F.endswith("token", "piece"))
+    return held.join(filed, "gram").filter(fits).select("token", "low").distinct()
+
+
 def context_windows(docs: DataFrame, keywords: DataFrame, window: int = 3, max_chars: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(topic_id, doc, sentence_index, keywords, context) for every sentence naming a topic keyword.
 
-    The keyword list is small by construction (five per topic) and is looked up inside each row;
-    contexts are cut before rows are exploded, so a long document never multiplies its own text.
+    Sentences meet keywords through their distinct tokens, an equi-join with the few tokens that hold a keyword's rarest trigram. What is found goes back to the
+    document once, where the keyword is verified in the whole sentence and the context is cut. ``key`` is unique. Blank keywords name nothing.
     """
-    rows = bounded_rows(keywords.select("topic_id", "keyword").orderBy("topic_id", "keyword"))
-    known = F.array(*[F.struct(F.lit(r["topic_id"]).alias("topic_id"), F.lit(r["keyword"]).alias("keyword")) for r in rows])
+    known = keywords.select("topic_id", "keyword").distinct()
+    sentences = docs.select(key, F.posexplode(T.sentences(F.col(text))).alias("i", "s"))
+    tokens = sentences.select(key, "i", F.explode(F.array_distinct(_pieces(F.lower("s")))).alias("token"))
+    lookup = write_step(keyword_tokens(tokens.select("token").distinct(), known), "keyword_tokens")
+    named = known.withColumn("low", F.lower("keyword")).join(lookup, "low").select("token", "topic_id", "keyword").distinct()
+    hits = tokens.join(named, "token").groupBy(key).agg(F.collect_set(F.struct("i", "topic_id", "keyword")).alias("hits"))  # at most one for each sentence and keyword
 
     def windows(ss: Column) -> Column:
-        def at(s: Column, i: Column) -> Column:
-            hit = T.let(F.lower(s), lambda low: F.filter(known, lambda k: F.contains(low, F.lower(k["keyword"]))))
-            start = F.greatest(F.lit(0), i - window)
-            around = F.array_join(F.slice(ss, start + 1, F.least(F.size(ss), i + window + 1) - start), ". ")
-            return T.let(
-                hit, lambda h: F.struct(i.alias("sentence_index"), h.alias("hits"), F.when(F.size(h) > 0, T.truncate(around, max_chars)).alias("context"))
-            )
+        def at(h: Column) -> Column:
+            start = F.greatest(F.lit(0), h["i"] - window)
+            around = F.array_join(F.slice(ss, start + 1, F.least(F.size(ss), h["i"] + window + 1) - start), ". ")
+            there = F.contains(F.lower(F.get(ss, h["i"])), F.lower(h["keyword"]))
+            return F.struct(h["topic_id"].alias("topic_id"), h["i"].alias("sentence_index"), h["keyword"].alias("keyword"), F.when(there, T.truncate(around, max_chars)).alias("context"))
 
-        return F.filter(F.transform(ss, at), lambda x: F.size(x["hits"]) > 0)
+        return F.filter(F.transform("hits", at), lambda x: x["context"].isNotNull())
 
-    found = docs.select(key, F.inline(T.let(T.sentences(F.col(text)), windows)))
-    topics = F.array_distinct(F.transform("hits", lambda h: h["topic_id"]))
-    per_topic = found.select(key, "sentence_index", "context", "hits", F.explode(topics).alias("topic_id"))
-    mine = F.transform(F.filter("hits", lambda h: h["topic_id"] == F.col("topic_id")), lambda h: h["keyword"])
-    return per_topic.select("topic_id", key, "sentence_index", mine.alias("keywords"), "context")
+    found = docs.join(hits, key).select(key, F.inline(T.let(T.sentences(F.col(text)), windows)))
+    grouped = found.groupBy(key, "topic_id", "sentence_index").agg(F.collect_list("keyword").alias("keywords"), F.first("context").alias("context"))
+    return grouped.select("topic_id", key, "sentence_index", F.array_sort("keywords").alias("keywords"), "context")
 
 
 def concepts(windows: DataFrame) -> DataFrame:
@@ -95,27 +128,35 @@ def coherence(words: DataFrame) -> DataFrame:
 
 
 def word_overlap_edges(words: DataFrame, sizes: DataFrame, minimum: float = 0.3, top: int = 10) -> DataFrame:
-    """Directed edges between topics whose top words overlap; only topics sharing a word ever meet."""
+    """Directed edges between topics whose top words have a Jaccard overlap above ``minimum``.
+
+    Words are ordered from rare to common over the topics. Two topics above the threshold share more than ``minimum`` times the words of either, so they share one
+    of the rarest n - floor(minimum * n) words of both: only those are joined, a word that all topics hold pairs none. A pair needs sizes and rests of both lists
+    that still allow the overlap, and the whole word sets decide.
+    """
     w = words.filter(F.col("position") <= top).select("topic_id", "term")
-    n = w.groupBy("topic_id").agg(F.count("*").alias("n_words")).join(sizes, "topic_id")
-    a, b = n.select(*[F.col(c).alias(f"a_{c}") for c in n.columns]), n.select(*[F.col(c).alias(f"b_{c}") for c in n.columns])
-    shared = (
-        w.withColumnRenamed("topic_id", "a_topic_id")
-        .join(w.withColumnRenamed("topic_id", "b_topic_id"), "term")
-        .filter("a_topic_id <> b_topic_id")
-        .groupBy("a_topic_id", "b_topic_id")
-        .agg(F.count("*").alias("shared"))
-    )
-    weight = F.col("shared") / (F.col("a_n_words") + F.col("b_n_words") - F.col("shared"))
-    return (
-        shared.join(a, "a_topic_id").join(b, "b_topic_id").withColumn("weight", weight).filter(F.col("weight") > minimum)
-        .select(
-            F.concat_ws("_", F.lit("hierarchy"), "a_topic_id", "b_topic_id").alias("id"),
-            F.concat(F.lit("topic_"), "a_topic_id").alias("source_id"),
-            F.concat(F.lit("topic_"), "b_topic_id").alias("target_id"),
-            F.when(F.col("a_count") > F.col("b_count"), "subtopic_of").otherwise("relates_to").alias("type"),
-            "weight",
-        )
+    rarity = w.groupBy("term").agg(F.count("*").alias("df"))
+    ordered = w.join(rarity, "term").groupBy("topic_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "term"))), lambda x: x["term"]).alias("terms"))  # at most ``top``
+    listed = write_step(ordered.join(sizes, "topic_id").select("topic_id", "terms", F.size("terms").alias("n"), "count"), "topic_terms")
+    prefix = F.slice("terms", 1, F.col("n") - F.greatest(F.floor(F.col("n") * minimum - 1e-9), F.lit(0)).cast("int"))
+    entries = listed.select("topic_id", "n", F.posexplode(prefix).alias("at", "term"))
+    a, b = entries.alias("a"), entries.alias("b")
+    n, m = F.col("a.n"), F.col("b.n")
+    needed = (n + m) * (minimum / (1 + minimum)) - 1e-9
+    hopeful = (F.least(n, m) > needed) & (1 + F.least(n - F.col("a.at") - 1, m - F.col("b.at") - 1) > needed)
+    pairs = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.topic_id") < F.col("b.topic_id")) & hopeful)
+    pairs = pairs.select(F.col("a.topic_id").alias("x"), F.col("b.topic_id").alias("y")).distinct()
+    left = listed.select(F.col("topic_id").alias("x"), F.col("terms").alias("x_terms"), F.col("count").alias("x_count"))
+    right = listed.select(F.col("topic_id").alias("y"), F.col("terms").alias("y_terms"), F.col("count").alias("y_count"))
+    shared = F.size(F.array_intersect("x_terms", "y_terms"))
+    met = pairs.join(left, "x").join(right, "y").withColumn("weight", shared / (F.size("x_terms") + F.size("y_terms") - shared)).filter(F.col("weight") > minimum)
+    both = F.explode(F.array(F.struct(F.col("x").alias("s"), F.col("y").alias("t"), F.col("x_count").alias("sc"), F.col("y_count").alias("tc")), F.struct(F.col("y").alias("s"), F.col("x").alias("t"), F.col("y_count").alias("sc"), F.col("x_count").alias("tc"))))
+    return met.select(both.alias("e"), "weight").select(
+        F.concat_ws("_", F.lit("hierarchy"), "e.s", "e.t").alias("id"),
+        F.concat(F.lit("topic_"), "e.s").alias("source_id"),
+        F.concat(F.lit("topic_"), "e.t").alias("target_id"),
+        F.when(F.col("e.sc") > F.col("e.tc"), "subtopic_of").otherwise("relates_to").alias("type"),
+        "weight",
     )
 
 
@@ -163,14 +204,14 @@ def document_nodes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
 
-def build_graph(docs: DataFrame, topics: DataFrame, words: DataFrame, assigned: DataFrame, min_weight: float = 0.0, key: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+def build_graph(docs: DataFrame, topics: DataFrame, words: DataFrame, assigned: DataFrame, min_weight: float = 0.0, key: str = "doc_id", overlap: float = 0.3) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, windows). ``topics`` as from ``topic_table``; ``assigned`` (doc, topic_id, probability)."""
     top5 = words.filter("position <= 5").select("topic_id", F.col("term").alias("keyword"))
     windows = write_step(context_windows(docs, top5, key=key), "windows")
     found = concepts(windows)
     nodes = topic_nodes(topics).unionByName(concept_nodes(found, topics)).unionByName(document_nodes(docs, key))
     edges = (
-        word_overlap_edges(words, topics.select("topic_id", "count"))
+        word_overlap_edges(words, topics.select("topic_id", "count"), overlap)
         .unionByName(concept_edges(found))
         .unionByName(document_edges(assigned, key))
         .filter(F.col("weight") >= min_weight)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, PCA
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tutorloom.functions import text as T
@@ -170,11 +170,10 @@ def topic_words(docs: DataFrame, topic: str = "topic_id", text: str = "text", to
     tf = kept.select(topic, F.explode(T.terms(F.col(text))).alias("term")).groupBy(topic, "term").agg(F.count("*").alias("tf"))
     tf = write_step(tf, "topic_term_counts")  # the texts are taken apart once
     n_topics = kept.select(topic).distinct().count()
-    terms = tf.groupBy("term").agg(F.sum("tf").alias("f"), F.count("*").alias("df")).filter(
-        (F.col("df") >= min_df) & (F.col("df") <= max_df * n_topics)
-    )
+    every = Window.partitionBy("term")  # one row a topic
+    terms = tf.withColumn("f", F.sum("tf").over(every)).withColumn("df", F.count("*").over(every))
     # written once: the total, the average and the scores all read it
-    used = write_step(tf.join(terms, "term").drop("df"), "topic_terms")
+    used = write_step(terms.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_topics)).drop("df"), "topic_terms")
     per_topic = used.groupBy(topic).agg(F.sum("tf").alias("total"))
     average = (used.agg(F.sum("tf")).first()[0] or 0) // max(n_topics, 1)
     scored = used.join(per_topic, topic)
