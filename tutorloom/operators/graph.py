@@ -32,11 +32,6 @@ def said(sentence: str, *values: Column) -> Column:
 # --- context windows and concepts ---------------------------------------------------------------------
 
 
-def _pieces(low: Column) -> Column:
-    """Parts of a lower-case string between single spaces."""
-    return F.filter(F.split(low, " "), lambda w: w != "")
-
-
 def _grams(piece: Column) -> Column:
     """Trigrams of a piece; a shorter piece is its own only gram."""
     n = F.char_length(piece)
@@ -52,10 +47,11 @@ def keyword_tokens(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
     low = keywords.select(F.lower("keyword").alias("low")).distinct()
     parts = low.select("low", F.posexplode(F.split("low", " ")).alias("at", "piece"), (F.size(F.split("low", " ")) - 1).alias("last")).filter("piece <> ''")
     own = parts.select("low", "piece", (F.col("at") > 0).alias("starts"), (F.col("at") < F.col("last")).alias("ends"), F.explode(F.array_distinct(_grams(F.col("piece")))).alias("gram"))
-    n = F.char_length("token")
-    of_length = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring("token", i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
     lengths = [r[0] for r in own.select(F.char_length("gram").alias("k")).distinct().collect()]  # three at most
-    held = tokens.select("token", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *map(of_length, lengths)))).alias("gram"))
+    held = tokens.select("token", F.lit("").alias("gram")).limit(0)
+    for k in lengths:
+        places = tokens.filter(F.char_length("token") >= k).select("token", F.explode(F.sequence(F.lit(1), F.char_length("token") - k + 1)).alias("i"))
+        held = held.unionByName(places.select("token", F.substring("token", F.col("i"), F.lit(k)).alias("gram")))
     held = write_step(held.join(own.select("gram").distinct(), "gram", "left_semi"), "token_grams")
     counts = held.groupBy("gram").agg(F.count("*").alias("n"))
     filing = F.struct("n", "gram", "piece", "starts", "ends")
@@ -68,12 +64,12 @@ def keyword_tokens(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
 def context_windows(docs: DataFrame, keywords: DataFrame, window: int = 3, max_chars: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(topic_id, doc, sentence_index, keywords, context) for every sentence naming a topic keyword.
 
-    Sentences meet keywords through their distinct tokens, an equi-join with the few tokens that hold a keyword's rarest trigram. What is found goes back to the
+    Sentences meet keywords through their tokens, an equi-join with the few tokens that hold a keyword's rarest trigram. What is found goes back to the
     document once, where the keyword is verified in the whole sentence and the context is cut. ``key`` is unique. Blank keywords name nothing.
     """
     known = keywords.select("topic_id", "keyword").distinct()
     sentences = docs.select(key, F.posexplode(T.sentences(F.col(text))).alias("i", "s"))
-    tokens = sentences.select(key, "i", F.explode(F.array_distinct(_pieces(F.lower("s")))).alias("token"))
+    tokens = sentences.select(key, "i", F.explode(F.split(F.lower("s"), " ")).alias("token")).filter("token <> ''")
     lookup = write_step(keyword_tokens(tokens.select("token").distinct(), known), "keyword_tokens")
     named = known.withColumn("low", F.lower("keyword")).join(lookup, "low").select("token", "topic_id", "keyword").distinct()
     hits = tokens.join(named, "token").groupBy(key).agg(F.collect_set(F.struct("i", "topic_id", "keyword")).alias("hits"))  # at most one for each sentence and keyword

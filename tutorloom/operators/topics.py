@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, PCA
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from tutorloom.functions import text as T
 from tutorloom.functions import vectors as VF
 from tutorloom.operators import vectors as V
 from tutorloom.operators.lookups import top_n
-from tutorloom.session import bounded_rows, write_step
+from tutorloom.session import bounded_rows, ranked, write_step
 
 Embedder = Callable[[DataFrame], DataFrame]
 Extractor = Callable[[DataFrame], DataFrame]
@@ -92,27 +93,100 @@ def threshold_clusters(table: DataFrame, threshold: float = 0.7, min_size: int =
     return member.join(sizes.select("cluster"), "cluster", "left_semi")
 
 
-def density_clusters(table: DataFrame, near: float, link: float, min_size: int) -> DataFrame:
+def density_clusters(table: DataFrame, near: float, link: float, min_size: int, planes: int = 3) -> DataFrame:
     """(id, topic_id): dense regions numbered by size from 0, everything else -1.
 
-    Documents are gathered around leaders (micro-clusters), leaders at least ``link`` similar are
-    joined, and connected groups holding ``min_size`` documents become topics. The neighbour search
-    runs over leaders only, so a dense region does not produce all of its pairs.
+    A document is a core if at least ``min_size`` documents, itself included, have a similarity of ``near`` or more to it. Cores that near to each other are
+    joined; another document goes to its most similar core (of equal ones the smallest id) if that reaches ``link``. Connected groups of fewer than ``min_size``
+    documents are dropped. Only documents in neighbouring buckets meet: unit vectors are projected on ``planes`` principal axes, which brings no two of them
+    further apart, and buckets are as wide as the farthest pair that counts. All checks are exact. Buckets meet block by block; a pair of blocks hands on counts,
+    best cores, or a spanning forest of its links, but never all its pairs, so a region of near copies stays cheap to store.
     """
-    lead = V.leaders(table, near, [F.col("id")])
-    centers = write_step(table.join(lead, "id", "left_semi"), "centers")
-    member = write_step(V.assign(table, centers, near), "members")
-    pairs = V.above(centers, centers, link).filter("query_id < id").select(F.col("query_id").alias("a"), F.col("id").alias("b"))
-    group = V.components(centers.select("id"), pairs)
-    joined = member.join(group.withColumnRenamed("id", "center"), "center").select("id", "component")
+    cells = _bucket_cells(table, min(near, link), planes)
+    counts = V.products(cells, lambda a, b: {"id": a[0], "n": (a[2] @ b[2].T >= near).sum(axis=1)}, "id long, n long")
+    cores = write_step(counts.groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_size).select("id"), "cores")
+    marked = table.join(cores.withColumn("core", F.lit(1.0)), "id", "left").fillna(0.0, ["core"])
+    cells = _bucket_cells(marked, min(near, link), planes, F.col("core"))
+    edges = V.products(cells, _forest(near), "a long, b long")
+    group = write_step(V.components(cores, edges), "groups")
+    best = V.products(cells, _best_core(link), "id long, core long, similarity double")
+    edge_of = F.max(F.struct("similarity", (-F.col("core")).alias("c")))
+    border = best.groupBy("id").agg(edge_of.alias("b")).select("id", (-F.col("b.c")).alias("core")).join(cores, "id", "left_anti")
+    joined = border.unionByName(cores.select("id", F.col("id").alias("core"))).join(group.withColumnRenamed("id", "core"), "core").select("id", "component")
+    joined = write_step(joined, "members")
     sizes = joined.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") >= min_size)
-    numbers = bounded_rows(sizes.orderBy(F.desc("n"), "component"))
-    spark = table.sparkSession
-    numbered = spark.createDataFrame([(r["component"], i) for i, r in enumerate(numbers)], "component long, topic_id int")
+    numbered = ranked(sizes, [F.desc("n"), F.col("component")], "topic_numbers").select("component", (F.col("rank") - 1).cast("int").alias("topic_id"))
     topics = joined.join(numbered, "component")
     return table.select("id").join(topics.select("id", "topic_id"), "id", "left").withColumn("topic_id", F.coalesce("topic_id", F.lit(-1)))
 
 
+def _bucket_cells(table: DataFrame, similarity: float, planes: int, tag: Column | None = None) -> DataFrame:
+    """All pairs of blocks of vectors whose buckets touch."""
+    units = table.filter(F.col("embedding").isNotNull()).select("*", array_to_vector(VF.unit(F.col("embedding"))).alias("__unit"))
+    first = units.select(F.size("embedding").alias("n")).first()
+    if first is None:
+        axes = units.withColumn("__axes", F.array().cast("array<double>"))
+    else:
+        planes = min(planes, first["n"])
+        axes = PCA(k=planes, inputCol="__unit", outputCol="__pca").fit(units).transform(units).withColumn("__axes", vector_to_array("__pca"))
+    width = max(math.sqrt(max(2 - 2 * similarity, 0.0)) * (1 + 1e-9), 1e-6)  # distance of unit vectors of that similarity
+    at = [F.floor(F.get("__axes", i) / width).alias(f"__c{i}") for i in range(planes)]
+    dealt = axes.select("id", "embedding", *[c for c in table.columns if c not in ("id", "embedding")], *at)
+    names = [f"__c{i}" for i in range(planes)]
+    blocks = write_step(V.packed(dealt.repartition(*names), "id", "embedding", tag, [F.col(c) for c in names]), "buckets")
+    keys = [f"g{i}" for i in range(planes)]
+    left = V.sided(blocks, "l")
+    for k in keys:
+        left = left.withColumn(k, F.explode(F.array(*[F.col(k) + d for d in (-1, 0, 1)])))
+    right = V.sided(V.light(blocks), "r")
+    return left.join(right, keys)
+
+
+def _forest(near: float) -> V.Cell:
+    """Links between the cores of two blocks, as few as connect what all links connect."""
+
+    def cell(left: V.Block, right: V.Block) -> dict[str, np.ndarray]:
+        a, b = np.flatnonzero(left[1] > 0), np.flatnonzero(right[1] > 0)
+        linked = left[2][a] @ right[2][b].T >= near
+        ends: list[tuple[np.ndarray, np.ndarray]] = []
+        open_a, open_b = np.ones(len(a), bool), np.ones(len(b), bool)
+        for start in range(len(a)):
+            if not open_a[start]:
+                continue
+            open_a[start], front = False, np.array([start])
+            while len(front):  # breadth first, by turns through both sides
+                rows = linked[front][:, open_b]
+                hit = rows.any(axis=0)
+                new = np.flatnonzero(open_b)[hit]
+                ends.append((a[front[rows[:, hit].argmax(axis=0)]], b[new]))
+                open_b[new] = False
+                rows = linked[open_a][:, new]
+                hit = rows.any(axis=1)
+                front = np.flatnonzero(open_a)[hit]
+                ends.append((a[front], b[new[rows[hit].argmax(axis=1)]]) if len(front) else (a[:0], b[:0]))
+                open_a[front] = False
+        x = np.concatenate([e[0] for e in ends]) if ends else a[:0]
+        y = np.concatenate([e[1] for e in ends]) if ends else b[:0]
+        return {"a": left[0][x], "b": right[0][y]}
+
+    return cell
+
+
+def _best_core(link: float) -> V.Cell:
+    def cell(left: V.Block, right: V.Block) -> dict[str, np.ndarray]:
+        cores = np.flatnonzero(right[1] > 0)
+        cores = cores[np.argsort(right[0][cores], kind="stable")]
+        if not len(cores):
+            return {"id": left[0][:0], "core": left[0][:0], "similarity": np.zeros(0)}
+        sims = np.round(left[2] @ right[2][cores].T, 12)
+        at = sims.argmax(axis=1)
+        best = sims[np.arange(len(at)), at]
+        good = best >= link
+        return {"id": left[0][good], "core": right[0][cores[at[good]]], "similarity": best[good]}
+
+    return cell
+
+
 def merge_clusters(table: DataFrame, member: DataFrame, max_clusters: int = 20) -> DataFrame:
     """(id, cluster) after folding the smallest cluster into the most similar one until few remain.
 
@@ -197,14 +271,21 @@ def centroids(table: DataFrame, topic: str = "topic_id", vector: str = "embeddin
 
 
 def assignments(table: DataFrame, centers: DataFrame, key: str = "id", topic: str = "topic_id", vector: str = "embedding") -> DataFrame:
-    """Each document with the share of its own topic among its (non-negative) topic similarities; 0.5 if unknown."""
-    rows = bounded_rows(centers, 10_000)
-    known = F.array(*[F.struct(F.lit(r[topic]).alias("t"), F.array(*[F.lit(float(x)) for x in r["centroid"]]).alias("c")) for r in rows])
-    sims = F.transform(known, lambda e: F.struct(e["t"].alias("t"), F.greatest(F.lit(0.0), VF.cosine(F.col(vector), e["c"])).alias("s")))
-    own = lambda xs: F.aggregate(F.filter(xs, lambda e: e["t"] == F.col(topic)), F.lit(0.0), lambda a, e: a + e["s"])
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, e: a + e["s"])
-    p = T.let(sims, lambda xs: F.when(total(xs) > 0, F.try_divide(own(xs), total(xs)))) if rows else F.lit(None).cast("double")
-    return table.select(key, topic, F.coalesce(F.when(F.col(topic) >= 0, p), F.lit(0.5)).alias("probability"))
+    """Each document with the share of its own topic among its (non-negative) topic similarities; 0.5 if unknown.
+
+    Documents and centroids meet in blocks; a block of centroids hands on one sum for each document, so the number of topics isn't bounded.
+    """
+
+    def cell(left: V.Block, right: V.Block) -> dict[str, np.ndarray]:
+        sims = np.maximum(left[2] @ right[2].T, 0.0)
+        return {"id": left[0], "own": (sims * (left[1][:, None] == right[0][None, :])).sum(axis=1), "total": sims.sum(axis=1)}
+
+    known = table.filter((F.col(topic) >= 0) & F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(topic).alias("t"), F.col(vector).alias("embedding"))
+    there = centers.select(F.col(topic).alias("id"), F.col("centroid").alias("embedding"))
+    parts = V.compared(known, there, cell, "id long, own double, total double", left_tag=F.col("t"))
+    sums = parts.groupBy("id").agg(F.sum("own").alias("own"), F.sum("total").alias("total"))
+    share = F.when(F.col("total") > 0, F.col("own") / F.col("total"))
+    return table.select(key, topic).join(sums.withColumnRenamed("id", key), key, "left").select(key, topic, F.coalesce(share, F.lit(0.5)).alias("probability"))
 
 
 def representatives(docs: DataFrame, n: int = 3, topic: str = "topic_id", key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -379,7 +460,8 @@ def extract_topics(docs: DataFrame, method: str = "embedding", extractors: dict[
     elif method == "hybrid":
         dense = write_step(density_clusters(vec, 0.7, 0.6, min_size), "dense")
         rest = vec.join(dense.filter("topic_id = -1"), "id", "left_semi")
-        extra = clustered(rest).select("id", (F.col("cluster") + 1_000_000).alias("topic_id"))
+        after = dense.agg(F.coalesce(F.max("topic_id"), F.lit(-1))).first()[0] + 1  # numbers above the density topics
+        extra = clustered(rest).select("id", (F.col("cluster") + after).alias("topic_id"))
         out = dense.filter("topic_id >= 0").select("id", F.col("topic_id").cast("long").alias("topic_id")).unionByName(extra)
     else:
         raise ValueError(f"unknown method {method}")

@@ -69,7 +69,19 @@ def _(spark, d):
     return TP.merge_clusters(v, write_step(TP.threshold_clusters(v, LEAD_T, 3, [F.col("id")]), "clusters"), 8)
 
 
-@query("topic4_density_clusters")
+DENSITY_SQL = """WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    p AS MATERIALIZED (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 12) AS s FROM v a JOIN v b ON list_cosine_similarity(a.e, b.e) >= 0.25),
+    core AS MATERIALIZED (SELECT a AS id FROM p WHERE s >= 0.3 GROUP BY 1 HAVING count(*) >= 5),
+    link AS MATERIALIZED (SELECT a, b FROM p WHERE s >= 0.3 AND a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+    reach(id, other) AS (SELECT id, id FROM core UNION SELECT r.id, l.b FROM reach r JOIN link l ON l.a = r.other),
+    grp AS (SELECT id, min(other) AS component FROM reach GROUP BY 1),
+    border AS (SELECT a AS id, b AS core FROM p WHERE a NOT IN (SELECT id FROM core) AND b IN (SELECT id FROM core) QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) = 1),
+    member AS (SELECT id, component FROM grp UNION ALL SELECT border.id, component FROM border JOIN grp ON grp.id = border.core),
+    kept AS (SELECT component, row_number() OVER (ORDER BY count(*) DESC, component) - 1 AS topic_id FROM member GROUP BY 1 HAVING count(*) >= 5)
+    SELECT v.id, CAST(coalesce(topic_id, -1) AS INT) AS topic_id FROM v LEFT JOIN member USING (id) LEFT JOIN kept USING (component)"""
+
+
+@query("topic4_density_clusters", DENSITY_SQL)
 def _(spark, d):
     return TP.density_clusters(vectors(spark, d), 0.3, 0.25, 5)
 

@@ -11,7 +11,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 # Upper bound, in rows x columns of a small side, for collecting lookups such as a vocabulary.
 MAX_LOOKUP_ROWS = 100_000
@@ -82,6 +83,20 @@ def write_step(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranked(df: DataFrame, order: list[Column], name: str = "ranked") -> DataFrame:
+    """``df`` with ``rank``, its row's number (from 1) in ``order``, which should be a total one.
+
+    The rows are dealt by ranges of the order and sorted there; a rank is the place in the partition after the sizes of the earlier ones.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = write_step(sorted_rows.withColumn("__part", F.spark_partition_id()).withColumn("rank", place + 1), name)
+    counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(starts), "__part").withColumn("rank", F.col("rank") + F.col("__before")).drop("__part", "__before")
+
+
 def bounded_rows(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> list:
     """Collect a lookup whose size is bounded by construction, failing loudly if it is not."""
     rows = df.limit(max_rows + 1).collect()
