@@ -7,39 +7,41 @@ graph is never built by comparing everything with everything:
 1. Only the vocabulary (at most ``max_terms`` terms) matters, so a document becomes a short sparse
    unit vector. Documents with the same vector are folded onto their first member by one
    aggregation, however many there are.
-2. With terms ordered from rare to common, two vectors above the threshold must share ``k`` terms
-   of their leading parts (prefix filter). These k-term keys define buckets.
+2. Terms are ordered from rare to common. A vector is listed under its leading terms, as many as it
+   takes until the norm of the rest is below the threshold: two similar vectors meet at the first
+   term they share. There the dot product is at most the product of the two weights plus the product
+   of the norms of the rests, which rejects most pairs that share nothing but a common term.
 3. The norms of a vector within fixed groups of terms bound its dot product with any other from
-   above. This outline travels with the bucket entries, so hopeless pairs fail one generated
-   comparison inside the join and are never shuffled.
-4. Leader rounds, when buckets are large: a document that is the first of every one of its buckets
-   has no earlier similar document, hence is kept, and whatever it resembles is removed. A bucket
-   has at most one leader, so a round makes at most one comparison per bucket entry. Groups of near
-   copies collapse here instead of producing all their pairs.
-5. What is left is compared within buckets, large buckets cut into blocks that different tasks
+   above. This outline travels with the list entries, so a list is checked by one matrix product
+   inside its task, and hopeless pairs never leave it.
+4. Leader rounds, when lists are large: a document that is the first of every one of its lists has no
+   earlier similar document, hence is kept, and whatever it resembles is removed. A list has at most
+   one leader, so a round makes at most one comparison per entry. Groups of near copies collapse here
+   instead of producing all their pairs.
+5. What is left is compared within lists, large lists cut into blocks whose pairs different tasks
    compare, and the remaining decisions follow from those edges round by round.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegralType
 
 from tutorloom.functions import text as T
-from tutorloom.session import bounded_rows, spread, write_step
+from tutorloom.session import bounded_rows, ranked, spread, write_step
 
-KEY_LENGTHS = (1, 2)
-OUTLINE = 28  # groups; the generated comparison of more no longer fits what the JVM compiles
-BLOCK = 2_048  # entries of one bucket compared by one task
-MAX_KEYS = 2_000  # keys of one document at one length; beyond it the document uses shorter keys
+OUTLINE = 64  # groups
+BLOCK = 2_048  # entries of one list compared by one task
 MIN_PROGRESS = 0.02  # share of undecided documents a leader round must settle to be worth repeating
-PAIR_BUDGET = 500  # candidate pairs per bucket entry up to which pairs are compared directly
+PAIR_BUDGET = 500  # candidate pairs per list entry up to which pairs are compared directly
 
 
 def vocabulary(docs: DataFrame, text: str, size: int) -> list[str]:
@@ -74,39 +76,6 @@ def tfidf_vectors(docs: DataFrame, key: str, text: str, vocab: list[str], n_docs
     return weighted.select(key, F.col("v.t").alias("idx"), F.transform("v", lambda x: x["w"] / F.col("length")).alias("w"))
 
 
-def prefix_size(w: Column, k: int, threshold: float) -> Column:
-    """Length of the leading part that must share ``k`` terms with any vector above the threshold.
-
-    Sharing fewer than k leading terms caps the dot product at the norm of the rest plus the k-1
-    heaviest leading terms; the prefix grows until that cap is below the threshold. If it never is,
-    the whole vector is the prefix.
-    """
-    limit = threshold * threshold
-    # running state: position, best k-1 squares (descending), squared norm of the rest, answer
-    heavy = F.array(*[F.lit(0.0)] * (k - 1)) if k > 1 else F.array().cast("array<double>")
-    start = F.struct(F.lit(0).alias("at"), heavy.alias("heavy"), F.lit(1.0).alias("rest"), F.lit(0).alias("answer"))
-
-    def grow(s, x):
-        top = F.slice(F.sort_array(F.concat(s["heavy"], F.array(x * x)), asc=False), 1, k - 1) if k > 1 else s["heavy"]
-        rest = s["rest"] - x * x
-        cap = rest + F.aggregate(top, F.lit(0.0), lambda a, y: a + y)
-        at = s["at"] + 1
-        # a hair above the limit so that rounding never hides a true pair
-        settled = F.when(s["answer"] > 0, s["answer"]).when((cap <= limit - 1e-9) & (at >= k), at).otherwise(0)
-        return F.struct(at.alias("at"), top.alias("heavy"), rest.alias("rest"), settled.alias("answer"))
-
-    end = F.aggregate(w, start, grow)
-    return F.when(end["answer"] > 0, end["answer"]).otherwise(F.lit(None))
-
-
-def combinations(terms: Column, k: int) -> Column:
-    """All ascending k-term selections of a short array, as arrays."""
-    out = F.transform(terms, lambda t: F.array(t))
-    for _ in range(k - 1):
-        out = F.flatten(F.transform(out, lambda c: F.transform(F.filter(terms, lambda t: t > F.element_at(c, -1)), lambda t: F.concat(c, F.array(t)))))
-    return out
-
-
 @F.pandas_udf(DoubleType())
 def similarity(a_idx: pd.Series, a_w: pd.Series, b_idx: pd.Series, b_w: pd.Series) -> pd.Series:
     """Dot products of sparse vectors with ascending term numbers, a whole batch at a time."""
@@ -125,82 +94,99 @@ def similarity(a_idx: pd.Series, a_w: pd.Series, b_idx: pd.Series, b_w: pd.Serie
     return pd.Series(np.bincount(row[hit], weights=a[hit] * b[at[hit]], minlength=n))
 
 
-def outline(idx: Column, w: Column) -> Column:
-    """Norm of the vector within each of ``OUTLINE`` groups of terms."""
+ENTRY = "id long, key int, w double, rest double, o array<float>"
 
-    def group_norm(g: Column) -> Column:
-        squares = F.zip_with(idx, w, lambda t, x: F.when(t % OUTLINE == g, x * x).otherwise(0.0))
-        return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(OUTLINE - 1)), group_norm)
+def list_entries(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(id, key, w, rest, o): one row for each leading term of a vector, with its weight, the norm of all later terms, and the outline."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = batch.column("idx").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            idx, w = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("idx", "w"))
+            ends = np.cumsum(sizes)
+            upto = np.cumsum(w * w)
+            rest = (upto[ends - 1])[row] - upto  # squared norm of what follows
+            before = rest + w * w  # and of the term with what follows
+            leading = before > threshold * threshold - 1e-9
+            shape = np.sqrt(np.bincount(row * OUTLINE + idx % OUTLINE, weights=w * w, minlength=len(sizes) * OUTLINE)).astype(np.float32)
+            at = row[leading]
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(shape.reshape(-1, OUTLINE)[at].reshape(-1)), OUTLINE).cast(pa.list_(pa.float32()))
+            columns = [batch.column("id").take(pa.array(at)), pa.array(idx[leading].astype(np.int32)), pa.array(w[leading]), pa.array(np.sqrt(np.maximum(rest[leading], 0))), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "w", "rest", "o"])
 
-def bucket_entries(nodes: DataFrame, longest: int, threshold: float) -> DataFrame:
-    """(id, o0..o27, key): one row per key of a document, with its outline.
+    return nodes.select(F.col("id").cast("long").alias("id"), "idx", "w").mapInArrow(run, ENTRY)
 
-    A pair above the threshold shares a key of every length both documents support. A vector too
-    concentrated for long keys (or with too many of them) supports shorter ones only; other
-    documents then enter the buckets of such a document, and no other short-key bucket.
+
+def met(entries: DataFrame, compare: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], *cell: str) -> DataFrame:
+    """Distinct pairs (a < b) that ``compare`` finds in each cell.
+
+    Few bytes but much comparing: the cells are dealt over many tasks whatever their size on disk.
     """
-    lengths = range(1, longest + 1)
-    shape = outline(F.col("idx"), F.col("w"))
-    sized = write_step(
-        nodes.select("id", "idx", shape.alias("o"), *[prefix_size(F.col("w"), k, threshold).alias(f"p{k}") for k in lengths])
-        .select("id", "idx", *[F.col("o")[g].cast("float").alias(f"o{g}") for g in range(OUTLINE)], *[f"p{k}" for k in lengths]),
-        "prefixes",
-    )
-    own = F.lit(1)
-    for k in lengths[1:]:
-        choices = F.lit(1.0)
-        for i in range(k):
-            choices = choices * (F.col(f"p{k}") - i) / (i + 1)
-        own = F.when((own == k - 1) & (choices <= MAX_KEYS), k).otherwise(own)
-    sized = sized.withColumn("own", own)
-    kept = ["id", *[f"o{g}" for g in range(OUTLINE)]]
-
-    def entries(k: int) -> DataFrame:
-        able = sized.filter(F.col("own") >= k)
-        picks = F.slice("idx", 1, F.col(f"p{k}"))
-        return able.select(*kept, "own", F.explode(F.transform(combinations(picks, k), lambda c: F.xxhash64(F.lit(k), c))).alias("key"))
-
-    out = entries(longest).drop("own")
-    for k in lengths[:-1]:
-        if sized.filter(F.col("own") == k).isEmpty():
-            continue
-        level = entries(k)
-        wanted = level.filter(F.col("own") == k).select("key").distinct()
-        out = out.unionByName(level.drop("own").join(wanted, "key", "left_semi"))
-    return out
+    spark = entries.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(rows: pa.Table) -> pa.Table:
+        x, y = compare(rows)
+        return pa.table([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return entries.repartition(tasks, *cell).groupBy(*cell).applyInArrow(run, "a long, b long").distinct()
+
 
+def hopeful(left: pa.Table, right: pa.Table, threshold: float) -> np.ndarray:
+    """Whether weights, rests and outlines leave room for a similarity above the threshold, for each pair that has this term as its first common one."""
 
-def hopeful(a: str, b: str, threshold: float) -> Column:
-    """Whether the outlines leave room for a similarity above the threshold."""
-    bound = F.lit(0.0)
-    for g in range(OUTLINE):
-        bound = bound + F.col(f"{a}.o{g}") * F.col(f"{b}.o{g}")
-    return bound > threshold - 1e-5
+    def parts(t: pa.Table):
+        o = t.column("o").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return t.column("w").to_numpy(), t.column("rest").to_numpy(), o.reshape(-1, OUTLINE)
 
+    (w, rest, o), (v, tail, p) = parts(left), parts(right)
+    return (np.outer(w, v) + np.outer(rest, tail) > threshold - 1e-9) & (o @ p.T > threshold - 1e-5)
 
-def bucket_pairs(entries: DataFrame, threshold: float) -> DataFrame:
-    """Distinct hopeful pairs (a < b) within buckets; a bucket above ``BLOCK`` entries is compared block by block."""
+
+def list_pairs(entries: DataFrame, threshold: float) -> DataFrame:
+    """Distinct hopeful pairs (a < b) within lists; a list above ``BLOCK`` entries is compared block by block."""
     large = entries.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
-    cut = entries.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # Few bytes but much comparing: the cells are dealt over many tasks whatever their size on disk.
-    spark = entries.sparkSession
-    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    left = cut.withColumn("other", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)))
-    right = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("own"))))
-    left = left.repartition(tasks, "key", "own", "other").alias("l")
-    right = right.repartition(tasks, "key", "other", "own").hint("merge").alias("r")
-    same_cell = (F.col("l.key") == F.col("r.key")) & (F.col("l.own") == F.col("r.other")) & (F.col("l.other") == F.col("r.own"))
-    once = (F.col("l.own") < F.col("r.own")) | (F.col("l.id") < F.col("r.id"))
-    pairs = left.join(right, same_cell & once & (F.col("l.id") != F.col("r.id")) & hopeful("l", "r", threshold))
-    return pairs.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
-
-
-def bucket_cost(entries: DataFrame) -> tuple[int, int]:
-    """Entries and candidate pairs in buckets of two or more, from one map-side combined count."""
+    cut = entries.join(F.broadcast(large), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))  # a row a term at most
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cut.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
+
+    def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        own = rows.column("own").to_numpy()
+        left, right = rows.filter(pa.array(own == i)), rows.filter(pa.array(own == j))
+        x, y = left.column("id").to_numpy(), right.column("id").to_numpy()
+        good = hopeful(left, right, threshold)
+        good &= x[:, None] < y[None, :] if i == j else x[:, None] != y[None, :]
+        at, to = np.nonzero(good)
+        return x[at], y[to]
+
+    return met(cells, compare, "key", "i", "j")
+
+
+def leader_pairs(entries: DataFrame, leaders: DataFrame, threshold: float) -> DataFrame:
+    """Distinct hopeful pairs of a leader and a later document of one of its lists; a long list is dealt over several tasks, the leader to all of them."""
+    marked = entries.join(leaders.withColumn("leads", F.lit(True)), "id", "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
+    parts = marked.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.max("leads").alias("led")).filter("led").drop("led")
+    dealt = marked.join(F.broadcast(parts), "key")  # a row a term at most
+    everywhere = F.sequence(F.lit(0), F.col("parts") - 1)
+    dealt = dealt.withColumn("part", F.explode(F.when(F.col("leads"), everywhere).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))))).drop("parts")
+
+    def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        leads = rows.column("leads").to_numpy(zero_copy_only=False)
+        left, right = rows.filter(pa.array(leads)), rows.filter(pa.array(~leads))
+        x, y = left.column("id").to_numpy(), right.column("id").to_numpy()
+        at, to = np.nonzero(hopeful(left, right, threshold) & (x[:, None] < y[None, :]))
+        return x[at], y[to]
+
+    return met(dealt, compare, "key", "part")
+
+
+def list_cost(entries: DataFrame) -> tuple[int, int]:
+    """Entries and candidate pairs in lists of two or more, from one map-side combined count."""
     n = F.col("n").cast("double")
     row = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").agg(F.sum(n).alias("e"), F.sum(n * (n - 1) / 2).alias("p")).first()
     return int(row["e"] or 0), int(row["p"] or 0)
@@ -237,34 +223,24 @@ def removed_along(edges: DataFrame) -> DataFrame:
 
 def first_independent_set(nodes: DataFrame, threshold: float) -> DataFrame:
     """Ids of the documents removed because an earlier kept one is more similar than the threshold."""
-    options = []
-    for length in KEY_LENGTHS:
-        entries = write_step(bucket_entries(nodes, length, threshold), f"buckets{length}")
-        count, pairs = bucket_cost(entries)
-        options.append((count + pairs / PAIR_BUDGET, count, pairs, entries))
-        if pairs <= PAIR_BUDGET * count:
-            break
-    _, count, pairs, entries = min(options, key=lambda o: o[0])
-
+    entries = write_step(list_entries(nodes, threshold), "lists")
+    count, pairs = list_cost(entries)
     removed = []
     progress = 1.0
     while pairs > PAIR_BUDGET * count and progress >= MIN_PROGRESS:
         first = entries.groupBy("key").agg(F.min("id").alias("first"))
         before = entries.select("id").distinct().count()
         leaders = write_step(
-            entries.join(first, "key").groupBy("id").agg(F.min(F.col("first") == F.col("id")).alias("leads")).filter("leads").select("id"), "leaders"
+            entries.select("id", "key").join(first, "key").groupBy("id").agg(F.min(F.col("first") == F.col("id")).alias("leads")).filter("leads").select("id"), "leaders"
         )
-        led = entries.join(leaders, "id", "left_semi").alias("l")
-        follow = (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & hopeful("l", "r", threshold)
-        pairs_df = led.join(entries.alias("r"), follow).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-        gone = write_step(similar(pairs_df, nodes, threshold).select(F.col("b").alias("id")).distinct(), "removed")
+        gone = write_step(similar(leader_pairs(entries, leaders, threshold), nodes, threshold).select(F.col("b").alias("id")).distinct(), "removed")
         removed.append(gone)
-        entries = write_step(entries.join(leaders.unionByName(gone), "id", "left_anti"), "buckets")
+        entries = write_step(entries.join(leaders.unionByName(gone), "id", "left_anti"), "lists")
         progress = 1.0 - entries.select("id").distinct().count() / max(before, 1)
-        count, pairs = bucket_cost(entries)
+        count, pairs = list_cost(entries)
 
     if pairs:
-        edges = similar(bucket_pairs(entries, threshold), nodes, threshold)
+        edges = similar(list_pairs(entries, threshold), nodes, threshold)
         removed.append(removed_along(edges))
     out = nodes.select("id").limit(0)
     for part in removed:
@@ -287,5 +263,10 @@ def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = 0.9
         vectors.groupBy("shape").agg(F.min(key).alias("id")).join(vectors.withColumnRenamed(key, "id"), ["shape", "id"]), "nodes"
     ))
     copies = vectors.select(key, "shape").join(nodes.select("shape", F.col("id").alias("first")), "shape").filter(F.col(key) != F.col("first"))
-    near = first_independent_set(nodes.select("id", "idx", "w"), threshold).select(F.col("id").alias(key))
+    if isinstance(nodes.schema["id"].dataType, IntegralType):
+        near = first_independent_set(nodes.select("id", "idx", "w"), threshold).select(F.col("id").alias(key))
+    else:  # keys of other types take part under their number in key order
+        numbered = write_step(ranked(nodes.select("id", "idx", "w"), [F.col("id")], "numbered"), "numbered")
+        found = first_independent_set(numbered.select(F.col("rank").alias("id"), "idx", "w"), threshold).select(F.col("id").alias("rank"))
+        near = numbered.join(found, "rank", "left_semi").select(F.col("id").alias(key))
     return copies.select(key).unionByName(near)
