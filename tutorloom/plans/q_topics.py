@@ -348,23 +348,29 @@ GRAPH_SQL = f"""{WINDOWS_SQL},
     ov AS (SELECT a.topic_id AS s, b.topic_id AS t, count(*) AS shared FROM words a JOIN words b ON a.term = b.term AND a.topic_id <> b.topic_id GROUP BY 1, 2),
     hier AS (SELECT 'hierarchy_' || s || '_' || t AS id, 'topic_' || s AS source_id, 'topic_' || t AS target_id, CASE WHEN x.count > y.count THEN 'subtopic_of' ELSE 'relates_to' END AS type,
         shared / (len(x.ws) + len(y.ws) - shared) AS weight FROM ov JOIN named x ON x.topic_id = s JOIN named y ON y.topic_id = t WHERE shared / (len(x.ws) + len(y.ws) - shared) > 0.05),
+    du AS (SELECT d.doc_id, d.topic_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS e
+        FROM kept d JOIN embeddings ON vec_id = doc_id),
+    dc AS (SELECT topic_id, list(x ORDER BY i) AS c FROM (SELECT topic_id, i, avg(e[i]) AS x FROM (SELECT topic_id, e, unnest(range(1, len(e) + 1)) AS i FROM du) GROUP BY 1, 2) GROUP BY 1),
+    dp AS (SELECT doc_id, coalesce(sum(s) FILTER (own) / nullif(sum(s), 0), 0.5) AS probability
+        FROM (SELECT doc_id, du.topic_id = dc.topic_id AS own, greatest(0, list_cosine_similarity(e, c)) AS s FROM du, dc) GROUP BY 1),
     edges AS (SELECT * FROM hier UNION ALL
         SELECT 'concept_topic_concept_' || topic_id || '_' || keyword || '_topic_' || topic_id, 'concept_' || topic_id || '_' || keyword, 'topic_' || topic_id, 'belongs_to_topic', window_count / 10.0 FROM concepts UNION ALL
-        SELECT 'doc_topic_doc_' || doc_id || '_topic_' || topic_id, 'doc_' || doc_id, 'topic_' || topic_id, 'belongs_to_topic', 0.5 FROM kept),
+        SELECT 'doc_topic_doc_' || doc_id || '_topic_' || topic_id, 'doc_' || doc_id, 'topic_' || topic_id, 'belongs_to_topic', coalesce(probability, 0.5) FROM kept LEFT JOIN dp USING (doc_id)),
     nodes AS (SELECT 'topic_' || topic_id AS id, 'topic' AS type, name, 'Topic covering ' || count || ' documents. Key themes: ' || array_to_string(ws[1:5], ', ') || ' Example: ' || substr(rs[1], 1, 100) || '...' AS description FROM named UNION ALL
         SELECT 'concept_' || c.topic_id || '_' || keyword, 'concept', keyword, 'Concept extracted from ' || window_count || ' context windows in topic ''' || n.name || '''' FROM concepts c JOIN named n USING (topic_id) UNION ALL
         SELECT 'doc_' || doc_id, 'document', 'Document ' || (doc_id + 1), CASE WHEN length(text) > 150 THEN substr(text, 1, 150) || '...' ELSE text END FROM document_topics)"""
 
 
 def graph(spark, d):
-    """(docs, words, topics, nodes, edges, windows) of the given assignments; overlap above 0.05 links topics."""
+    """(docs, words, topics, nodes, edges, windows) of the given assignments, weighted by the vectors of the documents; overlap above 0.05 links topics."""
     docs = topic_docs(spark, d)
     words = write_step(TP.topic_words(docs), "words")
     topics = write_step(TP.topic_table(docs, words), "topics")
-    assigned = docs.select("doc_id", "topic_id", F.lit(0.5).alias("probability"))
-    nodes, edges, windows = G.build_graph(docs, topics, words, assigned)
-    overlap = G.word_overlap_edges(words, topics.select("topic_id", "count"), 0.05)
-    return docs, words, topics, nodes, edges.filter(~F.col("id").startswith("hierarchy_")).unionByName(overlap), windows
+    vectors = M.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    held = docs.select("doc_id", "topic_id").join(vectors, "doc_id", "left")
+    assigned = TP.assignments(held, TP.centroids(held.filter("topic_id >= 0 AND embedding IS NOT NULL")), key="doc_id")
+    nodes, edges, windows = G.build_graph(docs, topics, words, assigned, overlap=0.05)
+    return docs, words, topics, nodes, edges, windows
 
 
 def graph_sql(body: str) -> str:
@@ -400,6 +406,19 @@ def _(spark, d):
     return G.word_overlap_edges(words, sizes, 0.05).withColumn("weight", F.round("weight", 6))
 
 
+@query("join12_frequent_word_overlap", sql_with("document_topics", f"""WITH {WORDS_SQL}, ten AS (SELECT topic_id, term FROM tf QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY tf DESC, term) <= 10),
+    z AS (SELECT topic_id, count(*) AS count FROM kept GROUP BY 1), o AS (SELECT a.topic_id AS s, b.topic_id AS t, count(*) AS shared FROM ten a JOIN ten b ON a.term = b.term AND a.topic_id <> b.topic_id GROUP BY 1, 2)
+    SELECT 'hierarchy_' || s || '_' || t AS id, 'topic_' || s AS source_id, 'topic_' || t AS target_id, CASE WHEN x.count > y.count THEN 'subtopic_of' ELSE 'relates_to' END AS type,
+        round(shared / ((SELECT count(*) FROM ten WHERE topic_id = s) + (SELECT count(*) FROM ten WHERE topic_id = t) - shared), 6) AS weight
+    FROM o JOIN z x ON x.topic_id = s JOIN z y ON y.topic_id = t WHERE shared / ((SELECT count(*) FROM ten WHERE topic_id = s) + (SELECT count(*) FROM ten WHERE topic_id = t) - shared) > 0.3"""))
+def _(spark, d):
+    docs = topic_docs(spark, d).filter("topic_id >= 0")
+    counts = docs.select("topic_id", F.explode(T.terms(F.col("text"))).alias("term")).groupBy("topic_id", "term").agg(F.count("*").alias("tf"))
+    words = K.top_n(counts, 10, [F.col("tf").desc(), F.col("term")], ["topic_id"])
+    edges = G.word_overlap_edges(words, docs.groupBy("topic_id").agg(F.count("*").alias("count")))
+    return edges.withColumn("weight", F.round("weight", 6))
+
+
 @query("kg1_graph_nodes", graph_sql("SELECT id, type, name, description FROM nodes"))
 def _(spark, d):
     return graph(spark, d)[3]
