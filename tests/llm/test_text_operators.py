@@ -116,7 +116,7 @@ def test_repeated_passages_equal_brute_force(documents):
     [
         ("prose\nReleased under the MIT license!\nmore prose", [(1, "MIT")]),
         ("Permission to use, copy, modify, and/or distribute this software for any purpose\nwith or without fee is hereby granted, provided that the above copyright notice\nand this permission notice appear in all copies.", [(3, "ISC")]),
-        ("ALL RIGHTS RESERVED\nAll rights reserved.", [(0, "all-rights-reserved"), (1, "all-rights-reserved")]),
+        ("ALL RIGHTS RESERVED\nAll rights reserved.", [(0, "all-rights-reserved"), (1, "all-rights-reserved"), (2, "all-rights-reserved")]),  # the block is at exactly 0.8
         ("licensed", []),
         ("", []),
         (None, []),
@@ -239,6 +239,11 @@ def test_stretches_equal_brute_force(documents):
     assert got == want and sum(map(len, want.values())) > 60
 
 
+def test_a_part_at_the_bound_of_sizes(documents):
+    (row,) = licenses.scan(documents([(1, "A.\nAll rights reserved.")]), stretches=False).collect()
+    assert [(x.part, x.dice) for x in row.licenses] == [(1, 1.0), (2, 0.8)]  # the block has 3 bigrams, the template 2
+
+
 def test_comments_and_templates_are_no_articles():
     html = "<div>{}<article class='comment odd'><p>reader</p></article><ol id='comments'><li><article><p>another</p></article></ol></div>"
     assert pages.Page(html.format("<article><p>story</p></article>")).main_text(set()) == "story"

@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tutorloom.llm.common import ranked, small_or_not, written
+from tutorloom.llm.common import small_or_not, written
+from tutorloom.session import ranked
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -65,7 +66,7 @@ def level(sources: DataFrame) -> float:
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """(source_key, source_rank, docs, source_size, weight, target) of every source, in order of code points, null last."""
     sums = sized.groupBy("source_key").agg(F.min("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    order = ranked(sums, [F.col("source").asc_nulls_last()], "sources").withColumnRenamed("rank", "source_rank")
+    order = ranked(sums, [F.col("source").asc_nulls_last()], "llm-sources").withColumnRenamed("rank", "source_rank")
     turn = F.pmod(F.col("source_rank") - 1, F.lit(len(weights))).cast("int")
     sources = written(order.drop("source").withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), turn + 1)), "weights")
     share = F.lit(level(sources)) * F.col("weight")
@@ -101,7 +102,7 @@ def apportion(parties: DataFrame, name: str, group: str | None = None) -> DataFr
         placed = wanted.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).join(left, group).where("rank <= left")
     else:
         r = bounded.agg((F.first("seats_in_all") - F.sum("sure")).alias("left")).first()
-        placed = ranked(wanted, order, name).where(F.col("rank") <= (r["left"] or 0))
+        placed = ranked(wanted, order, f"llm-{name}").where(F.col("rank") <= (r["left"] or 0))
     more = placed.groupBy(*keys, "party").agg(F.count("*").alias("more"))
     seats = bounded.select(*keys, "party", "sure").join(more, [*keys, "party"], "left").select(*keys, "party", (F.col("sure") + F.coalesce("more", F.lit(0))).alias("seats"))
     return parties.join(seats, [*keys, "party"], "left").withColumn("seats", F.coalesce("seats", F.lit(0)).cast("long"))
