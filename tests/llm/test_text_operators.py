@@ -197,8 +197,8 @@ PROSE = "Some words of a longer document that speak of the rights and the use of
         ("This software is released under the MIT License.", ["MIT"]),
         ("Licensed under the Apache License, Version 2.0. See LICENSE for details.", ["Apache-2.0"]),
         ("All rights reserved.\nCopyright (c) 2020 Foo Inc. All rights reserved.", ["all-rights-reserved"] * 2),  # a line and a stretch
-        (PROSE + licenses.LICENCES[1][1].replace(" 2. ", "\n\n2. ").replace(" THIS", "\n\nTHIS") + "\n\n" + PROSE, ["BSD-2-Clause"]),
-        (PROSE + licenses.LICENCES[2][1].replace("the copyright holder nor", "Foo nor").replace(" 2. ", "\n\n2. ") + "\n\n" + PROSE, ["BSD-3-Clause"]),
+        (PROSE + licenses.LICENCES[1][1].replace(" 2. ", "\n\n2. ").replace(" THIS", "\n\nTHIS") + "\n\n" + PROSE, ["BSD-2-Clause"] * 2),  # its first block, at exactly 0.8, and a stretch
+        (PROSE + licenses.LICENCES[2][1].replace("the copyright holder nor", "Foo nor").replace(" 2. ", "\n\n2. ") + "\n\n" + PROSE, ["BSD-2-Clause", "BSD-3-Clause"]),
         (PROSE * 2 + "All of the rights are reserved under the licence.", []),
     ],
 )
