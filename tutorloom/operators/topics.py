@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +36,29 @@ def tfidf_embedding(docs: DataFrame, text: str = "text", dims: int = 64, feature
     return model.transform(prepared).withColumn("embedding", vector_to_array("pca", "float32")).drop("tf", "tfidf", "pca")
 
 
+def fit_embedding(docs: DataFrame, path: str, text: str = "text", dims: int = 64, features: int = 512) -> None:
+    """Fits the default embedding once and stores it under ``path``, a folder all executors can reach."""
+    steps = [HashingTF(numFeatures=features, inputCol="__terms", outputCol="__tf"), IDF(inputCol="__tf", outputCol="__tfidf"), PCA(k=dims, inputCol="__tfidf", outputCol="__pca")]
+    prepared = write_step(docs.select(T.terms(F.coalesce(text, F.lit(""))).alias("__terms")), "terms")
+    Pipeline(stages=steps).fit(prepared).write().save(path)
+
+
+def load_embedding(path: str, text: str = "text", model: str = "stored") -> Embedder:
+    """The stored embedding as a step: the same weights and axes for documents and for queries. A null or empty text has the zero vector."""
+    fitted = PipelineModel.load(path)
+
+    def run(docs: DataFrame) -> DataFrame:
+        vectors = fitted.transform(docs.withColumn("__terms", T.terms(F.coalesce(text, F.lit("")))))
+        return vectors.withColumn("embedding", vector_to_array("__pca", "float32")).withColumn("model", F.lit(model)).drop("__terms", "__tf", "__tfidf", "__pca")
+
+    return run
+
+
+def search_texts(queries: DataFrame, corpus: DataFrame, embedder: Embedder, k: int, threshold: float = 0.0, key: str = "id") -> DataFrame:
+    """(query_id, id, similarity, position): the ``k`` rows of the embedded ``corpus`` nearest to the text of each query."""
+    return V.top_k(corpus, embedder(queries), k, threshold, key)
+
+
 def embed_with(udf_column: Callable[[Column], Column], model: str) -> Embedder:
     """Embedding step from a user-supplied (pandas) UDF; the model name travels with the vectors."""
 

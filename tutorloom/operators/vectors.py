@@ -208,7 +208,7 @@ def _covers(threshold: float) -> Cell:
 
 def _settled(head: DataFrame, n: int, threshold: float, batch: int) -> DataFrame:
     """(id): the vectors of ``head`` that are certain to be leaders."""
-    block_of = F.floor((F.col("rank") - 1) / batch)
+    block_of = F.floor((F.col("rank") - 1) / batch) if n > batch else F.lit(0).cast("long")  # few vectors are one block, however far apart their ranks
     ahead = head.select("id", "v", "rank", block_of.alias("b"))
     if n > batch:  # several blocks: who has a similar vector in an earlier one?
         dealt = ahead.repartition("b")

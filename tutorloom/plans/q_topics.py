@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tutorloom.functions import text as T
@@ -15,7 +17,7 @@ from tutorloom.plans.mapping import AS_OF_EVENTS, ntz, sql_with
 from tutorloom.plans.q_documents import SP, sql_terms, sql_words
 from tutorloom.plans.q_study import rounded
 from tutorloom.plans.registry import query
-from tutorloom.session import write_step
+from tutorloom.session import shared_folder, write_step
 
 # --- vectors --------------------------------------------------------------------------------------
 
@@ -86,6 +88,18 @@ def _(spark, d):
     return TP.density_clusters(vectors(spark, d), 0.3, 0.25, 5)
 
 
+@query("sea2_text_search")
+def _(spark, d):
+    """The opening words of every 50th document as queries by text; the model is fitted once, stored, and loaded for both sides."""
+    docs = M.documents(spark, d).select(F.col("doc_id").alias("id"), "text")
+    path = f"{shared_folder(spark)}/tutorloom/model-{uuid.uuid4().hex}"
+    TP.fit_embedding(docs, path, dims=16, features=256)
+    embedder = TP.load_embedding(path)
+    corpus = write_step(embedder(docs).select("id", "embedding"), "corpus")
+    queries = docs.filter(F.col("id") % 50 == 0).select("id", T.array_join_words(F.col("text"), 12).alias("text"))
+    return TP.search_texts(queries, corpus, embedder, 5).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("topic1_text_embedding")
 def _(spark, d):
     return TP.tfidf_embedding(M.documents(spark, d).select("doc_id", "text"), dims=16, features=256).select("doc_id", F.size("embedding").alias("dimensions"))
