@@ -16,6 +16,8 @@ CONCEPT_TEXT = "Concept extracted from {} context windows in topic '{}'"
 DOCUMENT_NAME = "Document {}"
 WHOLE_PATH = "Comprehensive Workspace Mastery"
 FOCUSED_PATH = "Deep Dive: {}"
+WHOLE_PATH_TEXT = "Complete learning path covering all major topics in your workspace"
+FOCUSED_PATH_TEXT = "Focused learning path for mastering {}"
 GAP_REASON = "You've only explored {} of {}"
 GAP_ACTION = "Take a quiz on {} to improve your understanding"
 PRACTICE_REASON = "You have good coverage of {} but need more practice"
@@ -361,25 +363,42 @@ def merge_by_name(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def learning_paths(areas: DataFrame, focused: int = 5) -> DataFrame:
-    """A comprehensive path for workspaces of three or more topics, and focused ones for covered topics."""
+    """A comprehensive path for workspaces of three or more topics, and focused ones for covered topics.
+
+    Paths have no prerequisites; their topic areas in order are the rows of ``path_members``, so that no workspace is collected into a list.
+    """
+    no_paths = F.array().cast("array<string>")
     score = F.round(F.col("coverage_score") + F.col("explored_percentage"), 9)
     whole = areas.groupBy("workspace_id").agg(
         F.count("*").alias("topics"), F.sum(F.col("concept_count") * 2).alias("estimated_hours"), F.avg("coverage_score").alias("c")
     ).filter("topics >= 3")
     comprehensive = whole.select(
         F.concat_ws("_", F.lit("path"), "workspace_id", F.lit("comprehensive")).alias("learning_path_id"), "workspace_id",
-        F.lit(WHOLE_PATH).alias("name"), "topics", "estimated_hours",
-        F.when(F.col("c") < 0.4, "beginner").when(F.col("c") < 0.7, "intermediate").otherwise("advanced").alias("difficulty_level"),
+        F.lit(WHOLE_PATH).alias("name"), F.lit(WHOLE_PATH_TEXT).alias("description"), "topics", "estimated_hours",
+        F.when(F.col("c") < 0.4, "beginner").when(F.col("c") < 0.7, "intermediate").otherwise("advanced").alias("difficulty_level"), no_paths.alias("prerequisites"),
     )
     best = top_n(areas.filter("coverage_score > 0.7"), focused, [score.desc(), F.col("topic_area_id")], ["workspace_id"])
     deep = best.select(
         F.concat_ws("_", F.lit("path"), "workspace_id", F.lit("focused"), (F.col("position") - 1).cast("string")).alias("learning_path_id"), "workspace_id",
-        said(FOCUSED_PATH, F.col("name")).alias("name"), F.lit(1).cast("long").alias("topics"), (F.col("concept_count") * 3).alias("estimated_hours"),
-        F.lit("intermediate").alias("difficulty_level"),
+        said(FOCUSED_PATH, F.col("name")).alias("name"), said(FOCUSED_PATH_TEXT, F.col("name")).alias("description"), F.lit(1).cast("long").alias("topics"),
+        (F.col("concept_count") * 3).alias("estimated_hours"), F.lit("intermediate").alias("difficulty_level"), no_paths.alias("prerequisites"),
     )
     return comprehensive.unionByName(deep)
 
 
+def path_members(areas: DataFrame, focused: int = 5) -> DataFrame:
+    """(learning_path_id, position, topic_area_id): the topic areas of every learning path in order."""
+    score = F.round(F.col("coverage_score") + F.col("explored_percentage"), 9)
+    large = areas.groupBy("workspace_id").agg(F.count("*").alias("n")).filter("n >= 3").select("workspace_id")
+    whole = path_topics(areas.join(large, "workspace_id", "left_semi")).select(
+        F.concat_ws("_", F.lit("path"), "workspace_id", F.lit("comprehensive")).alias("learning_path_id"), "position", "topic_area_id"
+    )
+    deep = top_n(areas.filter("coverage_score > 0.7"), focused, [score.desc(), F.col("topic_area_id")], ["workspace_id"])
+    return whole.unionByName(
+        deep.select(F.concat_ws("_", F.lit("path"), "workspace_id", F.lit("focused"), (F.col("position") - 1).cast("string")).alias("learning_path_id"), F.lit(1).alias("position"), "topic_area_id")
+    )
+
+
 def path_topics(areas: DataFrame) -> DataFrame:
     """Order of the topics within each comprehensive path."""
     w = Window.partitionBy("workspace_id").orderBy(F.round(F.col("coverage_score") + F.col("explored_percentage"), 9).desc(), "topic_area_id")

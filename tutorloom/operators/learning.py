@@ -392,6 +392,17 @@ def quota_selection(questions: DataFrame, quotas: dict[str, int], column: str, o
     return top_n(ranked, total, [F.col("spare"), *order], by)
 
 
+def targeted_review(questions: DataFrame, files: DataFrame, total: int = 10, weak_share: float = 0.7, weak_below: float = 0.6) -> DataFrame:
+    """A review of each workspace: ``weak_share`` of the places for questions answered badly so far, the rest for others, free places filled in order.
+
+    A question is weak if it was asked and less than ``weak_below`` of its answers were right; the worst come first, never asked ones last.
+    """
+    accuracy = F.try_divide(F.col("times_correct"), F.col("times_asked"))
+    rated = workspace_questions(questions, files).withColumn("accuracy", accuracy).withColumn("area", F.when(accuracy < weak_below, "weak").otherwise("strong"))
+    weak = round(total * weak_share)
+    return quota_selection(rated, {"weak": weak, "strong": total - weak}, "area", [F.col("accuracy").asc_nulls_last(), F.col("id")], ["workspace_id"], total)
+
+
 def flashcard_order(cards: DataFrame, deck: str, topic: str, score: str, key: str, size: int) -> DataFrame:
     """Round-robin over topics, hardest first within each: the first ``size`` cards of every deck."""
     inner = top_n(cards, size, [F.col(score).desc(), F.col(key)], [deck, topic]).withColumnRenamed("position", "turn")

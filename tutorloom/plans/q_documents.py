@@ -260,6 +260,17 @@ def _(spark, d):
     return p.select("page_id", T.extension(c).alias("extension"), T.base_name(c).alias("name"), T.directory(c).alias("directory"))
 
 
+KINDS = ["py", "TS", "md", "markdown", "txt", "pdf", "JPG", "gif", "json", "zip"]  # endings that the documents get in turn
+
+
+@query("fn5_file_kind", f"""SELECT doc_id, CASE WHEN e IN ('py', 'js', 'ts', 'html', 'css', 'json', 'xml') THEN 'code' WHEN e IN ('md', 'markdown') THEN 'markdown'
+    WHEN e = 'pdf' THEN 'pdf' WHEN e IN ('jpg', 'jpeg', 'png', 'gif') THEN 'image' ELSE 'text' END AS kind
+    FROM (SELECT doc_id, lower({KINDS}[doc_id % {len(KINDS)} + 1]) AS e FROM documents)""")
+def _(spark, d):
+    ending = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % len(KINDS) + 1).cast("int"))
+    return M.documents(spark, d).select("doc_id", T.file_kind(F.concat_ws(".", F.concat_ws("/", "source", F.col("doc_id").cast("string")), ending)).alias("kind"))
+
+
 @query("fn6_human_size", """WITH s AS (SELECT doc_id, n_chars * n_chars AS size FROM documents),
     u AS (SELECT *, CASE WHEN size < 1024 THEN 0 WHEN size < 1048576 THEN 1 WHEN size < 1073741824 THEN 2 ELSE 3 END AS k FROM s)
     SELECT doc_id, CASE WHEN size = 0 THEN '0 Bytes' ELSE regexp_replace(regexp_replace(printf('%.2f', size / pow(1024.0, k)), '0+$', ''), '\\.$', '')

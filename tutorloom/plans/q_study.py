@@ -440,6 +440,28 @@ def _(spark, d):
     return df.select("workspace_id", "id", "difficulty", (F.col("spare") == 1).alias("spare"))
 
 
+@query("top8_type_mix", sql_with("questions0 files", """, r AS (SELECT f.workspace_id, q.id, q.question_type, q.created_at,
+        row_number() OVER (PARTITION BY f.workspace_id, q.question_type ORDER BY q.created_at DESC, q.id) AS rn FROM questions0 q JOIN files f ON q.file_id = f.id),
+    s AS (SELECT *, rn > CASE question_type WHEN 'multiple_choice' THEN 8 WHEN 'true_false' THEN 6 WHEN 'short_answer' THEN 4 ELSE 2 END AS spare FROM r)
+    SELECT workspace_id, id, question_type, spare FROM s
+    QUALIFY row_number() OVER (PARTITION BY workspace_id ORDER BY spare, created_at DESC, id) <= 20""".lstrip(", ").replace("r AS", "WITH r AS", 1)))
+def _(spark, d):
+    q = L.workspace_questions(M.questions(spark, d), M.files(spark, d))
+    mix = {"multiple_choice": 8, "true_false": 6, "short_answer": 4, "fill_in_blank": 2}
+    df = L.quota_selection(q, mix, "question_type", [F.col("created_at").desc(), F.col("id")], ["workspace_id"], 20)
+    return df.select("workspace_id", "id", "question_type", (F.col("spare") == 1).alias("spare"))
+
+
+@query("top8_targeted_review", sql_with("questions files", """, r AS (SELECT f.workspace_id, q.id, times_correct / nullif(times_asked, 0) AS accuracy, coalesce(times_correct / nullif(times_asked, 0) < 0.6, FALSE) AS weak
+        FROM questions q JOIN files f ON q.file_id = f.id),
+    s AS (SELECT *, row_number() OVER (PARTITION BY workspace_id, weak ORDER BY accuracy NULLS LAST, id) > CASE WHEN weak THEN 7 ELSE 3 END AS spare FROM r)
+    SELECT workspace_id, id, CASE WHEN weak THEN 'weak' ELSE 'strong' END AS area, round(accuracy, 6) AS accuracy, spare FROM s
+    QUALIFY row_number() OVER (PARTITION BY workspace_id ORDER BY spare, accuracy NULLS LAST, id) <= 10""".lstrip(", ").replace("r AS", "WITH r AS", 1)))
+def _(spark, d):
+    df = L.targeted_review(M.questions_with_counters(spark, d), M.files(spark, d))
+    return df.select("workspace_id", "id", "area", F.round("accuracy", 6).alias("accuracy"), (F.col("spare") == 1).alias("spare"))
+
+
 @query("top9_flashcard_order", sql_with("questions files", f"""WITH {ADAPTIVE_SQL},
     r AS (SELECT *, row_number() OVER (PARTITION BY workspace_id, difficulty ORDER BY round(score, 9) DESC, id) AS turn FROM scored)
     SELECT workspace_id, id, difficulty, turn, row_number() OVER (PARTITION BY workspace_id ORDER BY turn, round(score, 9) DESC, id) AS position FROM r

@@ -278,11 +278,20 @@ def _(spark, d):
 
 @query("kg3_learning_paths", sql_with("topic_areas", """WITH c AS (SELECT workspace_id, count(*) AS topics, CAST(sum(concept_count * 2) AS BIGINT) AS estimated_hours, avg(coverage_score) AS c FROM topic_areas GROUP BY 1 HAVING count(*) >= 3),
     f AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY round(coverage_score + explored_percentage, 9) DESC, topic_area_id) AS p FROM topic_areas WHERE coverage_score > 0.7 QUALIFY p <= 5)
-    SELECT 'path_' || workspace_id || '_comprehensive' AS learning_path_id, workspace_id, 'Comprehensive Workspace Mastery' AS name, topics, estimated_hours,
-    CASE WHEN c < 0.4 THEN 'beginner' WHEN c < 0.7 THEN 'intermediate' ELSE 'advanced' END AS difficulty_level FROM c UNION ALL
-    SELECT 'path_' || workspace_id || '_focused_' || (p - 1), workspace_id, 'Deep Dive: ' || name, 1, concept_count * 3, 'intermediate' FROM f"""))
+    SELECT 'path_' || workspace_id || '_comprehensive' AS learning_path_id, workspace_id, 'Comprehensive Workspace Mastery' AS name,
+    'Complete learning path covering all major topics in your workspace' AS description, topics, estimated_hours,
+    CASE WHEN c < 0.4 THEN 'beginner' WHEN c < 0.7 THEN 'intermediate' ELSE 'advanced' END AS difficulty_level, '' AS prerequisites FROM c UNION ALL
+    SELECT 'path_' || workspace_id || '_focused_' || (p - 1), workspace_id, 'Deep Dive: ' || name, 'Focused learning path for mastering ' || name, 1, concept_count * 3, 'intermediate', '' FROM f"""))
 def _(spark, d):
-    return G.learning_paths(M.topic_areas(spark, d))
+    return G.learning_paths(M.topic_areas(spark, d)).withColumn("prerequisites", F.array_join("prerequisites", ","))
+
+
+@query("kg3_path_members", sql_with("topic_areas", """WITH o AS (SELECT *, count(*) OVER (PARTITION BY workspace_id) AS n, row_number() OVER (PARTITION BY workspace_id ORDER BY round(coverage_score + explored_percentage, 9) DESC, topic_area_id) AS p FROM topic_areas),
+    f AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY p) AS q FROM o WHERE coverage_score > 0.7 QUALIFY q <= 5)
+    SELECT 'path_' || workspace_id || '_comprehensive' AS learning_path_id, p AS position, topic_area_id FROM o WHERE n >= 3 UNION ALL
+    SELECT 'path_' || workspace_id || '_focused_' || (q - 1), 1, topic_area_id FROM f"""))
+def _(spark, d):
+    return G.path_members(M.topic_areas(spark, d))
 
 
 @query("kg3_path_topics", sql_with("topic_areas", """SELECT workspace_id, topic_area_id, row_number() OVER (PARTITION BY workspace_id ORDER BY round(coverage_score + explored_percentage, 9) DESC, topic_area_id) AS position FROM topic_areas"""))
