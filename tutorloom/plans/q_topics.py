@@ -396,29 +396,36 @@ def graph(spark, d):
     return docs, words, topics, nodes, edges, windows
 
 
+def windows_of(spark, d):
+    """The windows of the graph alone: they need the topics' words, but no nodes and edges."""
+    docs = topic_docs(spark, d)
+    words = write_step(TP.topic_words(docs), "words")
+    return write_step(G.context_windows(docs, words.filter("position <= 5").select("topic_id", F.col("term").alias("keyword"))), "windows")
+
+
 def graph_sql(body: str) -> str:
     return sql_with("document_topics", f"WITH {GRAPH_SQL} {body}")
 
 
 @query("win4_context_windows", graph_sql("SELECT topic_id, doc_id, sentence_index, array_to_string(keywords, ',') AS keywords, context FROM windows"))
 def _(spark, d):
-    w = graph(spark, d)[5]
+    w = windows_of(spark, d)
     return w.withColumn("keywords", F.array_join(F.array_sort("keywords"), ","))
 
 
 @query("agg23_concepts", graph_sql("SELECT * FROM concepts"))
 def _(spark, d):
-    return G.concepts(graph(spark, d)[5])
+    return G.concepts(windows_of(spark, d))
 
 
 @query("agg23_concept_samples", graph_sql("SELECT topic_id, keyword, doc_id, substr(context, 1, 100) AS sample, row_number() OVER (PARTITION BY topic_id, keyword ORDER BY doc_id, sentence_index) AS position FROM cw QUALIFY position <= 3"))
 def _(spark, d):
-    return G.concept_samples(graph(spark, d)[5]).drop("sentence_index")
+    return G.concept_samples(windows_of(spark, d)).drop("sentence_index")
 
 
 @query("agg23_related_words", graph_sql(f"SELECT DISTINCT topic_id, keyword, unnest(list_filter({sql_words('context')}, lambda w: length(w) > 4 AND regexp_full_match(w, '\\p{{L}}+'))[1:3]) AS word FROM cw"))
 def _(spark, d):
-    return G.related_words(graph(spark, d)[5])
+    return G.related_words(windows_of(spark, d))
 
 
 @query("join12_word_overlap_edges", graph_sql("SELECT id, source_id, target_id, type, round(weight, 6) AS weight FROM hier"))
@@ -495,8 +502,7 @@ def _(spark, d):
 @query("join17_concept_files", graph_sql("""SELECT topic_id, keyword, source, count(*) AS mentions, round(count(*) / sum(count(*)) OVER (PARTITION BY topic_id, keyword), 6) AS relevance
     FROM cw JOIN documents USING (doc_id) GROUP BY topic_id, keyword, source"""))
 def _(spark, d):
-    docs, _, _, _, _, windows = graph(spark, d)
-    return G.concept_files(windows, docs).withColumn("relevance", F.round("relevance", 6)).withColumn("mentions", F.col("mentions").cast("long"))
+    return G.concept_files(windows_of(spark, d), topic_docs(spark, d)).withColumn("relevance", F.round("relevance", 6)).withColumn("mentions", F.col("mentions").cast("long"))
 
 
 @query("join20_merge_by_name", graph_sql("SELECT lower(trim(name)) AS key, min(id) AS id, count(*) AS members FROM nodes GROUP BY 1"))
