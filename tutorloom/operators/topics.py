@@ -22,6 +22,17 @@ Embedder = Callable[[DataFrame], DataFrame]
 Extractor = Callable[[DataFrame], DataFrame]
 MAX_DRIVER_CLUSTERS = 2_000
 
+# --- fixed values -------------------------------------------------------------------------------------
+NO_NAME = "General Topic"
+LIKE_TEXT, ACROSS_TEXT, FILES_TEXT = "Topic covering content like ", " across ", " files"
+RELATED_NAME = " and Related"
+CLUSTER_TEXT, ONE_DOCUMENT, MANY_DOCUMENTS = "Heuristic topic containing ", " document", " documents"
+AVERAGE_TEXT, WORDS_TEXT, FILE_LIST_TEXT = " with average ", " words per document.", " Files: "
+FOUND_TEXT, IN_DOCUMENTS_TEXT, THEMES_TEXT = "Topic discovered in ", " documents", ". Key themes include: "
+EMPTY_NAME, EMPTY_TEXT = "All Documents", "Fallback topic area without processed documents"
+REST_NAME, REST_TEXT = "General Documents", "General topic area covering "
+# ------------------------------------------------------------------------------------------------------
+
 
 # --- embeddings -----------------------------------------------------------------------------------
 
@@ -369,7 +380,7 @@ def sample_names(samples: DataFrame, group: str, text: str = "text") -> DataFram
     two = top_n(ten.drop("position"), 2, [F.desc("n"), F.col("word")], [group])
     named = two.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("position", "word"))).alias("w"))
     name = T.title_case(F.array_join(F.transform("w", lambda x: x["word"]), " "))
-    return samples.select(group).distinct().join(named, group, "left").select(group, F.coalesce(name, F.lit("General Topic")).alias("name"))
+    return samples.select(group).distinct().join(named, group, "left").select(group, F.coalesce(name, F.lit(NO_NAME)).alias("name"))
 
 
 def sample_descriptions(samples: DataFrame, group: str, key: str, text: str = "text", files: str | None = None) -> DataFrame:
@@ -377,11 +388,11 @@ def sample_descriptions(samples: DataFrame, group: str, key: str, text: str = "t
     snippet = F.concat(F.lit('"'), T.truncate(T.trim_space(F.substring(text, 1, 100)), 50, 47), F.lit('"'))
     first = top_n(samples.select(group, key, snippet.alias("s")), 2, [F.col(key)], [group])
     quoted = first.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("position", "s"))).alias("q"))
-    body = F.concat(F.lit("Topic covering content like "), F.array_join(F.transform("q", lambda x: x["s"]), ", "))
+    body = F.concat(F.lit(LIKE_TEXT), F.array_join(F.transform("q", lambda x: x["s"]), ", "))
     if files is None:
         return quoted.select(group, body.alias("description"))
     n = samples.groupBy(group).agg(F.countDistinct(files).alias("files"))
-    return quoted.join(n, group).select(group, F.concat(body, F.lit(" across "), F.col("files"), F.lit(" files")).alias("description"))
+    return quoted.join(n, group).select(group, F.concat(body, F.lit(ACROSS_TEXT), F.col("files"), F.lit(FILES_TEXT)).alias("description"))
 
 
 def cluster_labels(docs: DataFrame, group: str, key: str, text: str = "text", path: str = "file_path") -> DataFrame:
@@ -394,11 +405,11 @@ def cluster_labels(docs: DataFrame, group: str, key: str, text: str = "text", pa
         F.array_sort(F.collect_list(F.struct("position", T.base_name(F.col(path)).alias("f")))).alias("fs")
     )
     titled = T.title_case(F.col("lead"))
-    name = T.truncate(F.when(F.col("n") > 1, F.concat(titled, F.lit(" and Related"))).otherwise(titled), 50, 47)
-    shown = F.when(F.col("n_paths").between(1, 3), F.concat(F.lit(" Files: "), F.array_join(F.transform("fs", lambda x: x["f"]), ", "))).otherwise("")
+    name = T.truncate(F.when(F.col("n") > 1, F.concat(titled, F.lit(RELATED_NAME))).otherwise(titled), 50, 47)
+    shown = F.when(F.col("n_paths").between(1, 3), F.concat(F.lit(FILE_LIST_TEXT), F.array_join(F.transform("fs", lambda x: x["f"]), ", "))).otherwise("")
     description = F.concat(
-        F.lit("Heuristic topic containing "), F.col("n"), F.when(F.col("n") == 1, " document").otherwise(" documents"),
-        F.lit(" with average "), F.format_string("%.0f", F.bround("mean_words", 0)), F.lit(" words per document."), shown,
+        F.lit(CLUSTER_TEXT), F.col("n"), F.when(F.col("n") == 1, ONE_DOCUMENT).otherwise(MANY_DOCUMENTS),
+        F.lit(AVERAGE_TEXT), F.format_string("%.0f", F.bround("mean_words", 0)), F.lit(WORDS_TEXT), shown,
     )
     return agg.join(few, group, "left").select(group, name.alias("name"), description.alias("description"))
 
@@ -413,7 +424,7 @@ def density_topic_areas(topics: DataFrame, workspace_id: Column, min_size: int =
         F.concat_ws("_", F.lit("topic"), workspace_id.cast("string"), F.col("topic_id").cast("string")).alias("topic_area_id"),
         workspace_id.alias("workspace_id"),
         "name",
-        F.concat(F.lit("Topic discovered in "), F.col("count"), F.lit(" documents"), F.when(top5 != "", F.concat(F.lit(". Key themes include: "), top5)).otherwise("")).alias("description"),
+        F.concat(F.lit(FOUND_TEXT), F.col("count"), F.lit(IN_DOCUMENTS_TEXT), F.when(top5 != "", F.concat(F.lit(THEMES_TEXT), top5)).otherwise("")).alias("description"),
         F.least(F.lit(1.0), (F.size("words") + F.col("count")) / 20.0).alias("coverage_score"),
         F.col("count").alias("concept_count"),
         F.lit(0.0).alias("explored_percentage"),
@@ -445,9 +456,9 @@ def cluster_topic_areas(member: DataFrame, docs: DataFrame, workspaces: DataFram
     fallback = without.select(
         F.concat_ws("_", F.lit("cluster"), "workspace_id", F.when(empty, "fallback").otherwise("general")).alias("topic_area_id"),
         "workspace_id",
-        F.when(empty, "All Documents").otherwise("General Documents").alias("name"),
-        F.when(empty, "Fallback topic area without processed documents").otherwise(
-            F.concat(F.lit("General topic area covering "), F.col("n"), F.lit(" documents"))
+        F.when(empty, EMPTY_NAME).otherwise(REST_NAME).alias("name"),
+        F.when(empty, EMPTY_TEXT).otherwise(
+            F.concat(F.lit(REST_TEXT), F.col("n"), F.lit(IN_DOCUMENTS_TEXT))
         ).alias("description"),
         F.when(empty, 0.5).otherwise(F.least(F.lit(1.0), "r")).alias("coverage_score"),
         F.coalesce("n", F.lit(0)).alias("concept_count"),
