@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,36 @@ from tutorloom.llm import wordhash
 from tutorloom.llm.common import slices, small_or_not, written
 
 SLICE_CHARS = 4_000_000
+MOST_HEAVY = 100_000  # keys that are met by broadcast because each holds at least that share of all rows
+
+
+def _keys(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, words_key): the number of words of each text and a hash of their sequence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", SLICE_CHARS):
+            counts, keys = [], []
+            for text in part.column("text").to_pylist():
+                own = text.encode().split()
+                counts.append(len(own))
+                keys.append(xxhash.xxh3_128_digest(b" ".join(own)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "n_words", "words_key"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words bigint, words_key binary")
+
+
+def _met(rows: DataFrame, counted: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` joined with the keys ``counted`` (on, n, ...), both written tables; ``n`` is the number of rows of a key.
+
+    Fewer than ``MOST_HEAVY`` keys can hold more than that share of the rows. They are broadcast, so their rows stay where they are;
+    what is left to shuffle has no heavy key.
+    """
+    share = rows.count() // MOST_HEAVY + 1000
+    heavy = F.broadcast(counted.where(F.col("n") > share).drop("n"))
+    light = counted.where(F.col("n") <= share).drop("n")
+    rest = rows.join(heavy.select(*on), on, "left_anti")
+    return rows.join(heavy, on).unionByName(rest.join(light, on))
 
 
 def _choices(words: wordhash.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,13 +118,18 @@ def _extended(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _without(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) of ``docs`` (doc_id, text, positions) without the words of the windows at ``positions``."""
+    """(doc_id, n_words, n_removed, kept) of ``docs`` (doc_id, text, positions) without the words of the windows at ``positions`` (null: none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE_CHARS):
             counts, removed, kept = [], [], []
             for text, places in zip(part.column("text").to_pylist(), part.column("positions"), strict=True):
                 own = text.encode().split()
+                if places.values is None:
+                    counts.append(len(own))
+                    removed.append(0)
+                    kept.append(b" ".join(own).decode())
+                    continue
                 edges = np.zeros(len(own) + 1, np.int64)
                 at = places.values.to_numpy()
                 at = at[at + window <= len(own)]
@@ -111,32 +147,31 @@ def _without(docs: DataFrame, window: int) -> DataFrame:
 
 def _repeated(firsts: DataFrame, window: int) -> DataFrame:
     """(doc_id, position) of every window of ``firsts`` (doc_id, text), no two with the same words, that also starts earlier."""
-    runs = _chosen_runs(firsts, window)
-    often = runs.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
-    spots = written(runs.join(often, "run", "left_semi").groupBy("doc_id").agg(F.collect_list("position").alias("positions")), "spots")
+    runs = written(_chosen_runs(firsts, window), "runs")
+    often = written(runs.groupBy("run").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    spots = written(_met(runs, often, ["run"]).groupBy("doc_id").agg(F.collect_list("position").alias("positions")), "spots")
     near = firsts.join(small_or_not(written(spots.select("doc_id"), "ids")), "doc_id", "left_semi").join(spots, "doc_id")
     windows = written(_extended(near, window), "windows")
-    own = windows.where("NOT again")
-    earliest = own.groupBy("key", "more").agg(F.min("doc_id").alias("earliest"), F.count("*").alias("n")).where("n > 1").select("key", "more", "earliest")
+    earliest = windows.groupBy("key", "more").agg(F.min("doc_id").alias("earliest"), F.count_if(~F.col("again")).alias("docs"), F.count("*").alias("n"))
+    earliest = earliest.where("docs > 1").drop("docs")
     # all occurrences in a later document go, those with an earlier one in their own document anyway
-    later = windows.join(earliest, ["key", "more"]).where("doc_id > earliest").select("doc_id", "position")
+    later = _met(windows, written(earliest, "earliest"), ["key", "more"]).where("doc_id > earliest").select("doc_id", "position")
     return later.union(windows.where("again").select("doc_id", "position"))
 
 
 def without_repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every row of ``docs``."""
     given = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spaced = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-    n_words = F.when(spaced == "", 0).otherwise(F.char_length(spaced) - F.char_length(F.replace(spaced, F.lit(" "))) + 1).cast("bigint")
-    keyed = written(given.select("doc_id", F.md5(spaced).alias("words_key"), n_words.alias("n_words")).where(F.col("doc_id").isNotNull() & (n_words >= window)), "keys")
+    keyed = written(_keys(given.where("doc_id IS NOT NULL")).where(F.col("n_words") >= window), "keys")
     groups = keyed.groupBy("words_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = written(keyed.join(groups.select("words_key", "first"), "words_key").where("doc_id > first").select("doc_id").distinct(), "copies")
-    lost = small_or_not(copies)
+    copies = _met(keyed, written(groups, "groups"), ["words_key"]).where("doc_id > first").select("doc_id").distinct()
+    lost = small_or_not(written(copies, "copies"))
     firsts = given.where("doc_id IS NOT NULL").join(lost, "doc_id", "left_anti")
     gone = written(_repeated(firsts, window).groupBy("doc_id").agg(F.collect_set("position").alias("positions")), "gone")
     touched = small_or_not(written(gone.select("doc_id"), "touched"))
 
-    empty = given.join(lost, "doc_id", "left_semi").select("doc_id", n_words.alias("n_words"), n_words.alias("n_removed"), F.lit("").alias("kept"))
-    whole = given.join(lost, "doc_id", "left_anti").join(touched, "doc_id", "left_anti").select("doc_id", n_words.alias("n_words"), F.lit(0).cast("bigint").alias("n_removed"), spaced.alias("kept"))
-    cut = _without(firsts.join(touched, "doc_id", "left_semi").join(gone, "doc_id"), window)
-    return empty.unionByName(whole).unionByName(cut).withColumnRenamed("doc_id", doc_id)
+    kept = given.join(lost, "doc_id", "left_anti")
+    whole = kept.join(touched, "doc_id", "left_anti").withColumn("positions", F.lit(None).cast("array<int>"))
+    cut = kept.join(touched, "doc_id", "left_semi").join(gone, "doc_id")
+    empty = _keys(given.join(lost, "doc_id", "left_semi")).select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit("").alias("kept"))
+    return empty.unionByName(_without(whole, window)).unionByName(_without(cut, window)).withColumnRenamed("doc_id", doc_id)
