@@ -23,6 +23,7 @@ kept, but those named like an output column are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tutorloom.llm.common import BROADCAST_ROWS, slices, small_or_not, written
+from tutorloom.llm.wordhash import scramble
 
 THRESHOLD = 2
 MIN_CHARS, NEAR_CHARS = 10, 20
 BLANK = " \t\r\x0b\x0c"
 SLICE_CHARS = 4_000_000
+CHUNK_CHARS = 250_000  # characters of lines whose keys are computed at once
+BASE = 0x9E3779B97F4A7C15
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -110,33 +114,52 @@ def _signatures(lines: list[str]) -> np.ndarray:
     return np.bitwise_xor.reduceat(bits[: ends[-1]], starts).view(np.int64) if len(lines) else np.array([], np.int64)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo 2^64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _keyed(lines: list[str], docs: list[int], probes: dict[int, np.ndarray]) -> list[np.ndarray]:
+    """Columns key, is_index, line, signature and doc_id of ``_filed``.
+
+    Substrings are hashed as differences of running polynomial sums, shifted to the same power; unequal ones that share a hash would only be verified in vain.
+    """
+    lengths = np.array([len(x) for x in lines], np.int64)
+    for n in np.unique(lengths).tolist():
+        if n not in probes:
+            probes[n] = np.array([(a, b, length * (THRESHOLD + 1) + i, own) for length, i, a, b, own in _probes(n) if length >= NEAR_CHARS], np.int64)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    starts = np.cumsum(lengths) - lengths
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(scramble(codes + np.uint64(1)) * _powers(BASE, len(codes)), dtype=np.uint64)])
+    back = _powers(pow(BASE, -1, 1 << 64), len(codes))
+    own = [probes[n] for n in lengths.tolist()]
+    counts = [len(x) for x in own]
+    low, high, number, index = np.concatenate(own).T
+    at = np.repeat(starts, counts)
+    low, high = low + at, high + at
+    key = scramble(scramble((sums[high] - sums[low]) * back[low]) + number.astype(np.uint64) * np.uint64(BASE))
+    names = np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in lines], np.uint64)
+    return [key.view(np.int64), index.astype(bool), np.repeat(names.view(np.int64), counts), np.repeat(_signatures(lines), counts), np.repeat(np.array(docs, np.int64), counts)]
+
+
 def _filed(docs: DataFrame) -> DataFrame:
     """(key, is_index, line, signature, doc_id): what each line is filed under and looks up; equal lines of a slice once, with their smallest id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_length: dict[int, list] = {}
+        probes: dict[int, np.ndarray] = {}
         for part in slices(batches, "text", SLICE_CHARS):
             first: dict[str, int] = {}
             for i, text in sorted(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True), key=lambda row: row[0]):
                 for x in text.split("\n") if text else ():
                     if len(line := x.strip(BLANK)) >= NEAR_CHARS:
                         first.setdefault(line, i)
-            lines = list(first)
-            names = [xxhash.xxh64_intdigest(x.encode(), 42) for x in lines]
-            keys, index, counts = [], [], []
-            for line in lines:
-                n = len(line)
-                if n not in of_length:
-                    of_length[n] = [(4 * a, 4 * b, length * (THRESHOLD + 1) + i, own) for length, i, a, b, own in _probes(n) if length >= NEAR_CHARS]
-                data = line.encode("utf-32-le")
-                own = of_length[n]
-                keys += [xxhash.xxh3_64_intdigest(data[a:b], seed) for a, b, seed, _ in own]
-                index += [x[3] for x in own]
-                counts.append(len(own))
-            name = np.repeat(np.array(names, np.uint64).view(np.int64), counts)
-            signature, doc = np.repeat(_signatures(lines), counts), np.repeat(np.array(list(first.values()), np.int64), counts)
-            columns = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(index, pa.bool_()), pa.array(name), pa.array(signature), pa.array(doc)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "is_index", "line", "signature", "doc_id"])
+            lines, ids = list(first), list(first.values())
+            chunk = np.cumsum([len(x) for x in lines]) // CHUNK_CHARS
+            for low, high in pairwise([0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(lines)] if lines else []):
+                columns = _keyed(lines[low:high], ids[low:high], probes)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "is_index", "line", "signature", "doc_id"])
 
     return docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text").mapInArrow(run, "key bigint, is_index boolean, line bigint, signature bigint, doc_id bigint")
 
