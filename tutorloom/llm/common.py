@@ -25,6 +25,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return write_step(df, f"llm-{name}")
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a written table that nothing reads any more: whatever was made of it is written too, so a lost executor doesn't need it."""
+    context = df.sparkSession.sparkContext
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A written table of a few fixed-width columns, marked for broadcast only if its counted size allows it.
 

@@ -16,6 +16,9 @@ the others of their list that aren't near it. These joins compare sizes, then th
 sets. By the triangle inequality of the Jaccard distance a link between a near and a far member would need a larger
 difference than ``AROUND`` to ``NEAR`` leaves room for.
 
+Estimates are taken from the upper halves of the hashes: these keep the order, and two values of a union sketch with the same upper half are
+too rare to move a share by more than one value. Lists and sets use whole hashes. The table of sketches is deleted once the lists are written.
+
 Defined results: null, empty and wordless texts have an empty set, are linked with nothing and kept; rows without an id are
 linked with nothing and kept, with a null component; rows with the same id are one document; extra columns are ignored.
 """
@@ -32,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tutorloom.llm import wordhash
-from tutorloom.llm.common import slices, small_or_not, written
+from tutorloom.llm.common import discard, slices, small_or_not, written
 from tutorloom.llm.components import components
 
 SHINGLE = 2
@@ -85,6 +88,10 @@ def whole_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, shingles array<bigint>")
 
 
+def _upper_halves(sketch: Column) -> Column:
+    return F.transform(sketch, lambda value: F.shiftright(value, 32).cast("int"))
+
+
 def _estimate(a: Column, b: Column) -> Column:
     """Share of the union sketch that is in both sketches."""
     union = F.slice(F.sort_array(F.array_union(a, b)), 1, K)
@@ -113,8 +120,14 @@ def _prefixes(reps: DataFrame) -> DataFrame:
     return ranked.where(F.col("rank") <= held - needed + 1 - (held - F.col("shared"))).select("rid", "n", "value", "shared")
 
 
-def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(a, b): pairs of classes ``reps`` (rid, n, sketch) that connect what links connect, and nothing else."""
+def _one_a_document(sets: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``sets`` with one row for each of the ``repeated`` ids; the others, which are nearly all, aren't moved for that."""
+    repeated = small_or_not(written(repeated, "repeated"))
+    return sets.join(repeated, "rid", "left_anti").union(sets.join(repeated, "rid", "left_semi").dropDuplicates(["rid"]))
+
+
+def lists_of(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(value, hub, rid) of the inverted lists of classes ``reps`` (rid, n, sketch), and (rid, n, sketch) of their members, with the upper halves of the hashes."""
     band = F.floor(F.log("n") / math.log(100 / PERCENT)).cast("int")
     prefixes = _prefixes(reps).withColumn("band", F.explode(F.array(band, band + 1)))
     lists = written(prefixes.select("rid", "shared", F.xxhash64("value", "band").alias("value")), "lists")
@@ -122,7 +135,12 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     hubs = hubs.where("size > 1").select("value", F.col("hub.rid").alias("hub"))
     placed = written(lists.join(hubs, "value").select("value", "hub", "rid"), "placed")
     ends = placed.select("rid").distinct()  # the hubs are members too
-    thin = written(reps.join(small_or_not(written(ends, "ends")), "rid", "left_semi"), "thin")
+    members = reps.select("rid", "n", _upper_halves(F.col("sketch")).alias("sketch"))
+    return placed, written(members.join(small_or_not(written(ends, "ends")), "rid", "left_semi"), "thin")
+
+
+def links(docs: DataFrame, placed: DataFrame, thin: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(a, b): pairs of classes that connect what links connect, and nothing else. ``placed`` and ``thin`` come from ``lists_of``; ``repeated`` (rid) names the ids of several rows."""
 
     def side(name: str, table: DataFrame = thin, *more: str) -> DataFrame:
         return table.select(*(F.col(c).alias(f"{name}_{c}") for c in ("rid", "n", "sketch", *more)))
@@ -145,7 +163,7 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     wanted = around.select("rid").union(around.select("hub")).union(far.select("a")).union(far.select("b")).distinct()
     wanted = small_or_not(written(wanted, "wanted"))
     sets = whole_sets(docs.join(wanted.withColumnRenamed("rid", "doc_id"), "doc_id", "left_semi"))
-    sets = written(sets.select(F.col("doc_id").alias("rid"), "shingles").dropDuplicates(["rid"]), "sets")
+    sets = _one_a_document(written(sets.select(F.col("doc_id").alias("rid"), "shingles"), "sets"), repeated)
 
     def of(name: str) -> DataFrame:
         return sets.select(F.col("rid").alias(name), F.col("shingles").alias(f"{name}_set"))
@@ -176,12 +194,16 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    marked = written(sketches(given).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    filled = marked.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    sketched = written(sketches(given).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    marked = written(sketched.select("doc_id", "n_shingles", "set_key"), "marked")
+    filled = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = filled.groupBy("set_key").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     classes = written(classes.select("set_key", F.col("first.doc_id").alias("rid"), "first.row"), "classes")
     reps = filled.join(small_or_not(classes.select("row")), "row", "left_semi")
-    groups = components(links(given, reps.select(F.col("doc_id").alias("rid"), F.col("n_shingles").alias("n"), "sketch")))
+    placed, thin = lists_of(reps.select(F.col("doc_id").alias("rid"), F.col("n_shingles").alias("n"), "sketch"))
+    discard(sketched)
+    repeated = marked.groupBy(F.col("doc_id").alias("rid")).agg(F.count("*").alias("rows")).where("rows > 1").select("rid")
+    groups = components(links(given, placed, thin, repeated))
     classes = classes.join(groups, F.col("rid") == F.col("node"), "left").select("set_key", F.coalesce("component", "rid").alias("component"))
     key = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_key"))
     joined = marked.select("doc_id", "n_shingles", key.alias("set_key")).join(classes, "set_key", "left")
