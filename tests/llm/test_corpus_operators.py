@@ -80,6 +80,14 @@ def test_near_duplicates_equal_brute_force(documents):
     assert {r.kept for r in neardup.near_duplicates(documents([(1, "x y"), (1, "x y"), (2, None)])).collect()} == {True}
 
 
+def test_near_duplicates_of_repeated_rows(documents):
+    words = [f"w{k}" for k in range(40)]
+    near = " ".join([*words[:-1], "other"])  # 38 of 40 pairs of words are common
+    rows = [(3, " ".join(words)), (3, " ".join(words)), (5, near), (5, near), (7, " ".join([*words[1:], "more"])), (9, "w1 w2 w3")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(documents(rows)).collect())
+    assert got == [(3, 3, True), (3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (9, 9, True)]
+
+
 def test_components_of_a_chain(spark):
     rng = random.Random(1)
     order = rng.sample(range(500), 500)
