@@ -21,10 +21,13 @@ from tutorloom.session import shared_folder
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1000) -> DataFrame:
-    """A Parquet table (``<folder>/<name>.parquet``) as a stream, schema taken from the table itself."""
+    """A Parquet table (``<folder>/<name>.parquet``, one file or a folder of them) as a stream, schema taken from the table itself.
+
+    The path is given as a pattern: a stream takes a plain path for a folder, a pattern for whatever it finds.
+    """
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{folder}/{name}[.]parquet")
 
 
 def run_to_end(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
