@@ -2,202 +2,214 @@
 
 A document is removed when its similarity to an *earlier kept* document exceeds the threshold, i.e.
 the kept documents are the first maximal independent set, in id order, of the similarity graph. The
-graph is never built by comparing everything with everything:
+graph is never built whole:
 
-1. Only the vocabulary (at most ``max_terms`` terms) matters, so a document becomes a short sparse
-   unit vector. Documents with the same vector are folded onto their first member by one
+1. Only the vocabulary (at most ``max_terms`` terms) matters, so a document becomes a short list of
+   term numbers and counts. Documents with the same counts are folded onto their first member by one
    aggregation, however many there are.
-2. Terms are ordered from rare to common. A vector is listed under its leading terms, as many as it
-   takes until the norm of the rest is below the threshold: two similar vectors meet at the first
-   term they share. There the dot product is at most the product of the two weights plus the product
-   of the norms of the rests, which rejects most pairs that share nothing but a common term.
-3. The norms of a vector within fixed groups of terms bound its dot product with any other from
-   above. This outline travels with the list entries, so a list is checked by one matrix product
-   inside its task, and hopeless pairs never leave it.
-4. Leader rounds, when lists are large: a document that is the first of every one of its lists has no
-   earlier similar document, hence is kept, and whatever it resembles is removed. A list has at most
-   one leader, so a round makes at most one comparison per entry. Groups of near copies collapse here
-   instead of producing all their pairs.
-5. What is left is compared within lists, large lists cut into blocks whose pairs different tasks
-   compare, and the remaining decisions follow from those edges round by round.
+2. Unit vectors whose dot product exceeds the threshold are close in every orthogonal projection. A
+   vector is filed in a cell of a grid over a few axes, as wide as that distance, and meets the
+   vectors of its own and the adjacent cells only. The axes come from a bounded sample; they decide
+   what is skipped, never a result.
+3. Cells are cut into blocks, two blocks are one task's tile, and the tile is compared by matrix
+   products. Counts travel, weights are computed inside the task, so a copy of a vector costs a few
+   bytes a term; nothing but what is surely similar leaves a tile.
+4. Documents are settled in steps that follow the ids, each several times as long as all before. What an
+   earlier kept document covers goes first and leaves a tile as an id, not as pairs: groups of near
+   copies collapse there. The pairs within the rest of a step decide the others round by round.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegralType
+from pyspark.sql.types import IntegralType
 
 from tutorloom.functions import text as T
-from tutorloom.session import bounded_rows, ranked, spread, write_step
+from tutorloom.session import MAX_LOOKUP_ROWS, bounded_rows, ranked, write_step
 
-OUTLINE = 64  # groups
-BLOCK = 2_048  # entries of one list compared by one task
-MIN_PROGRESS = 0.02  # share of undecided documents a leader round must settle to be worth repeating
-PAIR_BUDGET = 500  # candidate pairs per list entry up to which pairs are compared directly
+AXES = 4  # of the grid
+BLOCK = 32_768  # most vectors of a tile's side
+PART = 2_048  # vectors of one matrix product
+MIN_BLOCK = 1_024
+PAIR_BUDGET = 1_000  # pairs per document up to which the first step compares directly: it takes twice as many documents
+GROWTH = 8  # times the documents before, for every further step
+SAMPLE = 4_000  # vectors that the axes are taken from
 
 
-def vocabulary(docs: DataFrame, text: str, size: int) -> list[str]:
-    """The ``size`` most frequent 1-2-gram terms of the corpus; ties by term."""
-    counts = docs.select(F.explode(T.terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+def vocabulary(tokens: DataFrame, size: int) -> list[str]:
+    """The ``size`` most frequent 1-2-gram terms of the ``tokens``; ties by term.
+
+    A pair is no more frequent than either of its words, so only the pairs of words that are themselves frequent enough are counted.
+    """
+    words = write_step(tokens.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n")), "words")
+    top = words.orderBy(F.desc("n"), "term").limit(size).agg(F.count("*").alias("words"), F.min("n").alias("n")).first()
+    frequent = words.filter(F.col("n") >= (top["n"] if top["words"] == size else 0)).select("term")
+    n = F.greatest(F.size("tokens") - 1, F.lit(0))
+    neighbours = F.arrays_zip(F.slice("tokens", 1, n).alias("a"), F.slice("tokens", 2, n).alias("b"))
+    pairs = tokens.filter(F.size("tokens") > 1).select(F.explode(neighbours).alias("p")).select("p.a", "p.b")
+    if frequent.count() <= MAX_LOOKUP_ROWS:  # with a great many words of the least count all pairs are counted
+        for side in ("a", "b"):
+            pairs = pairs.join(F.broadcast(frequent.withColumnRenamed("term", side)), side)
+    counts = words.unionByName(pairs.groupBy("a", "b").agg(F.count("*").alias("n")).select(F.concat_ws(" ", "a", "b").alias("term"), "n"))
     return [r["term"] for r in bounded_rows(counts.orderBy(F.desc("n"), "term").limit(size).select("term"))]
 
 
-def tfidf_vectors(docs: DataFrame, key: str, text: str, vocab: list[str], n_docs: int) -> DataFrame:
-    """(key, idx, w): unit TF-IDF vectors, term numbers ascending from rare to common.
+def term_counts(tokens: DataFrame, key: str, vocab: list[str]) -> DataFrame:
+    """(key, idx, n): vocabulary terms of each document, ascending, and how often they stand there.
 
     Counting happens inside each row, without a shuffle. Documents without any vocabulary term have
     no direction and are left out.
     """
     model = CountVectorizerModel.from_vocabulary(vocab, inputCol="terms", outputCol="counts")
-    counted = model.transform(docs.select(key, T.terms(F.col(text)).alias("terms"))).select(key, F.unwrap_udt("counts").alias("v"))
-    counted = write_step(counted, "counts").select(key, F.col("v.indices").alias("idx"), F.col("v.values").alias("n")).filter(F.size("idx") > 0)
-    df = {r["t"]: r["df"] for r in bounded_rows(counted.select(F.explode("idx").alias("t")).groupBy("t").agg(F.count("*").alias("df")))}
-    order = sorted(range(len(vocab)), key=lambda t: (df.get(t, 0), vocab[t]))
-    rank = [0] * len(vocab)
-    for position, t in enumerate(order):
-        rank[t] = position
-    # constant arrays, folded once by the optimizer
-    ranks = F.split(F.lit(",".join(map(str, rank))), ",").cast("array<int>")
-    idf = F.split(F.lit(",".join(repr(math.log((1.0 + n_docs) / (1.0 + df.get(t, 0))) + 1.0) for t in range(len(vocab)))), ",").cast("array<double>")
-    weighted = counted.select(
-        key,
-        F.array_sort(
-            F.zip_with("idx", "n", lambda t, n: F.struct(F.element_at(ranks, t + 1).alias("t"), (n * F.element_at(idf, t + 1)).alias("w")))
-        ).alias("v"),
-    ).withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])))
-    return weighted.select(key, F.col("v.t").alias("idx"), F.transform("v", lambda x: x["w"] / F.col("length")).alias("w"))
-
-
-@F.pandas_udf(DoubleType())
-def similarity(a_idx: pd.Series, a_w: pd.Series, b_idx: pd.Series, b_w: pd.Series) -> pd.Series:
-    """Dot products of sparse vectors with ascending term numbers, a whole batch at a time."""
-    n = len(a_idx)
-    if n == 0:
-        return pd.Series([], dtype=float)
-
-    def flat(idx: pd.Series, w: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        row = np.repeat(np.arange(n), idx.map(len).to_numpy())
-        return row, row * (1 << 20) + np.concatenate(idx.to_list()), np.concatenate(w.to_list())
-
-    row, left, a = flat(a_idx, a_w)
-    _, right, b = flat(b_idx, b_w)
-    at = np.minimum(np.searchsorted(right, left), len(right) - 1)
-    hit = right[at] == left
-    return pd.Series(np.bincount(row[hit], weights=a[hit] * b[at[hit]], minlength=n))
-
-
-ENTRY = "id long, key int, w double, rest double, o array<float>"
-
-
-def list_entries(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(id, key, w, rest, o): one row for each leading term of a vector, with its weight, the norm of all later terms, and the outline."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sizes = batch.column("idx").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            idx, w = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("idx", "w"))
-            ends = np.cumsum(sizes)
-            upto = np.cumsum(w * w)
-            rest = (upto[ends - 1])[row] - upto  # squared norm of what follows
-            before = rest + w * w  # and of the term with what follows
-            leading = before > threshold * threshold - 1e-9
-            shape = np.sqrt(np.bincount(row * OUTLINE + idx % OUTLINE, weights=w * w, minlength=len(sizes) * OUTLINE)).astype(np.float32)
-            at = row[leading]
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(shape.reshape(-1, OUTLINE)[at].reshape(-1)), OUTLINE).cast(pa.list_(pa.float32()))
-            columns = [batch.column("id").take(pa.array(at)), pa.array(idx[leading].astype(np.int32)), pa.array(w[leading]), pa.array(np.sqrt(np.maximum(rest[leading], 0))), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "w", "rest", "o"])
-
-    return nodes.select(F.col("id").cast("long").alias("id"), "idx", "w").mapInArrow(run, ENTRY)
-
-
-def met(entries: DataFrame, compare: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], *cell: str) -> DataFrame:
-    """Distinct pairs (a < b) that ``compare`` finds in each cell.
-
-    Few bytes but much comparing: the cells are dealt over many tasks whatever their size on disk.
-    """
-    spark = entries.sparkSession
-    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counted = model.transform(tokens.select(key, T.one_and_two_grams(F.col("tokens")).alias("terms"))).select(key, F.unwrap_udt("counts").alias("v"))
+    counts = counted.select(key, F.col("v.indices").alias("idx"), F.col("v.values").cast("array<int>").alias("n"))
+    return write_step(counts.filter(F.size("idx") > 0), "counts")
 
-    def run(rows: pa.Table) -> pa.Table:
-        x, y = compare(rows)
-        return pa.table([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-    return entries.repartition(tasks, *cell).groupBy(*cell).applyInArrow(run, "a long, b long").distinct()
+def inverse_frequencies(counts: DataFrame, size: int, n_docs: int) -> np.ndarray:
+    """Weight of one occurrence of each of the ``size`` terms."""
+    df = {r["t"]: r["df"] for r in bounded_rows(counts.select(F.explode("idx").alias("t")).groupBy("t").agg(F.count("*").alias("df")))}
+    return np.array([math.log((1.0 + n_docs) / (1.0 + df.get(t, 0))) + 1.0 for t in range(size)])
 
 
-def hopeful(left: pa.Table, right: pa.Table, threshold: float) -> np.ndarray:
-    """Whether weights, rests and outlines leave room for a similarity above the threshold, for each pair that has this term as its first common one."""
+class Rows:
+    """Vectors of an Arrow table with idx and n, as flat arrays."""
 
-    def parts(t: pa.Table):
-        o = t.column("o").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return t.column("w").to_numpy(), t.column("rest").to_numpy(), o.reshape(-1, OUTLINE)
+    def __init__(self, table: pa.Table | pa.RecordBatch, idf: np.ndarray):
+        def flat(c: str) -> np.ndarray:
+            column = table.column(c)
+            return (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy(zero_copy_only=False)
 
-    (w, rest, o), (v, tail, p) = parts(left), parts(right)
-    return (np.outer(w, v) + np.outer(rest, tail) > threshold - 1e-9) & (o @ p.T > threshold - 1e-5)
+        sizes = table.column("idx").combine_chunks().value_lengths() if isinstance(table, pa.Table) else table.column("idx").value_lengths()
+        self.ids = table.column("id").to_numpy()
+        self.starts = np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))])
+        self.idx, self.w = flat("idx").astype(np.int64), flat("n") * idf[flat("idx")]
+        row = np.repeat(np.arange(len(self.ids)), np.diff(self.starts))
+        self.w /= np.sqrt(np.bincount(row, weights=self.w * self.w, minlength=len(self.ids)))[row]
+        self.width = len(idf)
 
+    def part(self, start: int, stop: int) -> np.ndarray:
+        """Dense float32 vectors of some rows."""
+        a, b = self.starts[start], self.starts[stop]
+        out = np.zeros((stop - start, self.width), np.float32)
+        out[np.repeat(np.arange(stop - start), np.diff(self.starts[start : stop + 1])), self.idx[a:b]] = self.w[a:b]
+        return out
 
-def list_pairs(entries: DataFrame, threshold: float) -> DataFrame:
-    """Distinct hopeful pairs (a < b) within lists; a list above ``BLOCK`` entries is compared block by block."""
-    large = entries.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
-    cut = entries.join(F.broadcast(large), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))  # a row a term at most
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cut.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
+    def dot(self, i: int, other: Rows, j: int) -> float:
+        """In double precision."""
+        left, right = slice(self.starts[i], self.starts[i + 1]), slice(other.starts[j], other.starts[j + 1])
+        _, x, y = np.intersect1d(self.idx[left], other.idx[right], assume_unique=True, return_indices=True)
+        return float(self.w[left][x] @ other.w[right][y])
 
-    def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        own = rows.column("own").to_numpy()
-        left, right = rows.filter(pa.array(own == i)), rows.filter(pa.array(own == j))
-        x, y = left.column("id").to_numpy(), right.column("id").to_numpy()
-        good = hopeful(left, right, threshold)
-        good &= x[:, None] < y[None, :] if i == j else x[:, None] != y[None, :]
-        at, to = np.nonzero(good)
-        return x[at], y[to]
 
-    return met(cells, compare, "key", "i", "j")
+def axes_of(nodes: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """Orthonormal axes along which a bounded sample of the vectors lies widest."""
+    picked = nodes.sample(fraction=min(1.0, 1.0 * SAMPLE / max(nodes.count(), 1)), seed=1).limit(2 * SAMPLE)
+    rows = Rows(picked.select("id", "idx", "n").toArrow(), idf)
+    m = rows.part(0, len(rows.ids)).astype(np.float64)
+    return np.linalg.eigh(m.T @ m)[1][:, ::-1][:, :AXES]
 
 
-def leader_pairs(entries: DataFrame, leaders: DataFrame, threshold: float) -> DataFrame:
-    """Distinct hopeful pairs of a leader and a later document of one of its lists; a long list is dealt over several tasks, the leader to all of them."""
-    marked = entries.join(leaders.withColumn("leads", F.lit(True)), "id", "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
-    parts = marked.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.max("leads").alias("led")).filter("led").drop("led")
-    dealt = marked.join(F.broadcast(parts), "key")  # a row a term at most
-    everywhere = F.sequence(F.lit(0), F.col("parts") - 1)
-    dealt = dealt.withColumn("part", F.explode(F.when(F.col("leads"), everywhere).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))))).drop("parts")
+def filed(nodes: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """(id, idx, n, cell): the cell is an interval on every axis, no narrower than two similar vectors lie apart."""
+    axes = axes_of(nodes, idf)
+    width = max(math.sqrt(max(2.0 - 2.0 * threshold, 0.0)), 0.1) + 1e-6
 
-    def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        leads = rows.column("leads").to_numpy(zero_copy_only=False)
-        left, right = rows.filter(pa.array(leads)), rows.filter(pa.array(~leads))
-        x, y = left.column("id").to_numpy(), right.column("id").to_numpy()
-        at, to = np.nonzero(hopeful(left, right, threshold) & (x[:, None] < y[None, :]))
-        return x[at], y[to]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = Rows(batch, idf)
+            at = np.concatenate([rows.part(s, min(s + PART, batch.num_rows)) @ axes for s in range(0, batch.num_rows, PART)])
+            cell = np.floor(at / width + 0.5).astype(np.int32)
+            cells = pa.FixedSizeListArray.from_arrays(pa.array(cell.reshape(-1)), cell.shape[1]).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "idx", "n")], cells], ["id", "idx", "n", "cell"])
 
-    return met(dealt, compare, "key", "part")
+    shorts = nodes.select(F.col("id").cast("long").alias("id"), F.col("idx").cast("array<int>"), F.col("n").cast("array<int>"))
+    return write_step(shorts.mapInArrow(run, "id long, idx array<int>, n array<int>, cell array<int>"), "filed")
 
 
-def list_cost(entries: DataFrame) -> tuple[int, int]:
-    """Entries and candidate pairs in lists of two or more, from one map-side combined count."""
-    n = F.col("n").cast("double")
-    row = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").agg(F.sum(n).alias("e"), F.sum(n * (n - 1) / 2).alias("p")).first()
-    return int(row["e"] or 0), int(row["p"] or 0)
+def adjacent(a: Column, b: Column) -> Column:
+    return F.forall(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: F.abs(p["x"] - p["y"]) <= 1)
 
 
-def similar(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose similarity exceeds the threshold."""
-    a = nodes.select(F.col("id").alias("a"), F.col("idx").alias("a_idx"), F.col("w").alias("a_w"))
-    b = nodes.select(F.col("id").alias("b"), F.col("idx").alias("b_idx"), F.col("w").alias("b_w"))
-    score = similarity(F.col("a_idx"), F.col("a_w"), F.col("b_idx"), F.col("b_w"))
-    return pairs.join(a, "a").join(b, "b").filter(score > threshold).select("a", "b")
+def tiled(left: DataFrame, right: DataFrame | None, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Similar pairs (a > b) within ``left``; or, with ``right``, ids (a) of the vectors of ``left`` similar to one of those."""
+    spark = left.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    within = right is None
+
+    def sizes(rows: DataFrame, side: str) -> DataFrame:
+        counted = rows.groupBy("cell").agg(F.count("*").alias("n"))
+        return write_step(counted.select(F.col("cell").alias(f"{side}_cell"), "n"), "cells")
+
+    def blocks(cells: DataFrame, side: str) -> DataFrame:
+        """A side of a tile holds its share of all rows, so that there are tiles for all tasks, and ``BLOCK`` rows at most."""
+        n = cells.agg(F.sum("n")).first()[0] or 0
+        most = int(min(BLOCK, max(MIN_BLOCK, n / math.sqrt(2 * tasks))))
+        return cells.select(f"{side}_cell", F.ceil(F.col("n") / most).cast("int").alias(f"{side}_blocks"))
+
+    l_blocks = blocks(sizes(left, "l"), "l")
+    r_blocks = l_blocks.toDF("r_cell", "r_blocks") if within else blocks(sizes(right, "r"), "r")
+
+    def each(cells: DataFrame, side: str) -> DataFrame:
+        return cells.withColumn(f"{side}_block", F.explode(F.sequence(F.lit(0), F.col(f"{side}_blocks") - 1))).drop(f"{side}_blocks")
+
+    met = each(l_blocks, "l").crossJoin(each(r_blocks, "r")).filter(adjacent(F.col("l_cell"), F.col("r_cell")))  # a row a block: few
+    if within:
+        met = met.filter(F.struct("l_cell", "l_block") <= F.struct("r_cell", "r_block"))
+    met = write_step(met.withColumn("tile", F.monotonically_increasing_id()), "tiles")
+
+    def dealt(rows: DataFrame, cells: DataFrame, tiles: DataFrame, side: str) -> DataFrame:
+        own = rows.withColumnRenamed("cell", f"{side}_cell").join(F.broadcast(cells), f"{side}_cell")
+        own = own.withColumn(f"{side}_block", F.pmod(F.xxhash64("id"), F.col(f"{side}_blocks")).cast("int"))
+        tiles = tiles.select(f"{side}_cell", f"{side}_block", "tile")
+        return own.join(F.broadcast(tiles), [f"{side}_cell", f"{side}_block"]).select("tile", F.lit(side == "r").alias("right"), "id", "idx", "n")
+
+    others = met.filter((F.col("l_cell") != F.col("r_cell")) | (F.col("l_block") != F.col("r_block"))) if within else met
+    rows = dealt(left, l_blocks, met, "l").unionByName(dealt(left if within else right, r_blocks, others, "r"))
+
+    def compare(tile: pa.Table) -> pa.Table:
+        flags = tile.column("right").to_numpy(zero_copy_only=False)
+        x = Rows(tile.filter(pa.array(~flags)), idf)
+        alone = not flags.any()
+        y = x if alone else Rows(tile.filter(pa.array(flags)), idf)
+        found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+        for s in range(0, len(x.ids), PART):
+            i = np.arange(s, min(s + PART, len(x.ids)))
+            dense = x.part(i[0], i[-1] + 1)
+            for t in range(s if within and alone else 0, len(y.ids), PART):
+                j = np.arange(t, min(t + PART, len(y.ids)))
+                products = dense @ y.part(j[0], j[-1] + 1).T
+                near = products > threshold - 1e-5
+                if within and alone and s == t:
+                    near = np.triu(near, 1)
+                if not near.any():
+                    continue
+                if not within:  # whoever is surely covered needs no closer look
+                    sure = (products > threshold + 1e-5).any(axis=1)
+                    found.append(np.stack([x.ids[i[sure]], x.ids[i[sure]]], axis=1))
+                    near &= ~sure[:, None]
+                row, col = np.nonzero(near)
+                good = products[row, col] > threshold + 1e-5
+                for k in np.flatnonzero(~good):
+                    good[k] = x.dot(i[row[k]], y, j[col[k]]) > threshold
+                found.append(np.stack([x.ids[i[row[good]]], y.ids[j[col[good]]]], axis=1))
+        pairs = np.concatenate(found)
+        if within:
+            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+            return pa.table([pa.array(pairs.max(axis=1)), pa.array(pairs.min(axis=1))], names=["a", "b"])
+        return pa.table([pa.array(np.unique(pairs[:, 0]))], names=["a"])
+
+    out = rows.repartition(tasks, "tile").groupBy("tile").applyInArrow(compare, "a long, b long" if within else "a long")
+    return out if within else out.distinct()
 
 
 def removed_along(edges: DataFrame) -> DataFrame:
@@ -221,31 +233,32 @@ def removed_along(edges: DataFrame) -> DataFrame:
     return out.withColumnRenamed("b", "id")
 
 
-def first_independent_set(nodes: DataFrame, threshold: float) -> DataFrame:
+def first_independent_set(nodes: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """Ids of the documents removed because an earlier kept one is more similar than the threshold."""
-    entries = write_step(list_entries(nodes, threshold), "lists")
-    count, pairs = list_cost(entries)
-    removed = []
-    progress = 1.0
-    while pairs > PAIR_BUDGET * count and progress >= MIN_PROGRESS:
-        first = entries.groupBy("key").agg(F.min("id").alias("first"))
-        before = entries.select("id").distinct().count()
-        leaders = write_step(
-            entries.select("id", "key").join(first, "key").groupBy("id").agg(F.min(F.col("first") == F.col("id")).alias("leads")).filter("leads").select("id"), "leaders"
-        )
-        gone = write_step(similar(leader_pairs(entries, leaders, threshold), nodes, threshold).select(F.col("b").alias("id")).distinct(), "removed")
-        removed.append(gone)
-        entries = write_step(entries.join(leaders.unionByName(gone), "id", "left_anti"), "lists")
-        progress = 1.0 - entries.select("id").distinct().count() / max(before, 1)
-        count, pairs = list_cost(entries)
-
-    if pairs:
-        edges = similar(list_pairs(entries, threshold), nodes, threshold)
-        removed.append(removed_along(edges))
-    out = nodes.select("id").limit(0)
-    for part in removed:
-        out = out.unionByName(part)
-    return out
+    vectors = filed(nodes, idf, threshold)
+    total = vectors.count()
+    removed = vectors.select("id").limit(0)
+    share = max(16, int(2 * PAIR_BUDGET))
+    shares = []
+    while share < total:
+        shares.append(share / total)
+        share *= GROWTH
+    # where the steps end decides nothing but their length
+    ends = [int(x) for x in vectors.approxQuantile("id", shares, 0.1 * shares[0])] if shares else []
+    before = None
+    for end in [*ends, None]:
+        step = vectors if before is None else vectors.filter(F.col("id") > before)
+        if end is not None:
+            step = step.filter(F.col("id") <= end)
+        if before is not None:
+            kept = vectors.filter(F.col("id") <= before).join(removed, "id", "left_anti")
+            covered = write_step(tiled(step, kept, idf, threshold).select(F.col("a").alias("id")), "removed")
+            removed = removed.unionByName(covered)
+            step = step.join(covered, "id", "left_anti")
+        pairs = tiled(step, None, idf, threshold).select(F.col("b").alias("a"), F.col("a").alias("b"))
+        removed = write_step(removed.unionByName(removed_along(pairs)), "removed")
+        before = before if end is None else end
+    return removed
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = 0.95, max_terms: int = 1000) -> DataFrame:
@@ -254,19 +267,20 @@ def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = 0.9
     none = docs.select(key).limit(0)
     if n <= 1:
         return none
-    vocab = vocabulary(docs, text, min(max_terms, n // 2))
+    tokens = write_step(docs.select(key, T.content_words(F.col(text)).alias("tokens")), "tokens")
+    vocab = vocabulary(tokens, min(max_terms, n // 2))
     if not vocab:
         return none
-    vectors = tfidf_vectors(docs, key, text, vocab, n)
-    vectors = write_step(vectors.withColumn("shape", F.sha2(F.to_json(F.struct("idx", "w")), 256)), "vectors")
-    nodes = spread(write_step(
-        vectors.groupBy("shape").agg(F.min(key).alias("id")).join(vectors.withColumnRenamed(key, "id"), ["shape", "id"]), "nodes"
-    ))
-    copies = vectors.select(key, "shape").join(nodes.select("shape", F.col("id").alias("first")), "shape").filter(F.col(key) != F.col("first"))
+    vectors = term_counts(tokens, key, vocab)
+    idf = inverse_frequencies(vectors, len(vocab), n)
+    shapes = write_step(vectors.select(key, F.sha2(F.to_json(F.struct("idx", "n")), 256).alias("shape")), "shapes")
+    first = shapes.groupBy("shape").agg(F.min(key).alias("first"))
+    copies = write_step(shapes.join(first, "shape").filter(F.col(key) != F.col("first")).select(key), "copies")
+    nodes = vectors.join(copies, key, "left_anti").withColumnRenamed(key, "id")
     if isinstance(nodes.schema["id"].dataType, IntegralType):
-        near = first_independent_set(nodes.select("id", "idx", "w"), threshold).select(F.col("id").alias(key))
+        near = first_independent_set(nodes, idf, threshold).select(F.col("id").alias(key))
     else:  # keys of other types take part under their number in key order
-        numbered = write_step(ranked(nodes.select("id", "idx", "w"), [F.col("id")], "numbered"), "numbered")
-        found = first_independent_set(numbered.select(F.col("rank").alias("id"), "idx", "w"), threshold).select(F.col("id").alias("rank"))
+        numbered = write_step(ranked(nodes, [F.col("id")], "numbered"), "numbered")
+        found = first_independent_set(numbered.select(F.col("rank").alias("id"), "idx", "n"), idf, threshold).select(F.col("id").alias("rank"))
         near = numbered.join(found, "rank", "left_semi").select(F.col("id").alias(key))
-    return copies.select(key).unionByName(near)
+    return copies.unionByName(near)
