@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,29 +69,42 @@ def study_sessions(progress: DataFrame, gap: str = "30 minutes", delay: str = "2
 
 
 SCHEDULE = "question_id long, ease_tenths long, interval_days long, review_count long, days long, first_at timestamp"
+BUCKETS = 1024  # of questions; each is one entry of the state
 
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    ease, interval, reviews, days, first = state.get if state.exists else (*NEW, None)
-    rows = pd.concat(list(batches)).sort_values(["created_at", "id"])
-    current = (ease, interval, reviews, days)
-    for quality in rows["quality"]:
+    """Updates of the questions of one bucket; its state is one array for each number. The questions without an id are one in a bucket of their own."""
+    known = dict(zip(state.get[0], zip(*state.get[1:]))) if state.exists else {}
+    rows = pd.concat(list(batches))
+    rows = rows.iloc[np.lexsort((rows["id"].to_numpy(), rows["created_at"].to_numpy(), rows["question_id"].to_numpy()))]
+    at = rows["created_at"].to_numpy().astype("datetime64[us]").astype(np.int64)
+    updates, question = {}, None
+    for q, quality, time in zip(rows["question_id"].tolist(), rows["quality"].tolist(), at.tolist()):
+        if q != question:
+            question, (*current, first) = q, known.get(q, (*NEW, time))
         current = fold_rating(current, int(quality))
-    first = first if first is not None else int(rows["created_at"].iloc[0].value // 1000)
-    state.update((*[int(x) for x in current], first))
-    yield pd.DataFrame([(key[0], *current, pd.Timestamp(first, unit="us"))], columns=["question_id", "ease_tenths", "interval_days", "review_count", "days", "first_at"])
+        updates[q] = (*current, first)
+    known |= updates
+    state.update((list(known), *[list(x) for x in zip(*known.values())]))
+    ids = pd.Series([q if key[0] >= 0 else None for q in updates], dtype="Int64")
+    ease, interval, reviews, days, first = zip(*updates.values())
+    yield pd.DataFrame({"question_id": ids, "ease_tenths": ease, "interval_days": interval, "review_count": reviews, "days": days, "first_at": pd.to_datetime(np.array(first), unit="us")})
 
 
 def live_schedules(ratings: DataFrame) -> DataFrame:
     """Spaced-repetition state per question, updated by every micro-batch of ratings.
 
-    The state of a question is five numbers; a micro-batch holds its new ratings only.
+    The state of a question is five numbers; a micro-batch holds its new ratings only. Questions are dealt to buckets, and a bucket is folded in one call:
+    most questions have few ratings, for which a call and a state entry each would cost far more than the fold.
     """
-    return (
-        ratings.select("question_id", F.col("quality").cast("int").alias("quality"), F.col("created_at").cast("timestamp").alias("created_at"), "id")
-        .groupBy("question_id")
-        .applyInPandasWithState(_fold, SCHEDULE, "ease long, interval long, reviews long, days long, first long", "update", GroupStateTimeout.NoTimeout)
+    question = F.col("question_id").cast("long")
+    bucket = F.when(question.isNull(), -1).otherwise(F.pmod(F.xxhash64(question), F.lit(BUCKETS)))
+    rows = ratings.select(
+        bucket.alias("bucket"), F.coalesce(question, F.lit(0)).alias("question_id"), F.col("quality").cast("int").alias("quality"),
+        F.col("created_at").cast("timestamp").alias("created_at"), "id",
     )
+    kept = "ids array<long>, ease array<long>, interval array<long>, reviews array<long>, days array<long>, first array<long>"
+    return rows.groupBy("bucket").applyInPandasWithState(_fold, SCHEDULE, kept, "update", GroupStateTimeout.NoTimeout)
 
 
 def latest_schedules(updates: DataFrame) -> DataFrame:
