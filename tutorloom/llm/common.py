@@ -14,6 +14,8 @@ from tutorloom.session import write_step
 
 # Rows of a few fixed-width columns that may be sent to every executor, some tens of megabytes at most.
 BROADCAST_ROWS = 1_000_000
+# Rows of whole texts that travel to a Python worker at once: both sides hold them, the JVM twice while its buffer grows.
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return write_step(df, f"llm-{name}")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on tables of whole texts go to Python workers in batches of ``BATCH_ROWS`` rows at most; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a written table that nothing reads any more: whatever was made of it is written too, so a lost executor doesn't need it."""
     context = df.sparkSession.sparkContext
