@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tutorloom.operators import graph
@@ -67,3 +69,30 @@ def test_a_word_of_all_topics_makes_no_pairs(spark):
     words = spark.createDataFrame(rows, "topic_id int, term string, score double, position int")
     edges = graph.word_overlap_edges(words, words.selectExpr("topic_id", "1L AS count").distinct())
     assert edges.count() == 0
+
+
+def test_search_writes_only_documents_that_hold_a_gram(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "write_step", lambda df, name, write=graph.write_step: (written.append(made := write(df, name)), made)[1])
+    docs = [(i, ". ".join(f"seagreen{i} reenact{i} greenish{k}" for k in range(20))) for i in range(300)] + [(300, "The greensea. It is green")]
+    keywords = spark.createDataFrame([(0, "greensea"), (0, "Nowhere at all")], "topic_id int, keyword string")
+    got = graph.context_windows(spark.createDataFrame(docs, "doc_id long, text string"), keywords).collect()
+    assert [(r["doc_id"], r["sentence_index"], r["keywords"]) for r in got] == [(300, 0, ["greensea"])]
+    assert sum(made.count() for made in written) <= 3  # two keywords and one document, no table of tokens
+
+
+@pytest.mark.parametrize("size", [3, 50, 1 << 20])
+def test_scan_finds_every_gram(monkeypatch, size):
+    monkeypatch.setattr(graph, "SCAN_BYTES", size)
+    r = random.Random(size)
+    texts = ["".join(r.choices(["a", "b", "é", " ", "."], k=r.randint(0, 40))) for _ in range(60)]
+    grams = {t.encode()[i : i + n] for t in texts[:20] for n in (1, 3, 8) for i in (0, 5) if len(t.encode()[i : i + n]) == n and r.random() < 0.3}
+    bits = np.zeros(1 << 20, np.uint8)
+    for g in grams:
+        for factor in graph.FILTER_HASHES:
+            bits[graph._slot(np.frombuffer(g.ljust(8, b"\0"), "<u8"), len(g), len(bits), factor)] = 1
+    batch = pa.RecordBatch.from_arrays([pa.array(range(62)), pa.array(["", *texts, ""]).cast(pa.string())], ["id", "low"]).slice(1)
+    scan = graph._scan(np.packbits(bits, bitorder="little").tobytes(), [1, 3, 8], ["id", "hits"])
+    got = {(row["id"], h["i"], h["n"], h["gram"].to_bytes(8, "little", signed=True)[: h["n"]]) for part in scan(iter([batch])) for row in part.to_pylist() for h in row["hits"]}
+    want = {(k, t.encode()[:at].count(b"."), len(g), g) for k, t in enumerate(texts, 1) for g in grams for at in range(len(t.encode())) if t.encode()[at : at + len(g)] == g}
+    assert got == want and len(want) > 20
