@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -25,6 +26,14 @@ def test_bpe_equals_tiktoken():
         assert vocab.decode(ids).decode() == text
 
 
+def test_a_worker_keeps_little():
+    vocab = bpe.Vocabulary(RANKS, PATTERN)
+    assert vocab.decode(np.arange(300, dtype=np.int32)) == b"".join(vocab.bytes_of[:300])
+    assert not any("tokenizer" in type(v).__module__ + type(v).__name__.lower() for v in vars(vocab).values())  # only encoding builds the model
+    vocab.encode("whole words are remembered as bytes")
+    assert vocab.known and all(isinstance(ids, bytes) for ids in vocab.known.values())
+
+
 def test_bpe_over_a_table(documents):
     rows = [(1, "the cat 漢字🙂"), (1, "the cat 漢字🙂"), (2, None), (3, "")]
     out = bpe.decode(bpe.encode(documents(rows), RANKS, PATTERN, with_spans=True), RANKS, PATTERN, as_text=True).collect()

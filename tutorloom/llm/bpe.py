@@ -15,14 +15,13 @@ import base64
 import functools
 import os
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tutorloom.llm.common import slices
+from tutorloom.llm.common import hand_back, slices
 
 SLICE_CHARS = 1_000_000  # characters of text that are encoded at once
 CACHE_PIECES = 400_000  # pieces whose ids a worker remembers; a full cache is emptied
@@ -48,17 +47,21 @@ class Vocabulary:
     """Rank file and pattern as a ``tokenizers`` model, with the tables for both directions."""
 
     def __init__(self, rank_file: bytes, pattern: str):
-        import regex
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
-        from tokenizers import Tokenizer, models, pre_tokenizers
-
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line.strip())}
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
         self.token_bytes = np.array(self.bytes_of, dtype=object)
         self.length = np.array([len(t) for t in self.bytes_of], np.int64)
+        self.pattern = pattern
+        self.known: dict[str, bytes] = {}
+
+    @functools.cached_property
+    def tokenizer(self):
+        """The model; a worker that only decodes needs none."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
         char_of = byte_characters()
 
         def spell(token: bytes) -> str:
@@ -66,11 +69,21 @@ class Vocabulary:
 
         merges = [tuple(map(spell, self.halves(t))) for t in self.bytes_of if len(t) > 1]
         model = models.BPE({spell(t): r for t, r in self.ranks.items()}, merges, ignore_merges=True)
-        self.tokenizer = Tokenizer(model)
-        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.pieces = regex.compile(pattern).findall
-        self.safe_cut = regex.compile(r"(?<=[^\s]) (?=[^\s])")
-        self.known: dict[str, tuple[int, ...]] = {}
+        tokenizer = Tokenizer(model)
+        tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        return tokenizer
+
+    @functools.cached_property
+    def pieces(self):
+        import regex
+
+        return regex.compile(self.pattern).findall
+
+    @functools.cached_property
+    def safe_cut(self):
+        import regex
+
+        return regex.compile(r"(?<=[^\s]) (?=[^\s])")
 
     def halves(self, token: bytes) -> list[bytes]:
         """The two parts whose merge makes ``token``: what merging by rank leaves before the last step."""
@@ -104,8 +117,8 @@ class Vocabulary:
                 self.known.clear()
                 new = list(dict.fromkeys(pieces))
             for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[p] = tuple(e.ids)
-            parts.append(np.fromiter(chain.from_iterable(map(self.known.__getitem__, pieces)), np.int32))
+                self.known[p] = np.array(e.ids, np.int32).tobytes()  # numbers as objects would take several times as much
+            parts.append(np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.int32))
         return np.concatenate(parts) if len(parts) > 1 else parts[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -178,5 +191,6 @@ def decode(tokens: DataFrame, ranks: bytes, pattern: str, ids: str = "token_ids"
                 columns = [part.column(c) for c in kept] + [pa.array(data, pa.binary())]
                 columns += [pa.array([d.decode(errors="replace") for d in data], pa.string())] if as_text else []
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        hand_back()
 
     return tokens.select(*dict.fromkeys([*kept, ids])).mapInArrow(run, schema)

@@ -62,10 +62,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, chars: int) -> Iterat
             held += size
         if len(sizes) > start:
             yield batch.slice(start)
-    _hand_back()
+    hand_back()
 
 
-def _hand_back() -> None:
+def hand_back() -> None:
     """Return freed memory to the system: a Python worker lives on between tasks and stages, beside others of its executor."""
     pa.default_memory_pool().release_unused()
     if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
