@@ -80,6 +80,31 @@ def test_near_duplicates_equal_brute_force(documents):
     assert {r.kept for r in neardup.near_duplicates(documents([(1, "x y"), (1, "x y"), (2, None)])).collect()} == {True}
 
 
+def test_near_duplicates_grow_with_groups_and_not_with_chance(documents, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    base = [rng.choice(words) for _ in range(120)]
+    docs = []
+    for k in range(90):  # around one text, about half of them linked with the first
+        own = list(base)
+        for _ in range(rng.randrange(3, 20)):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        docs.append((k, " ".join(own)))
+    docs += [(k, " ".join(rng.choices(words, k=rng.randrange(60, 120)))) for k in range(90, 390)]  # unrelated, but each pair of words stands in many
+    tables, written = {}, neardup.written
+
+    def remembered(df, name):
+        tables.setdefault(name, out := written(df, name))
+        return out
+
+    monkeypatch.setattr(neardup, "TILE_VALUES", 1500, raising=False)  # so the group is cut into blocks
+    monkeypatch.setattr(neardup, "written", remembered)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(docs)).collect()}
+    assert got == brute_components(docs)
+    assert tables["star"].where("rid >= 90 OR hub >= 90").count() < 100  # the unrelated ones meet hardly anybody
+    assert tables["groups"].agg({"rights": "max"}).first()[0] > 1
+
+
 def test_near_duplicates_of_repeated_rows(documents):
     words = [f"w{k}" for k in range(40)]
     near = " ".join([*words[:-1], "other"])  # 38 of 40 pairs of words are common
