@@ -11,9 +11,11 @@ graph is never built whole:
    vector is filed in a cell of a grid over a few axes, as wide as that distance, and meets the
    vectors of its own and the adjacent cells only. The axes come from a bounded sample; they decide
    what is skipped, never a result.
-3. Cells are cut into blocks, two blocks are one task's tile, and the tile is compared by matrix
-   products. Counts travel, weights are computed inside the task, so a copy of a vector costs a few
-   bytes a term; nothing but what is surely similar leaves a tile.
+3. Cells are cut into blocks, a block is packed into one row, and two blocks are one task's tile. Counts
+   travel, weights are computed inside the task, so a copy of a vector costs a few bytes a term. A tile multiplies
+   the norms that the vectors have on ``GROUPS`` groups of terms: no dot product is larger than that of the
+   norms. The pairs that this leaves, a few in a thousand, are multiplied term by term; nothing but what is
+   surely similar leaves a tile.
 4. Documents are settled in steps that follow the ids, each several times as long as all before. What an
    earlier kept document covers goes first and leaves a tile as an id, not as pairs: groups of near
    copies collapse there. The pairs within the rest of a step decide the others round by round.
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +38,10 @@ from tutorloom.functions import text as T
 from tutorloom.session import MAX_LOOKUP_ROWS, bounded_rows, ranked, write_step
 
 AXES = 4  # of the grid
-BLOCK = 32_768  # most vectors of a tile's side
+BLOCK = 65_536  # most vectors of a tile's side
+BLOCK_TERMS = 4_000_000  # and about the most terms of all its vectors
+GROUPS = 128  # of terms
+DENSE = 0.02  # share of the pairs from which whole vectors are multiplied
 PART = 2_048  # vectors of one matrix product
 MIN_BLOCK = 1_024
 PAIR_BUDGET = 1_000  # pairs per document up to which the first step compares directly: it takes twice as many documents
@@ -79,6 +85,9 @@ def inverse_frequencies(counts: DataFrame, size: int, n_docs: int) -> np.ndarray
     return np.array([math.log((1.0 + n_docs) / (1.0 + df.get(t, 0))) + 1.0 for t in range(size)])
 
 
+PACKED = (("ids", np.int64), ("sizes", np.int32), ("idx", np.int32), ("n", np.int32))
+
+
 class Rows:
     """Vectors of an Arrow table with idx and n, as flat arrays."""
 
@@ -88,20 +97,49 @@ class Rows:
             return (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy(zero_copy_only=False)
 
         sizes = table.column("idx").combine_chunks().value_lengths() if isinstance(table, pa.Table) else table.column("idx").value_lengths()
-        self.ids = table.column("id").to_numpy()
-        self.starts = np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))])
-        self.idx, self.w = flat("idx").astype(np.int64), flat("n") * idf[flat("idx")]
-        row = np.repeat(np.arange(len(self.ids)), np.diff(self.starts))
-        self.w /= np.sqrt(np.bincount(row, weights=self.w * self.w, minlength=len(self.ids)))[row]
+        self._fill(table.column("id").to_numpy(), sizes.to_numpy(zero_copy_only=False), flat("idx"), flat("n"), idf)
+
+    @classmethod
+    def unpacked(cls, block: pa.Table, idf: np.ndarray) -> Rows:
+        """Of one row of ``packed``."""
+        self = cls.__new__(cls)
+        self._fill(*(np.frombuffer(block.column(c)[0].as_buffer(), t) for c, t in PACKED), idf)
+        return self
+
+    def _fill(self, ids: np.ndarray, sizes: np.ndarray, idx: np.ndarray, n: np.ndarray, idf: np.ndarray) -> None:
+        self.ids, self.idx, self.w = ids, idx.astype(np.int32), n * idf[idx]
+        self.starts = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
+        self.w /= np.sqrt(np.bincount(self._row(0, len(ids)), weights=self.w * self.w, minlength=len(ids)))[self._row(0, len(ids))]
         self.width = len(idf)
 
+    def _row(self, start: int, stop: int) -> np.ndarray:
+        return np.repeat(np.arange(stop - start), np.diff(self.starts[start : stop + 1]))
+
     def part(self, start: int, stop: int) -> np.ndarray:
         """Dense float32 vectors of some rows."""
         a, b = self.starts[start], self.starts[stop]
         out = np.zeros((stop - start, self.width), np.float32)
-        out[np.repeat(np.arange(stop - start), np.diff(self.starts[start : stop + 1])), self.idx[a:b]] = self.w[a:b]
+        out[self._row(start, stop), self.idx[a:b]] = self.w[a:b]
+        return out
+
+    def norms(self, group: np.ndarray) -> np.ndarray:
+        """Length of each vector on each of the groups of terms, float32."""
+        width = int(group.max()) + 1
+        out = np.empty((len(self.ids), width), np.float32)
+        for s in range(0, len(out), PART):
+            e = min(s + PART, len(out))
+            a, b = self.starts[s], self.starts[e]
+            squares = np.bincount(self._row(s, e) * width + group[self.idx[a:b]], weights=self.w[a:b] ** 2, minlength=(e - s) * width)
+            out[s:e] = np.sqrt(squares).reshape(e - s, width)
         return out
 
+    def products(self, i: np.ndarray, dense: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of the vectors ``i`` with rows ``j`` of ``dense``, pair by pair."""
+        sizes = self.starts[i + 1] - self.starts[i]
+        begin = np.cumsum(sizes) - sizes
+        at = np.arange(sizes.sum()) + np.repeat(self.starts[i] - begin, sizes)
+        return np.add.reduceat(dense.reshape(-1)[np.repeat(j * self.width, sizes) + self.idx[at]] * self.w[at], begin)
+
     def dot(self, i: int, other: Rows, j: int) -> float:
         """In double precision."""
         left, right = slice(self.starts[i], self.starts[i + 1]), slice(other.starts[j], other.starts[j + 1])
@@ -140,6 +178,31 @@ def adjacent(a: Column, b: Column) -> Column:
     return F.forall(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: F.abs(p["x"] - p["y"]) <= 1)
 
 
+def term_groups(idf: np.ndarray) -> np.ndarray:
+    """Number of the group of each term: groups weigh about the same, by what the terms' frequency lets expect. They decide what is skipped, never a result."""
+    weight = idf**2 * np.exp(-idf)
+    held, group = np.zeros(min(GROUPS, len(idf))), np.zeros(len(idf), np.int64)
+    for term in np.argsort(-weight, kind="stable"):
+        group[term] = held.argmin()
+        held[group[term]] += weight[term]
+    return group
+
+
+def packed(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """(cell, block, ids, sizes, idx, n): the vectors of a block in one row, short ones first. ``cells`` is (cell, blocks)."""
+    own = rows.join(F.broadcast(cells), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+    def pack(block: pa.Table) -> pa.Table:
+        sizes = pc.list_value_length(block.column("idx"))
+        block = block.take(np.argsort(sizes.to_numpy(), kind="stable")).combine_chunks()
+        columns = [block.column("id"), pc.list_value_length(block.column("idx")), pc.list_flatten(block.column("idx")), pc.list_flatten(block.column("n"))]
+        blobs = [pa.array([c.to_numpy().astype(t).tobytes()], pa.binary()) for c, (_, t) in zip(columns, PACKED, strict=True)]
+        return pa.table([block.column("cell").slice(0, 1), block.column("block").slice(0, 1), *blobs], names=["cell", "block", *(c for c, _ in PACKED)])
+
+    own = own.select("cell", "block", "id", "idx", "n")
+    return write_step(own.groupBy("cell", "block").applyInArrow(pack, "cell array<int>, block int, " + ", ".join(f"{c} binary" for c, _ in PACKED)), "blocks")
+
+
 def tiled(left: DataFrame, right: DataFrame | None, idf: np.ndarray, threshold: float) -> DataFrame:
     """Similar pairs (a > b) within ``left``; or, with ``right``, ids (a) of the vectors of ``left`` similar to one of those."""
     spark = left.sparkSession
@@ -147,14 +210,14 @@ def tiled(left: DataFrame, right: DataFrame | None, idf: np.ndarray, threshold:
     within = right is None
 
     def sizes(rows: DataFrame, side: str) -> DataFrame:
-        counted = rows.groupBy("cell").agg(F.count("*").alias("n"))
-        return write_step(counted.select(F.col("cell").alias(f"{side}_cell"), "n"), "cells")
+        counted = rows.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.size("idx")).alias("terms"))
+        return write_step(counted.select(F.col("cell").alias(f"{side}_cell"), "n", "terms"), "cells")
 
     def blocks(cells: DataFrame, side: str) -> DataFrame:
         """A side of a tile holds its share of all rows, so that there are tiles for all tasks, and ``BLOCK`` rows at most."""
         n = cells.agg(F.sum("n")).first()[0] or 0
         most = int(min(BLOCK, max(MIN_BLOCK, n / math.sqrt(2 * tasks))))
-        return cells.select(f"{side}_cell", F.ceil(F.col("n") / most).cast("int").alias(f"{side}_blocks"))
+        return cells.select(f"{side}_cell", F.ceil(F.greatest(F.col("n") / most, F.col("terms") / BLOCK_TERMS)).cast("int").alias(f"{side}_blocks"))
 
     l_blocks = blocks(sizes(left, "l"), "l")
     r_blocks = l_blocks.toDF("r_cell", "r_blocks") if within else blocks(sizes(right, "r"), "r")
@@ -167,46 +230,60 @@ def tiled(left: DataFrame, right: DataFrame | None, idf: np.ndarray, threshold:
         met = met.filter(F.struct("l_cell", "l_block") <= F.struct("r_cell", "r_block"))
     met = write_step(met.withColumn("tile", F.monotonically_increasing_id()), "tiles")
 
-    def dealt(rows: DataFrame, cells: DataFrame, tiles: DataFrame, side: str) -> DataFrame:
-        own = rows.withColumnRenamed("cell", f"{side}_cell").join(F.broadcast(cells), f"{side}_cell")
-        own = own.withColumn(f"{side}_block", F.pmod(F.xxhash64("id"), F.col(f"{side}_blocks")).cast("int"))
-        tiles = tiles.select(f"{side}_cell", f"{side}_block", "tile")
-        return own.join(F.broadcast(tiles), [f"{side}_cell", f"{side}_block"]).select("tile", F.lit(side == "r").alias("right"), "id", "idx", "n")
+    l_packed = packed(left, l_blocks.toDF("cell", "blocks"))
+    r_packed = l_packed if within else packed(right, r_blocks.toDF("cell", "blocks"))
+
+    def dealt(blocks: DataFrame, tiles: DataFrame, side: str) -> DataFrame:
+        tiles = tiles.select(F.col(f"{side}_cell").alias("cell"), F.col(f"{side}_block").alias("block"), "tile")
+        return blocks.join(F.broadcast(tiles), ["cell", "block"]).select("tile", F.lit(side == "r").alias("right"), *(c for c, _ in PACKED))
 
     others = met.filter((F.col("l_cell") != F.col("r_cell")) | (F.col("l_block") != F.col("r_block"))) if within else met
-    rows = dealt(left, l_blocks, met, "l").unionByName(dealt(left if within else right, r_blocks, others, "r"))
+    rows = dealt(l_packed, met, "l").unionByName(dealt(r_packed, others, "r"))
+    group = term_groups(idf)
 
     def compare(tile: pa.Table) -> pa.Table:
-        flags = tile.column("right").to_numpy(zero_copy_only=False)
-        x = Rows(tile.filter(pa.array(~flags)), idf)
+        flags = tile.column("right").to_numpy()
+        if flags.all() or not (within or flags.any()):  # a block that got no row
+            return pa.table([pa.array([], pa.int64())] * (2 if within else 1), names=["a", "b"] if within else ["a"])
+        x = Rows.unpacked(tile.filter(pa.array(~flags)), idf)
         alone = not flags.any()
-        y = x if alone else Rows(tile.filter(pa.array(flags)), idf)
+        y = x if alone else Rows.unpacked(tile.filter(pa.array(flags)), idf)
+        x_norms = x.norms(group)
+        y_norms = x_norms if alone else y.norms(group)
         found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-        for s in range(0, len(x.ids), PART):
-            i = np.arange(s, min(s + PART, len(x.ids)))
-            dense = x.part(i[0], i[-1] + 1)
-            for t in range(s if within and alone else 0, len(y.ids), PART):
-                j = np.arange(t, min(t + PART, len(y.ids)))
-                products = dense @ y.part(j[0], j[-1] + 1).T
-                near = products > threshold - 1e-5
+        open_ = np.ones(len(x.ids), bool)
+        for t in range(0, len(y.ids), PART):
+            j = np.arange(t, min(t + PART, len(y.ids)))
+            dense = None
+            for s in range(0, t + 1 if within and alone else len(x.ids), PART):
+                i = s + np.flatnonzero(open_[s : s + PART])
+                near = x_norms[i] @ y_norms[t : t + PART].T > threshold - 1e-4
                 if within and alone and s == t:
                     near = np.triu(near, 1)
-                if not near.any():
+                row, col = np.nonzero(near)
+                if not len(row):
                     continue
+                dense = y.part(t, j[-1] + 1) if dense is None else dense
+                if len(row) > DENSE * near.size:
+                    products = (x.part(s, min(s + PART, len(x.ids)))[i - s] @ dense.T)[row, col]
+                else:
+                    products = x.products(i[row], dense, col)
+                good = products > threshold + 1e-5
+                unsure = np.flatnonzero(~good & (products > threshold - 1e-5))
                 if not within:  # whoever is surely covered needs no closer look
-                    sure = (products > threshold + 1e-5).any(axis=1)
-                    found.append(np.stack([x.ids[i[sure]], x.ids[i[sure]]], axis=1))
-                    near &= ~sure[:, None]
-                row, col = np.nonzero(near)
-                good = products[row, col] > threshold + 1e-5
-                for k in np.flatnonzero(~good):
+                    unsure = unsure[~np.isin(row[unsure], row[good])]
+                for k in unsure:
                     good[k] = x.dot(i[row[k]], y, j[col[k]]) > threshold
-                found.append(np.stack([x.ids[i[row[good]]], y.ids[j[col[good]]]], axis=1))
-        pairs = np.concatenate(found)
+                row, col = row[good], col[good]
+                if within:
+                    found.append(np.stack([x.ids[i[row]], y.ids[j[col]]], axis=1))
+                else:
+                    open_[i[row]] = False
         if within:
+            pairs = np.concatenate(found)
             pairs = pairs[pairs[:, 0] != pairs[:, 1]]
             return pa.table([pa.array(pairs.max(axis=1)), pa.array(pairs.min(axis=1))], names=["a", "b"])
-        return pa.table([pa.array(np.unique(pairs[:, 0]))], names=["a"])
+        return pa.table([pa.array(np.sort(x.ids[~open_]))], names=["a"])
 
     out = rows.repartition(tasks, "tile").groupBy("tile").applyInArrow(compare, "a long, b long" if within else "a long")
     return out if within else out.distinct()
