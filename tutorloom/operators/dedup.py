@@ -29,7 +29,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -40,7 +39,7 @@ from tutorloom.session import MAX_LOOKUP_ROWS, bounded_rows, ranked, write_step
 AXES = 4  # of the grid
 BLOCK = 65_536  # most vectors of a tile's side
 BLOCK_TERMS = 4_000_000  # and about the most terms of all its vectors
-GROUPS = 128  # of terms
+GROUPS = 64  # of terms
 DENSE = 0.02  # share of the pairs from which whole vectors are multiplied
 PART = 2_048  # vectors of one matrix product
 MIN_BLOCK = 1_024
@@ -70,13 +69,43 @@ def vocabulary(tokens: DataFrame, size: int) -> list[str]:
 def term_counts(tokens: DataFrame, key: str, vocab: list[str]) -> DataFrame:
     """(key, idx, n): vocabulary terms of each document, ascending, and how often they stand there.
 
-    Counting happens inside each row, without a shuffle. Documents without any vocabulary term have
-    no direction and are left out.
+    Counting happens inside each batch, without a shuffle; words are looked up once and pairs are
+    pairs of their numbers. Documents without any vocabulary term have no direction and are left out.
     """
-    model = CountVectorizerModel.from_vocabulary(vocab, inputCol="terms", outputCol="counts")
-    counted = model.transform(tokens.select(key, T.one_and_two_grams(F.col("tokens")).alias("terms"))).select(key, F.unwrap_udt("counts").alias("v"))
-    counts = counted.select(key, F.col("v.indices").alias("idx"), F.col("v.values").cast("array<int>").alias("n"))
-    return write_step(counts.filter(F.size("idx") > 0), "counts")
+    terms = [t.split(" ") for t in vocab]
+    words = sorted({w for t in terms for w in t})
+    number = {w: i for i, w in enumerate(words)}
+    single = np.full(len(words), -1)
+    for i, t in enumerate(terms):
+        if len(t) == 1:
+            single[number[t[0]]] = i
+    codes = sorted((number[t[0]] * len(words) + number[t[1]], i) for i, t in enumerate(terms) if len(t) == 2)
+    pairs, of_pair = (np.array(x, np.int64) for x in (zip(*codes) if codes else ([], [])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(words, pa.string())
+        for batch in batches:
+            lists = batch.column("tokens")
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            at = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            idx = single[at]
+            alone = (at >= 0) & (idx >= 0)
+            found = [row[alone] * len(vocab) + idx[alone]]
+            if len(pairs):
+                both = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0) & (row[:-1] == row[1:]))
+                code = at[both] * len(words) + at[both + 1]
+                place = np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)
+                hit = pairs[place] == code
+                found.append(row[both[hit]] * len(vocab) + of_pair[place[hit]])
+            cells, n = np.unique(np.concatenate(found), return_counts=True)
+            held = np.bincount(cells // len(vocab), minlength=len(sizes))
+            bounds = pa.array(np.concatenate([[0], np.cumsum(held[held > 0])]), pa.int32())
+            arrays = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int32())) for x in (cells % len(vocab), n)]
+            yield pa.RecordBatch.from_arrays([batch.column(key).filter(pa.array(held > 0)), *arrays], [key, "idx", "n"])
+
+    kind = tokens.schema[key].dataType.simpleString()
+    return write_step(tokens.select(key, "tokens").mapInArrow(run, f"`{key}` {kind}, idx array<int>, n array<int>"), "counts")
 
 
 def inverse_frequencies(counts: DataFrame, size: int, n_docs: int) -> np.ndarray:
@@ -85,7 +114,7 @@ def inverse_frequencies(counts: DataFrame, size: int, n_docs: int) -> np.ndarray
     return np.array([math.log((1.0 + n_docs) / (1.0 + df.get(t, 0))) + 1.0 for t in range(size)])
 
 
-PACKED = (("ids", np.int64), ("sizes", np.int32), ("idx", np.int32), ("n", np.int32))
+PACKED = ("ids", "sizes", "idx", "n")
 
 
 class Rows:
@@ -103,7 +132,11 @@ class Rows:
     def unpacked(cls, block: pa.Table, idf: np.ndarray) -> Rows:
         """Of one row of ``packed``."""
         self = cls.__new__(cls)
-        self._fill(*(np.frombuffer(block.column(c)[0].as_buffer(), t) for c, t in PACKED), idf)
+        ids, sizes, idx, n = (block.column(c)[0].as_buffer() for c in PACKED)
+        ids = np.frombuffer(ids, np.int64)
+        sizes = np.frombuffer(sizes, f"u{sizes.size // len(ids)}")
+        idx, n = (np.frombuffer(x, f"u{x.size // int(sizes.sum())}") for x in (idx, n))
+        self._fill(ids, sizes, idx, n, idf)
         return self
 
     def _fill(self, ids: np.ndarray, sizes: np.ndarray, idx: np.ndarray, n: np.ndarray, idf: np.ndarray) -> None:
@@ -189,18 +222,19 @@ def term_groups(idf: np.ndarray) -> np.ndarray:
 
 
 def packed(rows: DataFrame, cells: DataFrame) -> DataFrame:
-    """(cell, block, ids, sizes, idx, n): the vectors of a block in one row, short ones first. ``cells`` is (cell, blocks)."""
+    """(cell, block, ids, sizes, idx, n): the vectors of a block in one row, short ones first, numbers in as few bytes as they need. ``cells`` is (cell, blocks)."""
     own = rows.join(F.broadcast(cells), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
     def pack(block: pa.Table) -> pa.Table:
         sizes = pc.list_value_length(block.column("idx"))
         block = block.take(np.argsort(sizes.to_numpy(), kind="stable")).combine_chunks()
         columns = [block.column("id"), pc.list_value_length(block.column("idx")), pc.list_flatten(block.column("idx")), pc.list_flatten(block.column("n"))]
-        blobs = [pa.array([c.to_numpy().astype(t).tobytes()], pa.binary()) for c, (_, t) in zip(columns, PACKED, strict=True)]
-        return pa.table([block.column("cell").slice(0, 1), block.column("block").slice(0, 1), *blobs], names=["cell", "block", *(c for c, _ in PACKED)])
+        ids, *small = (c.to_numpy() for c in columns)
+        blobs = [pa.array([c.tobytes()], pa.binary()) for c in (ids, *(c.astype(np.min_scalar_type(c.max())) for c in small))]
+        return pa.table([block.column("cell").slice(0, 1), block.column("block").slice(0, 1), *blobs], names=["cell", "block", *PACKED])
 
     own = own.select("cell", "block", "id", "idx", "n")
-    return write_step(own.groupBy("cell", "block").applyInArrow(pack, "cell array<int>, block int, " + ", ".join(f"{c} binary" for c, _ in PACKED)), "blocks")
+    return write_step(own.groupBy("cell", "block").applyInArrow(pack, "cell array<int>, block int, " + ", ".join(f"{c} binary" for c in PACKED)), "blocks")
 
 
 def tiled(left: DataFrame, right: DataFrame | None, idf: np.ndarray, threshold: float) -> DataFrame:
@@ -235,7 +269,7 @@ def tiled(left: DataFrame, right: DataFrame | None, idf: np.ndarray, threshold:
 
     def dealt(blocks: DataFrame, tiles: DataFrame, side: str) -> DataFrame:
         tiles = tiles.select(F.col(f"{side}_cell").alias("cell"), F.col(f"{side}_block").alias("block"), "tile")
-        return blocks.join(F.broadcast(tiles), ["cell", "block"]).select("tile", F.lit(side == "r").alias("right"), *(c for c, _ in PACKED))
+        return blocks.join(F.broadcast(tiles), ["cell", "block"]).select("tile", F.lit(side == "r").alias("right"), *PACKED)
 
     others = met.filter((F.col("l_cell") != F.col("r_cell")) | (F.col("l_block") != F.col("r_block"))) if within else met
     rows = dealt(l_packed, met, "l").unionByName(dealt(r_packed, others, "r"))
@@ -260,9 +294,10 @@ def tiled(left: DataFrame, right: DataFrame | None, idf: np.ndarray, threshold:
                 near = x_norms[i] @ y_norms[t : t + PART].T > threshold - 1e-4
                 if within and alone and s == t:
                     near = np.triu(near, 1)
-                row, col = np.nonzero(near)
-                if not len(row):
+                flat = np.flatnonzero(near)
+                if not len(flat):
                     continue
+                row, col = flat // near.shape[1], flat % near.shape[1]
                 dense = y.part(t, j[-1] + 1) if dense is None else dense
                 if len(row) > DENSE * near.size:
                     products = (x.part(s, min(s + PART, len(x.ids)))[i - s] @ dense.T)[row, col]
