@@ -7,7 +7,7 @@ Inverted lists. The hashes of a set are sorted, and a class is filed under runs
 by a hash of the run. Two sets that share s of u shingles share every run of their union that no other shingle interrupts. If all runs are
 filed (up to ``FILED``), linked sets share one for certain: u >= 16 shingles with at most u / 5 interruptions leave four neighbours
 somewhere; smaller unions leave three, or two (u = 5), and have runs of that length filed as well. Of larger sets a linked pair is missed only if none of
-its shared runs, 0.4 of u at a similarity of 0.8, is among the smallest: with a probability below 1e-9. A run of four that two unrelated texts of
+its shared runs, 0.4 of u at a similarity of 0.8, is among the smallest: with a probability below 1e-8. A run of four that two unrelated texts of
 similarity 0.01 share has a chance of 1e-8, so the lists grow with the groups of near copies and not with the square of the corpus.
 
 No list is expanded into pairs. Its hub, the member with the most shared runs, meets every member (star), in whole sets. Members that
